@@ -1,6 +1,6 @@
 """Missing periods of candle series."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewright.functions.intervals import (
@@ -49,36 +49,48 @@ def gaps_in_range(candles: DataFrame, start, end, series: DataFrame = None, alig
     ``align`` moves the range to interval boundaries first; without it the grid
     starts exactly at ``start``. Pass ``series`` to cover series without candles.
     """
-    bounds = _series_bounds(series_of(candles) if series is None else series, start, end, align)
-    # The range is expressed from the interval itself, not by a join with ``bounds``:
-    # the filter then reaches the scan and candles shuffle once.
+    # The range is expressed from the interval itself, not by a join with the
+    # series: the filter then reaches the scan and candles shuffle once.
     step = interval_seconds(F.col("interval"))
     lo, hi = at(start), at(end)
-    grid_lo = F.unix_seconds(ceil_to(lo, step) if align else lo)
+    first = ceil_to(lo, step) if align else lo
     upper = floor_to(hi, step) if align else hi
-    seconds = F.unix_seconds("timestamp")
-    present = (
+    grid_lo, seconds = F.unix_seconds(first), F.unix_seconds("timestamp")
+    if series is not None:
+        candles = candles.join(series_of(series), SERIES_KEY, "left_semi")
+    rows = (
         candles.where((F.col("timestamp") >= lo) & (F.col("timestamp") < hi))
         .where((seconds >= grid_lo) & (F.col("timestamp") < upper)
                & (F.pmod(seconds - grid_lo, step) == 0))
-        # Slot numbers relative to the range start; -1 and ``slots`` are the sentinels.
+        # Slot numbers relative to the range start.
         .select(*SERIES_KEY, F.floor((seconds - grid_lo) / step).cast("bigint").alias("slot"))
+        .withColumn(BUCKET, F.floor(F.col("slot") / F.lit(slots_per_bucket)).cast("bigint"))
+        .repartition(*SERIES_KEY, BUCKET)
     )
-    sentinels = bounds.select(
-        *SERIES_KEY, F.explode(F.array(F.lit(-1).cast("bigint"), F.col("slots"))).alias("slot"))
-    pairs = transitions(
-        present.unionByName(sentinels), SERIES_KEY, "slot",
-        bucket=F.floor(F.col("slot") / F.lit(slots_per_bucket)).cast("bigint"),
-    ).where(F.col("slot") - F.col("prev_slot") > 1)
-    origin = F.unix_micros(ceil_to(lo, step) if align else lo)
+    inside = Window.partitionBy(*SERIES_KEY, BUCKET).orderBy("slot")
+    inner = rows.select(*SERIES_KEY, F.lag("slot").over(inside).alias("after"), F.col("slot").alias("before"))
+    ends = rows.groupBy(*SERIES_KEY, BUCKET).agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
+    across = Window.partitionBy(*SERIES_KEY).orderBy(BUCKET)
+    # Sentinels before and after the range also speak for series without any
+    # candle on the grid. On the partitioned layout the series list needs no data.
+    slot = F.col("_s.slot")
+    wanted = series_of(candles if series is None else series)
+    sentinels = _series_bounds(wanted, start, end, align).select(
+        *SERIES_KEY, F.explode(F.array(
+            F.struct(F.lit(-1).cast("bigint").alias(BUCKET), F.lit(-1).cast("bigint").alias("slot")),
+            F.struct(F.col("slots").alias(BUCKET), F.col("slots").alias("slot")))).alias("_s"),
+    ).select(*SERIES_KEY, F.col(f"_s.{BUCKET}").alias(BUCKET), slot.alias("lo"), slot.alias("hi"))
+    edges = ends.unionByName(sentinels).select(
+        *SERIES_KEY, F.lag("hi").over(across).alias("after"), F.col("lo").alias("before"))
+    origin = F.unix_micros(first)
 
     def slot_time(slot):
         return F.timestamp_micros(origin + slot * step * F.lit(1_000_000))
 
-    return pairs.select(
+    return inner.unionByName(edges).where(F.col("before") - F.col("after") > 1).select(
         *SERIES_KEY,
-        slot_time(F.col("prev_slot") + 1).alias("start_time"),
-        slot_time(F.col("slot")).alias("end_time"),
+        slot_time(F.col("after") + 1).alias("start_time"),
+        slot_time(F.col("before")).alias("end_time"),
     )
 
 
@@ -155,7 +167,7 @@ def completeness(candles: DataFrame, start, end, series: DataFrame = None, align
     wanted = series_of(candles) if series is None else series
     bounds = _series_bounds(wanted, start, end, align)
     step = interval_seconds(F.col("interval"))
-    missing = gaps_in_range(candles, start, end, wanted, align).groupBy(*SERIES_KEY).agg(
+    missing = gaps_in_range(candles, start, end, series, align).groupBy(*SERIES_KEY).agg(
         F.sum(F.floor(seconds_between(F.col("start_time"), F.col("end_time")) / step)
               .cast("bigint")).alias("missing"))
     ratio = F.col("actual") / F.col("expected")
@@ -321,20 +333,19 @@ def query_with_gap_flags(candles: DataFrame, gaps: DataFrame, start, end,
 def detection_result(gaps: DataFrame, series: DataFrame) -> DataFrame:
     """Totals of one detection run as (metric, label, value) rows."""
     counts = gaps.groupBy("pair", "priority").agg(F.count(F.lit(1)).alias("n"))
+    # One pass over the small counts table gives the total and both breakdowns.
+    level = F.grouping_id()
+    found = counts.groupingSets([[], ["pair"], ["priority"]], "pair", "priority").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("value"), level.alias("_level")
+    ).select(
+        F.when(F.col("_level") == 3, "gaps_detected").when(F.col("_level") == 1, "gaps_by_pair")
+        .otherwise("gaps_by_priority").alias("metric"),
+        F.coalesce("pair", F.col("priority").cast("string")).alias("label"), "value")
     null = F.lit(None).cast("string")
     scanned = series.agg(
         F.countDistinct("pair").alias("pairs"), F.countDistinct("interval").alias("intervals"))
-    return (
-        scanned.select(F.inline(F.array(
-            F.struct(F.lit("pairs_scanned").alias("metric"), null.alias("label"),
-                     F.col("pairs").alias("value")),
-            F.struct(F.lit("intervals_scanned").alias("metric"), null.alias("label"),
-                     F.col("intervals").alias("value")))))
-        .unionByName(counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("value")).select(
-            F.lit("gaps_detected").alias("metric"), null.alias("label"), "value"))
-        .unionByName(counts.groupBy("pair").agg(F.sum("n").alias("value")).select(
-            F.lit("gaps_by_pair").alias("metric"), F.col("pair").alias("label"), "value"))
-        .unionByName(counts.groupBy("priority").agg(F.sum("n").alias("value")).select(
-            F.lit("gaps_by_priority").alias("metric"),
-            F.col("priority").cast("string").alias("label"), "value"))
-    )
+    return scanned.select(F.inline(F.array(
+        F.struct(F.lit("pairs_scanned").alias("metric"), null.alias("label"),
+                 F.col("pairs").alias("value")),
+        F.struct(F.lit("intervals_scanned").alias("metric"), null.alias("label"),
+                 F.col("intervals").alias("value"))))).unionByName(found)

@@ -214,28 +214,40 @@ def gap_statistics(gaps: DataFrame) -> DataFrame:
     fill = seconds_between(F.col("created_at"), F.col("filled_at"))
     base = gaps.groupBy("status", "priority", "pair").agg(
         F.count(F.lit(1)).alias("n"), F.sum(_duration()).alias("length"),
-        F.sum(fill).alias("fill"), F.count(fill).alias("fills"), F.min("created_at").alias("oldest"))
+        F.sum(fill).alias("fill"), F.count(fill).alias("fills"), F.min("created_at").alias("oldest"),
+    ).withColumn("_state", F.col("status"))
     active = F.col("status").isin("detected", "filling")
-    total, filled = F.sum("n"), F.coalesce(F.sum(F.when(F.col("status") == "filled", F.col("n"))), F.lit(0))
+    of = lambda wanted: F.coalesce(F.sum(F.when(wanted, F.col("n"))), F.lit(0))
+    sets = base.withColumn("_active", active).groupingSets(
+        [[], ["status"], ["priority"], ["pair"]], "status", "priority", "pair").agg(
+        F.grouping_id().alias("_level"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+        F.coalesce(F.sum(F.when(F.col("_active"), F.col("n"))), F.lit(0)).alias("active"),
+        of(F.col("_state") == "filled").alias("filled"),
+        of(F.col("_state") == "permanent").alias("permanent"),
+        F.unix_seconds(F.min(F.when(F.col("_active"), F.col("oldest")))).alias("oldest_active_unix"),
+        F.sum("length").alias("_length"), F.sum("fill").alias("_fill"), F.sum("fills").alias("_fills"))
+    total = F.col("total")
     figures = {
-        "total": total, "active": F.sum(F.when(active, F.col("n")).otherwise(0)),
-        "filled": filled, "permanent": F.sum(F.when(F.col("status") == "permanent", F.col("n")).otherwise(0)),
-        "success_rate": filled / total * 100,
-        "oldest_active_unix": F.unix_seconds(F.min(F.when(active, F.col("oldest")))),
-        "average_gap_seconds": F.sum("length") / total,
-        "average_fill_seconds": F.when(F.sum("fills") > 0, F.sum("fill") / F.sum("fills")),
+        "total": total, "active": F.col("active"), "filled": F.col("filled"),
+        "permanent": F.col("permanent"),
+        "success_rate": F.when(total > 0, F.col("filled") / total * 100).otherwise(0.0),
+        "oldest_active_unix": F.col("oldest_active_unix"),
+        "average_gap_seconds": F.when(total > 0, F.col("_length") / total),
+        "average_fill_seconds": F.when(F.col("_fills") > 0, F.col("_fill") / F.col("_fills")),
     }
-    null = F.lit(None).cast("string")
-    one = base.agg(*[c.cast("double").alias(n) for n, c in figures.items()])
-    out = one.select(F.inline(F.array(*[F.struct(
-        F.lit(n).alias("metric"), null.alias("label"), F.col(n).alias("value")) for n in figures])))
-    for metric, column, rows in (
-        ("by_status", "status", base), ("by_priority", "priority", base.where(active)),
-        ("by_pair", "pair", base.where(active)),
-    ):
-        out = out.unionByName(rows.groupBy(column).agg(F.sum("n").cast("double").alias("value")).select(
-            F.lit(metric).alias("metric"), F.col(column).cast("string").alias("label"), "value"))
-    return out
+
+    def row(metric, label, value):
+        return F.struct(F.lit(metric).alias("metric"), label.cast("string").alias("label"),
+                        value.cast("double").alias("value"))
+
+    # Grouping ids: all three columns absent is 7; one present clears its bit.
+    shown = (
+        F.when(F.col("_level") == 7, F.array(*[row(n, F.lit(None), c) for n, c in figures.items()]))
+        .when(F.col("_level") == 3, F.array(row("by_status", F.col("status"), total)))
+        .when(F.col("_level") == 5, F.array(row("by_priority", F.col("priority"), F.col("active"))))
+        .otherwise(F.array(row("by_pair", F.col("pair"), F.col("active"))))
+    )
+    return sets.where(F.col("_level").isin(3, 7) | (F.col("active") > 0)).select(F.inline(shown))
 
 
 def get_gaps(gaps: DataFrame, pair: str = None, interval: str = None) -> DataFrame:

@@ -4,10 +4,10 @@ Everything aggregates per (pair, interval) first; coarser levels re-aggregate
 that small table, so the data itself is read and shuffled once.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewright.functions.scoring import SEVERITIES, at_least
+from candlewright.functions.scoring import ANOMALY_TYPES, at_least
 from candlewright.schemas import SERIES_KEY
 
 QUALITY_THRESHOLD = 0.8
@@ -47,35 +47,40 @@ def storage_stats_by_series(candles: DataFrame) -> DataFrame:
 
 def summarise_results(results: DataFrame) -> DataFrame:
     """Totals, breakdowns and quality score as (metric, label, value) rows."""
-    kinds = results.select(
-        "severity", "action_taken", F.size("checks_passed").alias("checks"),
-        F.size("anomalies").alias("anomalies"))
+    def count_of(kind):
+        return F.sum(F.size(F.filter("anomalies", lambda a: a["type"] == kind))).alias(f"_{kind}")
+
+    per_type = [count_of(t) for t in ANOMALY_TYPES]
     # One small row per (severity, action) carries every total.
-    base = kinds.groupBy("severity", "action_taken").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("checks").alias("checks"),
-        F.sum("anomalies").alias("anomalies"))
-    bad = F.sum(F.when(at_least(F.col("severity"), "error"), F.col("n")).otherwise(0))
-    total = F.sum("n")
-    totals = base.agg(
-        total.cast("double").alias("total_results"), F.sum("anomalies").cast("double").alias("total_anomalies"),
-        F.sum("checks").cast("double").alias("total_checks"),
-        (1 - bad / total).alias("quality_score"))
-    named = ["total_results", "total_anomalies", "total_checks", "quality_score"]
-    null = F.lit(None).cast("string")
-    out = totals.select(F.inline(F.array(*[
-        F.struct(F.lit(m).alias("metric"), null.alias("label"), F.coalesce(F.col(m), F.lit(0.0))
-                 .alias("value")) for m in named])))
-
-    def breakdown(metric, frame, label, count):
-        return frame.groupBy(label).agg(count.cast("double").alias("value")).select(
-            F.lit(metric).alias("metric"), F.col(label).alias("label"), "value")
-
-    anomalies = results.select(F.explode("anomalies.type").alias("type"))
-    return (
-        out.unionByName(breakdown("severity", base, "severity", F.sum("n")))
-        .unionByName(breakdown("action", base, "action_taken", F.sum("n")))
-        .unionByName(breakdown("anomaly_type", anomalies, "type", F.count(F.lit(1))))
+    base = results.groupBy("severity", "action_taken").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.size("checks_passed")).alias("checks"),
+        F.sum(F.size("anomalies")).alias("anomalies"), *per_type)
+    bad = F.when(at_least(F.col("_s"), "error"), F.col("n")).otherwise(0)
+    sets = base.withColumn("_s", F.col("severity")).groupingSets(
+        [[], ["severity"], ["action_taken"]], "severity", "action_taken").agg(
+        F.grouping_id().alias("_level"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c)
+          for c in ["n", "checks", "anomalies", *[f"_{t}" for t in ANOMALY_TYPES]]],
+        F.sum(bad).alias("_bad"))
+
+    def row(metric, label, value):
+        return F.struct(F.lit(metric).alias("metric"), label.cast("string").alias("label"),
+                        value.cast("double").alias("value"))
+
+    null, n = F.lit(None), F.col("n")
+    totals = [
+        row("total_results", null, n), row("total_anomalies", null, F.col("anomalies")),
+        row("total_checks", null, F.col("checks")),
+        row("quality_score", null, F.when(n > 0, 1 - F.col("_bad") / n).otherwise(0.0)),
+        *[row("anomaly_type", F.lit(t), F.col(f"_{t}")) for t in ANOMALY_TYPES],
+    ]
+    shown = (
+        F.when(F.col("_level") == 3, F.array(*totals))
+        .when(F.col("_level") == 1, F.array(row("severity", F.col("severity"), n)))
+        .otherwise(F.array(row("action", F.col("action_taken"), n)))
     )
+    return sets.select(F.inline(shown)).where(
+        (F.col("metric") != "anomaly_type") | (F.col("value") > 0))
 
 
 def _scores(df: DataFrame) -> DataFrame:
@@ -120,11 +125,9 @@ def quality_metrics(results: DataFrame, cross_anomalies: DataFrame = None,
             (F.col("anomalies_detected") + F.coalesce("_more", F.lit(0))).alias("anomalies_detected"),
             (F.col("critical_issues") + F.coalesce("_critical", F.lit(0))).alias("critical_issues"))
     counts = [c for c in base.columns if c not in by]
-    null = {k: F.lit(None).cast("string").alias(k) for k in by}
-    overall = base.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in counts])
-    return _scores(
-        base.select(*by, *[F.col(c).cast("bigint").alias(c) for c in counts])
-        .unionByName(overall.select(*null.values(), *counts)))
+    sets = base.groupingSets([by, []], *by).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in counts])
+    return _scores(sets)
 
 
 def quality_gate(metrics: DataFrame, threshold: float = QUALITY_THRESHOLD) -> DataFrame:

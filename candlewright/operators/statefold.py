@@ -80,9 +80,10 @@ def fold_events(events: DataFrame, records: DataFrame, key: str, order: str, sta
         number = F.when(start_state == state, i).otherwise(number)
 
     block = F.floor(F.col(order) / F.lit(per_block)).cast("bigint")
+    rest = [c for c in events.columns if c not in (key, order)]
     packed = (
         events.select(key, block.alias("_block"), F.struct(
-            F.col(order).alias("seq"), code.alias("code")).alias("_e"))
+            F.col(order).alias("seq"), code.alias("code"), F.struct(*rest).alias("row")).alias("_e"))
         .groupBy(key, "_block").agg(F.sort_array(F.collect_list("_e")).alias("_events"))
     )
     identity = F.array(*[F.lit(i) for i in range(width)])
@@ -90,28 +91,30 @@ def fold_events(events: DataFrame, records: DataFrame, key: str, order: str, sta
         acc, lambda s: _apply(table, width, e["code"], s)))
     first = records.select(key, number.alias("_start"))
     chained = _block_starts(packed.select(key, "_block", effect.alias("effect")), first, key, levels)
+    kind = packed.schema["_events"].dataType.elementType["row"].dataType.simpleString()
+    log_type = f"array<struct<seq:bigint,code:int,row:{kind},before:int,after:int>>"
+
+    def replay(acc, e):
+        after = _apply(table, width, e["code"], acc["state"])
+        entry = F.struct(e["seq"].cast("bigint").alias("seq"), e["code"].alias("code"),
+                         e["row"].alias("row"), acc["state"].alias("before"), after.alias("after"))
+        return F.struct(after.alias("state"), F.concat(acc["log"], F.array(entry)).alias("log"))
+
     steps = F.aggregate(
-        "_events",
-        F.struct(F.col("_start").alias("state"), F.expr(
-            "cast(array() as array<struct<seq:bigint,code:int,before:int,after:int>>)").alias("log")),
-        lambda acc, e: F.struct(
-            _apply(table, width, e["code"], acc["state"]).alias("state"),
-            F.concat(acc["log"], F.array(F.struct(
-                e["seq"].cast("bigint").alias("seq"), e["code"].alias("code"),
-                acc["state"].alias("before"),
-                _apply(table, width, e["code"], acc["state"]).alias("after")))).alias("log")),
-        lambda acc: acc["log"])
+        "_events", F.struct(F.col("_start").alias("state"),
+                            F.expr(f"cast(array() as {log_type})").alias("log")),
+        replay, lambda acc: acc["log"])
     names = F.array(*[F.lit(s) for s in states])
     listed = F.lit(False)
-    for i, kind in enumerate(kinds):
-        legal = [index[s] for s in moves[kind]]
+    for i, name in enumerate(kinds):
+        legal = [index[s] for s in moves[name]]
         listed = listed | ((F.col("code") == i) & F.col("before").isin(legal))
-    replayed = (
+    return (
         packed.join(chained, [key, "_block"])
         .select(key, F.inline(steps))
-        .select(key, F.col("seq").alias(order),
+        .select(key, F.col("seq").alias(order), "row.*",
                 F.get(names, F.col("before")).alias("state_before"),
                 F.get(names, F.col("after")).alias("state_after"),
                 F.coalesce(listed, F.lit(False)).alias("accepted"))
+        .select(*events.columns, "state_before", "state_after", "accepted")
     )
-    return events.join(replayed, [key, order])

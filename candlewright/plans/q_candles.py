@@ -267,10 +267,10 @@ def latest_candle(fx):
     return reads.latest_candle(fx.candles("1h"))
 
 
-@query("due_series", """SELECT pair, "interval", max("timestamp") AS latest, max("timestamp") + INTERVAL 1 DAY AS next_due
-    FROM c1d GROUP BY 1, 2 HAVING max("timestamp") + INTERVAL 1 DAY <= TIMESTAMP '2001-11-01'""", ["c1d"])
+@query("due_series", """SELECT pair, "interval", max("timestamp") AS latest, max("timestamp") + INTERVAL 1 HOUR AS next_due
+    FROM c1h GROUP BY 1, 2 HAVING max("timestamp") + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-31'""", ["c1h"])
 def due_series(fx):
-    return reads.due_series(fx.daily(), "2001-11-01 00:00:00")
+    return reads.due_series(fx.candles("1h"), "2024-01-31 00:00:00")
 
 
 @query("incremental_window", """SELECT pair, "interval", latest, latest + INTERVAL 1 HOUR AS start_time, end_time,
