@@ -21,7 +21,7 @@ LOOKBACK_ROWS = 24
 MA_SECONDS = 30 * DAY
 
 
-def _exceeds(current: Column, previous: Column, threshold) -> Column:
+def exceeds(current: Column, previous: Column, threshold) -> Column:
     """current / previous > threshold, exactly and for either sign of ``previous``."""
     limit = F.lit(str(threshold)).cast(THRESHOLD) * previous
     return F.coalesce(
@@ -58,7 +58,7 @@ def spikes_from(steps: DataFrame, threshold=SPIKE_THRESHOLD) -> DataFrame:
         F.lit("Price spike detected: "), F.format_string("%.2f", (r - 1) * 100),
         F.lit("% increase (current: "), plain_text(F.col("high")),
         F.lit(", previous: "), plain_text(F.col("prev_high")), F.lit(")"))
-    hits = steps.where(_exceeds(F.col("high"), F.col("prev_high"), threshold))
+    hits = steps.where(exceeds(F.col("high"), F.col("prev_high"), threshold))
     return _scored(hits, "price_spike", "high_ratio", r, SPIKE_THRESHOLD, spike_confidence(r), text)
 
 
@@ -68,7 +68,7 @@ def surges_from(steps: DataFrame, threshold=SURGE_THRESHOLD) -> DataFrame:
         F.lit("Volume surge detected: "), F.format_string("%.2f", r),
         F.lit("x increase (current: "), plain_text(F.col("volume")),
         F.lit(", previous: "), plain_text(F.col("prev_volume")), F.lit(")"))
-    hits = steps.where(_exceeds(F.col("volume"), F.col("prev_volume"), threshold))
+    hits = steps.where(exceeds(F.col("volume"), F.col("prev_volume"), threshold))
     return _scored(hits, "volume_surge", "volume_ratio", r, SURGE_THRESHOLD, surge_confidence(r), text)
 
 

@@ -65,7 +65,7 @@ def gaps_in_range(candles: DataFrame, start, end, series: DataFrame = None, alig
         # Slot numbers relative to the range start.
         .select(*SERIES_KEY, F.floor((seconds - grid_lo) / step).cast("bigint").alias("slot"))
         .withColumn(BUCKET, F.floor(F.col("slot") / F.lit(slots_per_bucket)).cast("bigint"))
-        .repartition(*SERIES_KEY, BUCKET)
+        .repartition("pair", BUCKET)
     )
     inside = Window.partitionBy(*SERIES_KEY, BUCKET).orderBy("slot")
     inner = rows.select(*SERIES_KEY, F.lag("slot").over(inside).alias("after"), F.col("slot").alias("before"))

@@ -41,10 +41,12 @@ def transitions(df: DataFrame, keys, order: str, values=(), bucket: Column = Non
     keys, values = list(keys), list(values)
     if bucket is None:
         bucket = time_bucket(F.col(order), F.col("interval"))
+    # One explicit shuffle feeds both branches; the first key and the bucket spread
+    # the rows and satisfy every grouping that contains them.
     rows = (
         df.where(F.col(order).isNotNull())
         .select(*keys, order, *values, bucket.alias(BUCKET))
-        .repartition(*keys, BUCKET)
+        .repartition(keys[0], BUCKET)
     )
     inside = Window.partitionBy(*keys, BUCKET).orderBy(order)
     carried = [order, *values]

@@ -1 +1,91 @@
-"""Queries: streams."""
+"""Queries: streams over the events table, drained with an available-now trigger.
+
+They have no SQL twin; the tests compare them with the batch operators.
+"""
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from candlewright.plans.catalog import query
+from candlewright.schemas import CANDLE_FIELDS, SERIES_KEY
+from candlewright.session import shared_folder
+from candlewright.sources.candles import stored_candles
+from candlewright.streaming import ordered, sinks, streams
+
+
+def tick_stream(fx):
+    """The events table as a stream of ticks."""
+    schema = fx.table("events").schema
+    price = F.col("value").cast("decimal(18,8)")
+    return fx.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(
+        fx.folder).select(
+        F.col("event_id").alias("tick_id"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_type").alias("pair"), price.alias("price"), price.alias("size"))
+
+
+def table_stream(fx, rows):
+    """A batch result written to the shared folder and read back as a stream."""
+    path = f"{shared_folder(fx.spark)}/input-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return fx.spark.readStream.schema(rows.schema).parquet(path)
+
+
+def _result(fx, stream):
+    schema = stream.schema
+    return fx.spark.read.schema(schema).parquet(sinks.drain(fx.spark, stream))
+
+
+@query("stream_resample")
+def stream_resample(fx):
+    return _result(fx, streams.ticks_to_candles(tick_stream(fx), "1h"))
+
+
+@query("stream_resample_sliding")
+def stream_resample_sliding(fx):
+    candles = table_stream(fx, fx.candles("5m"))
+    return _result(fx, streams.resample(candles, "1h", slide="15 minutes"))
+
+
+@query("stream_ingest_dedup")
+def stream_ingest_dedup(fx):
+    candles = table_stream(fx, fx.candles("1h").unionByName(fx.candles("1h")))
+    return _result(fx, streams.ingest_dedup(candles))
+
+
+@query("stream_validate")
+def stream_validate(fx):
+    return _result(fx, streams.validate(table_stream(fx, fx.dirty())))
+
+
+@query("stream_spikes")
+def stream_spikes(fx):
+    return _result(fx, ordered.spikes(table_stream(fx, fx.candles("1h"))))
+
+
+@query("stream_gaps")
+def stream_gaps(fx):
+    return _result(fx, ordered.gaps(table_stream(fx, fx.candles("5m"))))
+
+
+@query("stream_outages")
+def stream_outages(fx):
+    rows = tick_stream(fx).select("pair", F.col("ts").alias("timestamp"))
+    return _result(fx, streams.outages(rows, "30 minutes"))
+
+
+@query("stream_late_data")
+def stream_late_data(fx):
+    delay = F.pmod(F.col("tick_id"), F.lit(13)) * 40
+    rows = tick_stream(fx).select(
+        "pair", "tick_id", F.col("ts").alias("timestamp"),
+        F.timestamp_seconds(F.unix_seconds("ts") + delay).alias("received_at"))
+    return _result(fx, streams.on_time(rows))
+
+
+@query("stream_upsert")
+def stream_upsert(fx):
+    loads = table_stream(fx, fx.two_loads())
+    path = sinks.drain(fx.spark, loads, sinks.start_upsert)
+    return stored_candles(fx.spark, path, loads.schema).select(
+        *SERIES_KEY, "timestamp", *CANDLE_FIELDS, "load_seq")

@@ -1,22 +1,26 @@
 """Candle tables on disk: layout, reading, writing, exporting.
 
-Layout: Parquet, partitioned by pair and interval, rows sorted by time within
-a file, so that equality filters prune directories and time filters prune row
-groups.
+Layout: Parquet, partitioned by pair, interval and month, rows sorted by time
+within a file, so that equality filters prune directories and time filters prune
+row groups.
 """
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candlewright.functions.decimals import fixed_text
 from candlewright.functions.rendering import iso_utc
 from candlewright.operators.upsert import dedup_candles, upsert_candles
 from candlewright.operators.validate import candle_failure
 from candlewright.schemas import CANDLE_FIELDS, CANDLES, SERIES_KEY
+from candlewright.session import shared_folder
 
 EXPORT_COLUMNS = ["timestamp", "pair", "interval", *CANDLE_FIELDS]
-# Rows of one series and one file; a hot series is spread over many files.
-ROWS_PER_FILE_BUCKET_SECONDS = 30 * 86400
+PARTITIONS = [*SERIES_KEY, "month"]
 
 
 def read_candles(spark: SparkSession, path: str, fmt: str = "parquet", schema=CANDLES) -> DataFrame:
@@ -29,34 +33,62 @@ def read_candles(spark: SparkSession, path: str, fmt: str = "parquet", schema=CA
     return reader.load(path)
 
 
+def _with_month(candles: DataFrame) -> DataFrame:
+    """Adds the directory column: year * 100 + month."""
+    return candles.withColumn("month", (F.year("timestamp") * 100 + F.month("timestamp")).cast("int"))
+
+
 def write_candles(candles: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write the partitioned layout.
+    """Write the partitioned layout; with ``overwrite`` only touched partitions change.
 
     Rows are distributed by (series, month) and not by series alone, so one
     hot series is written by many tasks.
     """
-    month = F.floor(F.unix_seconds("timestamp") / ROWS_PER_FILE_BUCKET_SECONDS)
     (
-        candles.repartition(*SERIES_KEY, month)
-        .sortWithinPartitions(*SERIES_KEY, "timestamp")
+        _with_month(candles).repartition(*PARTITIONS)
+        .sortWithinPartitions(*PARTITIONS, "timestamp")
         .write.mode(mode).option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*SERIES_KEY).parquet(path)
+        .partitionBy(*PARTITIONS).parquet(path)
     )
 
 
-def store_batch(spark: SparkSession, path: str, incoming: DataFrame, version: int) -> str:
-    """Upsert a batch into the table version ``path/v=<version-1>``; returns the new version's path.
+def _stored(spark: SparkSession, path: str, like: DataFrame):
+    """The table at ``path`` with the columns of ``like``, or None when there is none."""
+    schema = T.StructType(_with_month(like).schema.fields)
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return None
+
+
+def store_batch(spark: SparkSession, path: str, incoming: DataFrame) -> None:
+    """Upsert a batch into the table; only the partitions it touches are rewritten.
 
-    The new version is a different folder: the one being read is never
-    overwritten, and a failed or repeated attempt leaves the old one intact.
+    The merged partitions go to a staging table first and replace the old ones
+    from there, so no file is overwritten while it is being read, and a repeated
+    attempt gives the same table.
     """
-    target = f"{path}/v={version}"
-    if version == 0:
-        merged = dedup_candles(incoming)
-    else:
-        merged = upsert_candles(spark.read.parquet(f"{path}/v={version - 1}"), incoming)
-    write_candles(merged, target)
-    return target
+    existing = _stored(spark, path, incoming)
+    if existing is None:
+        write_candles(dedup_candles(incoming), path)
+        return
+    batch = _with_month(incoming)
+    reach = batch.agg(F.min("month").alias("lo"), F.max("month").alias("hi")).first()
+    if reach["lo"] is None:
+        return
+    touched = batch.select(*PARTITIONS).distinct()
+    # The month bounds prune directories; the semi join then keeps exactly the touched ones.
+    affected = existing.where(F.col("month").between(reach["lo"], reach["hi"])).join(
+        touched, PARTITIONS, "left_semi")
+    stage = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    upsert_candles(affected.drop("month"), incoming).write.parquet(stage)
+    write_candles(spark.read.parquet(stage), path)
+
+
+def stored_candles(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The partitioned table with the key columns typed by ``schema``."""
+    full = T.StructType([*schema.fields, T.StructField("month", T.IntegerType())])
+    return spark.read.schema(full).parquet(path).drop("month")
 
 
 def accept_batch(raw: DataFrame) -> DataFrame:

@@ -7,8 +7,7 @@ processors hold one candle per series plus the rows not yet released.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewright.functions.intervals import interval_seconds
-from candlewright.operators.resample import slot_start
+from candlewright.functions.intervals import interval_seconds, seconds_of
 from candlewright.operators.validate import validate_candles
 from candlewright.schemas import CANDLE_KEY, DECIMAL
 
@@ -27,7 +26,7 @@ def resample(candles: DataFrame, interval: str, lateness: str = LATENESS,
 
     With ``slide`` the windows overlap.
     """
-    width = f"{_seconds(interval)} seconds"
+    width = f"{seconds_of(interval)} seconds"
     offset = "4 days" if interval == "1w" else "0 seconds"
     window = F.window("timestamp", width, slide or width, offset)
     return (
@@ -46,7 +45,7 @@ def ticks_to_candles(ticks: DataFrame, interval: str, lateness: str = LATENESS)
     order = F.struct("ts", "tick_id")
     return (
         ticks.withWatermark("ts", lateness)
-        .groupBy("pair", F.window("ts", f"{_seconds(interval)} seconds").alias("w"))
+        .groupBy("pair", F.window("ts", f"{seconds_of(interval)} seconds").alias("w"))
         .agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"),
              F.min("price").alias("low"), F.max_by("price", order).alias("close"),
              F.sum("size").alias("volume"))
@@ -80,13 +79,3 @@ def on_time(rows: DataFrame, as_of_column: str = "received_at", seconds: int = 3
 def with_step(candles: DataFrame) -> DataFrame:
     """Candles with the interval length the stateful processors need."""
     return candles.withColumn("step_seconds", interval_seconds(F.col("interval")))
-
-
-def _seconds(interval: str) -> int:
-    from candlewright.functions.intervals import seconds_of
-
-    return seconds_of(interval)
-
-
-__all__ = ["ingest_dedup", "resample", "ticks_to_candles", "validate", "outages", "on_time",
-           "with_step", "slot_start"]
