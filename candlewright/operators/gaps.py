@@ -7,6 +7,7 @@ from candlewright.functions.intervals import (
     DAY, HOUR, at, ceil_to, floor_to, interval_seconds, seconds_between,
 )
 from candlewright.operators.series import BUCKET, SLOTS_PER_BUCKET, running, time_bucket, transitions
+from candlewright.operators.totals import with_empty_row
 from candlewright.schemas import SERIES_KEY
 
 RECENT_SECONDS = 5 * 60
@@ -335,9 +336,9 @@ def detection_result(gaps: DataFrame, series: DataFrame) -> DataFrame:
     counts = gaps.groupBy("pair", "priority").agg(F.count(F.lit(1)).alias("n"))
     # One pass over the small counts table gives the total and both breakdowns.
     level = F.grouping_id()
-    found = counts.groupingSets([[], ["pair"], ["priority"]], "pair", "priority").agg(
+    found = with_empty_row(counts).groupingSets([[], ["pair"], ["priority"]], "pair", "priority").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("value"), level.alias("_level")
-    ).select(
+    ).where((F.col("_level") == 3) | (F.col("value") > 0)).select(
         F.when(F.col("_level") == 3, "gaps_detected").when(F.col("_level") == 1, "gaps_by_pair")
         .otherwise("gaps_by_priority").alias("metric"),
         F.coalesce("pair", F.col("priority").cast("string")).alias("label"), "value")

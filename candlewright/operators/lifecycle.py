@@ -8,6 +8,7 @@ from candlewright.functions.rendering import priority_label
 from candlewright.operators.gaps import gap_period_reason
 from candlewright.operators.series import ranked
 from candlewright.operators.statefold import fold_events
+from candlewright.operators.totals import with_empty_row
 from candlewright.schemas import SERIES_KEY
 
 # Legal gap transitions by event type.
@@ -218,7 +219,7 @@ def gap_statistics(gaps: DataFrame) -> DataFrame:
     ).withColumn("_state", F.col("status"))
     active = F.col("status").isin("detected", "filling")
     of = lambda wanted: F.coalesce(F.sum(F.when(wanted, F.col("n"))), F.lit(0))
-    sets = base.withColumn("_active", active).groupingSets(
+    sets = with_empty_row(base).withColumn("_active", active).groupingSets(
         [[], ["status"], ["priority"], ["pair"]], "status", "priority", "pair").agg(
         F.grouping_id().alias("_level"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
         F.coalesce(F.sum(F.when(F.col("_active"), F.col("n"))), F.lit(0)).alias("active"),
@@ -247,7 +248,8 @@ def gap_statistics(gaps: DataFrame) -> DataFrame:
         .when(F.col("_level") == 5, F.array(row("by_priority", F.col("priority"), F.col("active"))))
         .otherwise(F.array(row("by_pair", F.col("pair"), F.col("active"))))
     )
-    return sets.where(F.col("_level").isin(3, 7) | (F.col("active") > 0)).select(F.inline(shown))
+    counted = F.when(F.col("_level") == 3, total).otherwise(F.col("active"))
+    return sets.where((F.col("_level") == 7) | (counted > 0)).select(F.inline(shown))
 
 
 def get_gaps(gaps: DataFrame, pair: str = None, interval: str = None) -> DataFrame:

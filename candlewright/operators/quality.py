@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlewright.functions.scoring import ANOMALY_TYPES, at_least
+from candlewright.operators.totals import with_empty_row
 from candlewright.schemas import SERIES_KEY
 
 QUALITY_THRESHOLD = 0.8
@@ -56,12 +57,12 @@ def summarise_results(results: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum(F.size("checks_passed")).alias("checks"),
         F.sum(F.size("anomalies")).alias("anomalies"), *per_type)
     bad = F.when(at_least(F.col("_s"), "error"), F.col("n")).otherwise(0)
-    sets = base.withColumn("_s", F.col("severity")).groupingSets(
+    sets = with_empty_row(base).withColumn("_s", F.col("severity")).groupingSets(
         [[], ["severity"], ["action_taken"]], "severity", "action_taken").agg(
         F.grouping_id().alias("_level"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c)
           for c in ["n", "checks", "anomalies", *[f"_{t}" for t in ANOMALY_TYPES]]],
-        F.sum(bad).alias("_bad"))
+        F.sum(bad).alias("_bad")).where((F.col("_level") == 3) | (F.col("n") > 0))
 
     def row(metric, label, value):
         return F.struct(F.lit(metric).alias("metric"), label.cast("string").alias("label"),
@@ -125,9 +126,10 @@ def quality_metrics(results: DataFrame, cross_anomalies: DataFrame = None,
             (F.col("anomalies_detected") + F.coalesce("_more", F.lit(0))).alias("anomalies_detected"),
             (F.col("critical_issues") + F.coalesce("_critical", F.lit(0))).alias("critical_issues"))
     counts = [c for c in base.columns if c not in by]
-    sets = base.groupingSets([by, []], *by).agg(
+    sets = with_empty_row(base).groupingSets([by, []], *by).agg(
+        F.grouping_id().alias("_level"),
         *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in counts])
-    return _scores(sets)
+    return _scores(sets.where((F.col("_level") > 0) | (F.col("total_candles") > 0)).drop("_level"))
 
 
 def quality_gate(metrics: DataFrame, threshold: float = QUALITY_THRESHOLD) -> DataFrame:

@@ -34,20 +34,24 @@ class OrderedSteps(StatefulProcessor):
         self.last = handle.getValueState("last", "at long, " + _ROW)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = None
+        first = None
         for batch in rows:
-            at = batch["at"].tolist()
-            for entry in zip(at, batch["step_seconds"], batch["high"], batch["volume"]):
-                self.waiting.updateValue((int(entry[0]),), (int(entry[1]), entry[2], entry[3]))
-            newest = max([*at, newest] if newest is not None else at)
-        if newest is not None:
-            self.handle.registerTimer(int(newest) // 1000)
+            for at, step, high, volume in zip(
+                    batch["at"].tolist(), batch["step_seconds"].tolist(), batch["high"], batch["volume"]):
+                self.waiting.updateValue((at,), (step, high, volume))
+                first = at if first is None else min(first, at)
+        if first is not None:
+            self.handle.registerTimer(first // 1000)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = (expiredTimerInfo.getExpiryTimeInMs() + 1) * 1000
-        ready = sorted(
-            ((k[0], *v) for k, v in self.waiting.iterator() if k[0] < limit), key=lambda r: r[0])
+        # Everything the watermark has passed goes out at once; one timer then
+        # waits for the earliest row that is left.
+        limit = (timerValues.getCurrentWatermarkInMs() + 1) * 1000
+        held = sorted(((k[0], *v) for k, v in self.waiting.iterator()), key=lambda r: r[0])
+        ready = [row for row in held if row[0] < limit]
+        if len(held) > len(ready):
+            self.handle.registerTimer(held[len(ready)][0] // 1000)
         if not ready:
             return
         for row in ready:
