@@ -95,9 +95,9 @@ def sequence_anomalies(rows: DataFrame, arrival: str, keys=("pair",), step_secon
     """
     keys = list(keys)
     step = interval_seconds(F.col("interval")) if step_seconds is None else step_seconds
-    carried = ["timestamp"] + (["interval"] if step_seconds is None and "interval" not in keys else [])
-    steps = transitions(rows, keys, arrival, carried, number_bucket(F.col(arrival), rows_per_bucket))
-    return _sequence_rows(steps, step, drift_seconds).select(
+    steps = transitions(rows.withColumn("_step", step), keys, arrival, ["timestamp", "_step"],
+                        number_bucket(F.col(arrival), rows_per_bucket))
+    return _sequence_rows(steps, F.col("_step"), drift_seconds).select(
         *keys, arrival, "timestamp", "prev_timestamp", "type", "rule", "description", "value",
         "threshold", "confidence", "severity")
 
@@ -191,7 +191,7 @@ def lookback_context(candles: DataFrame, rows: int = LOOKBACK_ROWS,
     order = [F.asc("timestamp")]
     placed = ranked(
         candles.select(*SERIES_KEY, "timestamp", "close"), SERIES_KEY, order,
-        [(time_bucket(F.col("timestamp"), F.col("interval"), block), False)], "_pos")
+        [[(time_bucket(F.col("timestamp"), F.col("interval"), block), False)]], "_pos")
     own = F.floor((F.col("_pos") - 1) / F.lit(block)).cast("bigint")
     reach = F.floor((F.col("_pos") - 1 + rows) / F.lit(block)).cast("bigint")
     shared = placed.withColumn("_own", own).withColumn(

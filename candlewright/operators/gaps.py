@@ -14,6 +14,9 @@ RECENT_SECONDS = 5 * 60
 MAX_ATTEMPTS = 5
 MAX_AGE_SECONDS = 30 * DAY
 
+# Slots per bucket of the candle-in-gap join.
+JOIN_SLOTS = 64
+
 _STEP = "_step"
 
 
@@ -269,11 +272,12 @@ def trading_calendar_filter(gaps: DataFrame, closed: DataFrame) -> DataFrame:
 
 
 def match_candles(gaps: DataFrame, candles: DataFrame, include_end: bool,
-                  slots_per_bucket: int = SLOTS_PER_BUCKET) -> DataFrame:
+                  slots_per_bucket: int = JOIN_SLOTS) -> DataFrame:
     """Gap columns with each candle inside the gap.
 
     Both sides carry a time bucket, so the join has the equality keys
-    (pair, interval, bucket) and never pairs a whole series with itself.
+    (pair, interval, bucket). Buckets are narrow: a candle only meets the few
+    gaps of its own bucket, and a hot series is spread over very many buckets.
     """
     step = F.coalesce(interval_seconds(F.col("interval")), F.lit(HOUR)) * slots_per_bucket
 

@@ -150,14 +150,15 @@ def fill_order() -> list:
 def gap_rank(gaps: DataFrame, keys=()) -> DataFrame:
     """Position of each gap in fill order, over all gaps or within ``keys``.
 
-    Counted per (priority, creation day, start day) plus offsets: the only table
-    that is ordered as a whole has one row per such combination.
+    Only (priority, creation day) is ordered as a whole. Below it come the
+    exact creation time, since one detection run stamps all its gaps alike, and
+    the hour a gap starts in; a series has few gaps per hour.
     """
-    day = lambda c: F.floor(F.unix_seconds(c) / DAY).cast("bigint")
-    # A creation day is a prefix of the order only together with the exact time,
-    # so the middle bucket is the creation time itself.
+    per = lambda c, seconds: F.floor(F.unix_seconds(c) / seconds).cast("bigint")
     return ranked(gaps, keys, fill_order(), [
-        (F.col("priority"), True), (F.col("created_at"), False), (day("start_time"), False),
+        [(F.col("priority"), True), (per("created_at", DAY), False)],
+        [(F.col("created_at"), False)],
+        [(per("start_time", HOUR), False)],
     ], "fill_rank")
 
 

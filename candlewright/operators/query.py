@@ -43,13 +43,11 @@ def query_page(candles: DataFrame, pair=None, interval=None, start=None, end=Non
     The count is a second, column-pruned pass over the same filter.
     """
     page = query_candles(candles, pair, interval, start, end, descending, limit, offset)
-    total = select_candles(candles, pair, interval, start, end).agg(
-        F.count(F.lit(1)).alias("total"))
+    total = select_candles(candles, pair, interval, start, end).agg(F.count(F.lit(1))).scalar()
     begin = F.least(F.lit(offset), F.col("total"))
     stop = F.least(begin + limit, F.col("total")) if limit else F.col("total")
-    meta = total.select(
-        "total", (stop < F.col("total")).alias("has_more"), stop.cast("bigint").alias("next_offset"))
-    return page.crossJoin(meta)  # meta is exactly one row
+    return page.withColumn("total", total).withColumns({
+        "has_more": stop < F.col("total"), "next_offset": stop.cast("bigint")})
 
 
 def query_after(candles: DataFrame, last_timestamp, last_pair: str, last_interval: str,

@@ -105,24 +105,37 @@ def running(df: DataFrame, keys, order: list, measures: dict, bucket: Column) ->
         *df.columns, *[merged(out, kind) for out, (kind, _) in measures.items()])
 
 
-def ranked(df: DataFrame, keys, order: list, buckets: list, name: str) -> DataFrame:
-    """``row_number`` over ``keys``, computed per bucket plus an offset.
+def ranked(df: DataFrame, keys, order: list, levels: list, name: str) -> DataFrame:
+    """``row_number`` over ``keys``, computed per bucket plus offsets.
 
-    ``buckets`` are (column expression, descending) pairs that are leading or
-    coarsened parts of ``order``; together they cut a hot key into small pieces.
+    ``levels`` is a list of bucket levels, each a list of (column, descending)
+    pairs; level after level they must follow ``order``. Only the first level is
+    ordered over a whole key; every further one is ordered within the buckets
+    above it, and rows only within the finest buckets.
     """
     keys = list(keys)
-    parts = [f"_b{i}" for i in range(len(buckets))]
-    rows = df.select("*", *[expr.alias(p) for p, (expr, _) in zip(parts, buckets)])
-    part_order = [F.desc(p) if down else F.asc(p) for p, (_, down) in zip(parts, buckets)]
-    counts = rows.groupBy(*keys, *parts).agg(F.count(F.lit(1)).alias("_n"))
-    over = Window.partitionBy(*keys).orderBy(*part_order) if keys else Window.orderBy(*part_order)
-    offsets = counts.select(*keys, *parts, F.coalesce(
-        F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    ).alias("_offset"))
-    inside = Window.partitionBy(*keys, *parts).orderBy(*order)
+    named = [[(f"_b{i}_{j}", *part) for j, part in enumerate(level)] for i, level in enumerate(levels)]
+    columns = [[n for n, _, _ in level] for level in named]
+    upto = lambda depth: [*keys, *[c for level in columns[:depth] for c in level]]
+    rows = df.select("*", *[expr.alias(n) for level in named for n, expr, _ in level])
+
+    counts = rows.groupBy(*upto(len(levels))).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = None
+    for depth in range(len(levels), 0, -1):
+        level_order = [F.desc(n) if down else F.asc(n) for n, _, down in named[depth - 1]]
+        earlier = (Window.partitionBy(*upto(depth - 1)).orderBy(*level_order)
+                   .rowsBetween(Window.unboundedPreceding, -1))
+        here = counts.select(*upto(depth), F.coalesce(
+            F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+        if offsets is None:
+            offsets = here.withColumnRenamed("_before", "_offset")
+        else:
+            offsets = offsets.join(here, upto(depth)).withColumn(
+                "_offset", F.col("_offset") + F.col("_before")).drop("_before")
+        counts = counts.groupBy(*upto(depth - 1)).agg(F.sum("_n").alias("_n"))
+    inside = Window.partitionBy(*upto(len(levels))).orderBy(*order)
     return (
         rows.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, [*keys, *parts])
+        .join(offsets, upto(len(levels)))
         .select(*df.columns, (F.col("_offset") + F.col("_rn")).alias(name))
     )

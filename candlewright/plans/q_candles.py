@@ -19,10 +19,10 @@ KEY = 'pair, "interval", "timestamp"'
 
 # --- candles and resampling ------------------------------------------------------
 
-query("ticks_to_candles", f"SELECT {KEY}, {ohlcv()} FROM c1h", ["c1h"])(lambda fx: fx.candles("1h"))
-query("candles_1h", f"SELECT {KEY}, {ohlcv()} FROM c1h", ["c1h"])(lambda fx: fx.candles("1h"))
-query("candles_5m", f"SELECT {KEY}, {ohlcv()} FROM c5m", ["c5m"])(lambda fx: fx.candles("5m"))
-query("candles_1d", f"SELECT {KEY}, {ohlcv()} FROM c1d", ["c1d"])(lambda fx: fx.daily())
+query("ticks_to_candles", f"SELECT {KEY}, {ohlcv()} FROM c1h", ["c1h"])(lambda fx: fx.build_candles("1h"))
+query("candles_1h", f"SELECT {KEY}, {ohlcv()} FROM c1h", ["c1h"])(lambda fx: fx.build_candles("1h"))
+query("candles_5m", f"SELECT {KEY}, {ohlcv()} FROM c5m", ["c5m"])(lambda fx: fx.build_candles("5m"))
+query("candles_1d", f"SELECT {KEY}, {ohlcv()} FROM c1d", ["c1d"])(lambda fx: fx.build_daily())
 query("read_candles", f"SELECT {KEY}, {ohlcv()} FROM c1d", ["c1d"])(lambda fx: fx.daily())
 
 

@@ -95,10 +95,10 @@ def accept_batch(raw: DataFrame) -> DataFrame:
     """All rows when every row is valid, none otherwise.
 
     One invalid candle rejects its whole batch; the count of invalid rows is a
-    one-row aggregate that is joined back.
+    scalar subquery.
     """
-    bad = raw.agg(F.count_if(candle_failure().isNotNull()).alias("_bad"))
-    return raw.crossJoin(bad).where("_bad = 0").drop("_bad")  # bad is exactly one row
+    bad = raw.agg(F.count_if(candle_failure().isNotNull())).scalar()
+    return raw.where(bad == 0)
 
 
 def export_view(candles: DataFrame) -> DataFrame:

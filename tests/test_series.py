@@ -50,7 +50,7 @@ def test_ranked(spark):
     rows = [(rng.randint(0, 2), rng.randint(0, 40), i) for i in range(200)]
     df = frame(spark, rows, "p int, t int, i int")
     got = ranked(df, [], [F.desc("p"), F.asc("t"), F.asc("i")],
-                 [(F.col("p"), True), (F.floor(F.col("t") / 9), False)], "r")
+                 [[(F.col("p"), True), (F.floor(F.col("t") / 9), False)], [(F.col("t"), False)]], "r")
     want = {r[2]: n + 1 for n, r in enumerate(sorted(rows, key=lambda r: (-r[0], r[1], r[2])))}
     assert {r.i: r.r for r in got.collect()} == want
 
