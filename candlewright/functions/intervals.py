@@ -34,8 +34,10 @@ def interval_seconds(interval: Column) -> Column:
     """Same as :func:`seconds_of` for a column; NULL when malformed."""
     count = F.regexp_extract(interval, _PATTERN, 1).try_cast("bigint")
     unit = F.regexp_extract(interval, _PATTERN, 2)
-    out = F.when(interval == "1w", F.lit(NAMED_SECONDS["1w"]).cast("bigint"))
-    out = out.when(interval == "1M", F.lit(NAMED_SECONDS["1M"]).cast("bigint"))
+    # Usual names are compared as text; the pattern is only for the unusual ones.
+    out = F
+    for name in JOB_INTERVALS:
+        out = out.when(interval == name, F.lit(seconds_of(name)).cast("bigint"))
     for name, size in UNIT_SECONDS.items():
         out = out.when((unit == name) & (count > 0), count * F.lit(size).cast("bigint"))
     return out

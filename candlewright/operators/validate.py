@@ -5,9 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewright.functions.decimals import (
-    is_numeric_text, out_of_range, parse_decimal, plain_text,
-)
+from candlewright.functions.decimals import is_numeric_text, parse_decimal, plain_text
 from candlewright.functions.intervals import JOB_INTERVALS, at, seconds_of
 from candlewright.functions.scoring import (
     ACTIONS, ANOMALY_TYPES, SEVERITIES, recommend_action, worst_severity,
@@ -45,28 +43,38 @@ def parse_decimals(raw: DataFrame) -> DataFrame:
 
 
 def parse_report(raw: DataFrame) -> DataFrame:
-    """Which text fields parsed, per row: value, ``ok``, ``format`` or ``out_of_range``."""
+    """Values of the text fields, with ``ok``, ``format`` or ``out_of_range`` per field."""
     def state(f):
-        text = F.col(f)
-        return (F.when(~is_numeric_text(text), "format")
-                .when(out_of_range(text), "out_of_range").otherwise("ok"))
+        return (F.when(~F.col(f"_n_{f}"), "format").when(F.col(f"_v_{f}").isNull(), "out_of_range")
+                .otherwise("ok").alias(f"{f}_state"))
 
-    return raw.withColumns({f"{f}_state": state(f) for f in CANDLE_FIELDS}).withColumns(
-        {f: parse_decimal(F.col(f)) for f in CANDLE_FIELDS})
+    rest = [c for c in raw.columns if c not in CANDLE_FIELDS]
+    return _prepared(raw).select(
+        *rest, *[F.col(f"_v_{f}").alias(f) for f in CANDLE_FIELDS], *[state(f) for f in CANDLE_FIELDS])
 
 
-def candle_failure() -> Column:
-    """First broken rule of a text candle as (field, message); NULL when valid."""
-    value = {f: parse_decimal(F.col(f)) for f in CANDLE_FIELDS}
+def _prepared(raw: DataFrame) -> DataFrame:
+    """Adds ``_n_<field>`` (is a number) and ``_v_<field>`` (its value).
+
+    Two projections, so that each text is matched and parsed once, however many
+    rules look at it.
+    """
+    return raw.withColumns({f"_n_{f}": is_numeric_text(F.col(f)) for f in CANDLE_FIELDS}).withColumns(
+        {f"_v_{f}": F.when(F.col(f"_n_{f}"), F.col(f).try_cast(DECIMAL)) for f in CANDLE_FIELDS})
+
+
+def _candle_failure() -> Column:
+    """First broken rule of a prepared candle as (field, message); NULL when valid."""
+    value = {f: F.col(f"_v_{f}") for f in CANDLE_FIELDS}
     top = F.greatest(value["open"], value["close"])
     bottom = F.least(value["open"], value["close"])
     rules = [("timestamp", F.col("timestamp").isNull(), "timestamp cannot be null or zero")]
     for f in CANDLE_FIELDS:
         what = "volume" if f == "volume" else f"{f} price"
         text = F.coalesce(F.col(f), F.lit(""))
-        rules.append((f, ~is_numeric_text(F.col(f)), F.concat(
+        rules.append((f, ~F.col(f"_n_{f}"), F.concat(
             F.lit(f"invalid {what} format: can't convert "), text, F.lit(" to decimal"))))
-        rules.append((f, out_of_range(F.col(f)), F.concat(F.lit(f"{what} out of range: "), text)))
+        rules.append((f, value[f].isNull(), F.concat(F.lit(f"{what} out of range: "), text)))
     for f in PRICE_FIELDS:
         rules.append((f, value[f] <= 0, f"{f} price must be greater than 0"))
     rules += [
@@ -85,22 +93,25 @@ def candle_failure() -> Column:
     return _first_failure(rules)
 
 
+def _checked(raw: DataFrame) -> DataFrame:
+    # As a generated row the verdict is computed once. A filter on a projected
+    # column would be pushed below it and repeat every rule and parse.
+    verdict = F.inline(F.array(_candle_failure())).alias("error_field", "error_message")
+    return _prepared(raw).select("*", verdict)
+
+
 def validate_candles(raw: DataFrame) -> DataFrame:
     """Adds ``error_field`` and ``error_message`` of the first broken rule."""
-    return (
-        raw.withColumn("_failure", candle_failure())
-        .select(*raw.columns, F.col("_failure.field").alias("error_field"),
-                F.col("_failure.message").alias("error_message"))
-    )
+    return _checked(raw).select(*raw.columns, "error_field", "error_message")
 
 
 def split_valid_invalid(raw: DataFrame):
     """(typed valid candles, rejected rows with their reason)."""
-    checked = validate_candles(raw)
-    valid = checked.where(F.col("error_field").isNull()).drop("error_field", "error_message")
+    checked = _checked(raw)
+    typed = [F.col(f"_v_{c}").alias(c) if c in CANDLE_FIELDS else F.col(c) for c in raw.columns]
     return (
-        valid.withColumns({f: parse_decimal(F.col(f)) for f in CANDLE_FIELDS}),
-        checked.where(F.col("error_field").isNotNull()),
+        checked.where(F.col("error_field").isNull()).select(*typed),
+        checked.where(F.col("error_field").isNotNull()).select(*raw.columns, "error_field", "error_message"),
     )
 
 

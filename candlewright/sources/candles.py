@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from candlewright.functions.decimals import fixed_text
 from candlewright.functions.rendering import iso_utc
 from candlewright.operators.upsert import dedup_candles, upsert_candles
-from candlewright.operators.validate import candle_failure
+from candlewright.operators.validate import validate_candles
 from candlewright.schemas import CANDLE_FIELDS, CANDLES, SERIES_KEY
 from candlewright.session import shared_folder
 
@@ -97,7 +97,7 @@ def accept_batch(raw: DataFrame) -> DataFrame:
     One invalid candle rejects its whole batch; the count of invalid rows is a
     scalar subquery.
     """
-    bad = raw.agg(F.count_if(candle_failure().isNotNull())).scalar()
+    bad = validate_candles(raw).agg(F.count("error_field")).scalar()
     return raw.where(bad == 0)
 
 

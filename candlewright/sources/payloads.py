@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlewright.operators.validate import split_valid_invalid
+from candlewright.schemas import CANDLE_FIELDS
 
 # Order of the values in one candle element.
 ELEMENT_FIELDS = ["timestamp", "low", "high", "open", "close", "volume"]
@@ -43,17 +44,15 @@ def parse_candle_payload(payloads: DataFrame, column: str = "payload"):
         F.try_parse_json(column), "$", "array<array<variant>>"))
     broken = opened.where(F.col("_rows").isNull()).drop("_rows")
     e = [F.get(F.col("_e"), F.lit(i)) for i in range(6)]
+    usable = F.forall(F.slice("_e", 2, 5), lambda v: _kind(v) != "other")
     rows = (
         opened.where(F.col("_rows").isNotNull())
         .select(*keep, F.explode("_rows").alias("_e"))
-        .where(F.size("_e") == 6)
-        .where(_kind(e[0]) == "number")
+        .where((F.size("_e") == 6) & (_kind(e[0]) == "number") & usable)
         .select(
             *keep,
             F.timestamp_seconds(F.try_variant_get(e[0], "$", "double").cast("bigint")).alias("timestamp"),
-            *[_value_text(e[i]).alias(f) for i, f in enumerate(ELEMENT_FIELDS) if i])
-        .where(" AND ".join(f"{f} IS NOT NULL" for f in ELEMENT_FIELDS))
-        .select(*keep, "timestamp", "open", "high", "low", "close", "volume")
+            *[_value_text(e[ELEMENT_FIELDS.index(f)]).alias(f) for f in CANDLE_FIELDS])
     )
     return rows, broken
 
