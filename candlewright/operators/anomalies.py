@@ -1,5 +1,7 @@
 """Anomalies between candles of a series."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,46 +44,79 @@ def as_of_prev(candles: DataFrame, slots_per_bucket: int = SLOTS_PER_BUCKET) ->
         time_bucket(F.col("timestamp"), F.col("interval"), slots_per_bucket), include_first=True)
 
 
-def _scored(steps: DataFrame, kind: str, rule: str, value: Column, threshold: float,
-            confidence: Column, description: Column) -> DataFrame:
+def _finding(kind: str, rule, hit: Column, value: Column, threshold: float, confidence: Column,
+             description: Column) -> Column:
+    """The anomaly as a struct where ``hit`` holds, else NULL."""
     limit = F.lit(float(threshold))
-    return steps.select(
-        *SERIES_KEY, "timestamp", F.lit(kind).alias("type"), F.lit(rule).alias("rule"),
-        description.alias("description"), value.cast("double").alias("value"),
-        limit.alias("threshold"), confidence.alias("confidence"),
-        severity_of(F.lit(kind), value, limit, confidence).alias("severity"))
+    rule = F.lit(rule) if isinstance(rule, str) else rule
+    return F.when(hit, F.struct(
+        F.lit(kind).alias("type"), rule.alias("rule"), description.alias("description"),
+        value.cast("double").alias("value"), limit.alias("threshold"), confidence.alias("confidence"),
+        severity_of(F.lit(kind), value, limit, confidence).alias("severity")))
 
 
-def spikes_from(steps: DataFrame, threshold=SPIKE_THRESHOLD) -> DataFrame:
+def spike_finding(threshold=SPIKE_THRESHOLD) -> Column:
     r = ratio(F.col("high"), F.col("prev_high"))
     text = F.concat(
         F.lit("Price spike detected: "), F.format_string("%.2f", (r - 1) * 100),
         F.lit("% increase (current: "), plain_text(F.col("high")),
         F.lit(", previous: "), plain_text(F.col("prev_high")), F.lit(")"))
-    hits = steps.where(exceeds(F.col("high"), F.col("prev_high"), threshold))
-    return _scored(hits, "price_spike", "high_ratio", r, SPIKE_THRESHOLD, spike_confidence(r), text)
+    return _finding("price_spike", "high_ratio", exceeds(F.col("high"), F.col("prev_high"), threshold),
+                    r, SPIKE_THRESHOLD, spike_confidence(r), text)
 
 
-def surges_from(steps: DataFrame, threshold=SURGE_THRESHOLD) -> DataFrame:
+def surge_finding(threshold=SURGE_THRESHOLD) -> Column:
     r = ratio(F.col("volume"), F.col("prev_volume"))
     text = F.concat(
         F.lit("Volume surge detected: "), F.format_string("%.2f", r),
         F.lit("x increase (current: "), plain_text(F.col("volume")),
         F.lit(", previous: "), plain_text(F.col("prev_volume")), F.lit(")"))
-    hits = steps.where(exceeds(F.col("volume"), F.col("prev_volume"), threshold))
-    return _scored(hits, "volume_surge", "volume_ratio", r, SURGE_THRESHOLD, surge_confidence(r), text)
+    return _finding("volume_surge", "volume_ratio", exceeds(F.col("volume"), F.col("prev_volume"), threshold),
+                    r, SURGE_THRESHOLD, surge_confidence(r), text)
+
+
+def sequence_finding(step: Column, drift_seconds: int = DRIFT_SECONDS) -> Column:
+    """Out of order, or off the expected time by more than the tolerance."""
+    gap = (F.unix_micros("timestamp") - F.unix_micros("prev_timestamp")) / 1_000_000 - step
+    late = F.col("timestamp") < F.col("prev_timestamp")
+    expected = F.timestamp_micros(F.unix_micros("prev_timestamp") + step * F.lit(1_000_000))
+    minutes = gap / 60
+    text = F.when(late, F.concat(
+        F.lit("Timestamp out of order: "), iso_utc(F.col("timestamp")), F.lit(" comes after "),
+        iso_utc(F.col("prev_timestamp")))).otherwise(F.concat(
+            F.lit("Timestamp sequence gap detected: "), F.format_string("%.2f", minutes),
+            F.lit(" minutes gap (expected: "), iso_utc(expected), F.lit(", actual: "),
+            iso_utc(F.col("timestamp")), F.lit(")")))
+    return _finding(
+        "sequence_gap", F.when(late, "out_of_order").otherwise("interval_gap"),
+        late | (F.abs(gap) > drift_seconds), minutes, drift_seconds / 60.0,
+        sequence_confidence(gap, drift_seconds), text)
+
+
+def findings(steps: DataFrame, columns, *checks: Column) -> DataFrame:
+    """Rows of all checks, found in one pass over the steps."""
+    return steps.select(*columns, F.inline(F.array_compact(F.array(*checks))))
+
+
+def cross_anomalies(steps: DataFrame, spike_threshold=SPIKE_THRESHOLD,
+                    surge_threshold=SURGE_THRESHOLD) -> DataFrame:
+    """Price spikes and volume surges of candle steps."""
+    return findings(steps, [*SERIES_KEY, "timestamp"],
+                    spike_finding(spike_threshold), surge_finding(surge_threshold))
 
 
 def price_spikes(candles: DataFrame, threshold=SPIKE_THRESHOLD,
                  slots_per_bucket: int = SLOTS_PER_BUCKET) -> DataFrame:
     """High more than ``threshold`` times the previous high."""
-    return spikes_from(candle_steps(candles, slots_per_bucket), threshold)
+    return findings(candle_steps(candles, slots_per_bucket), [*SERIES_KEY, "timestamp"],
+                    spike_finding(threshold))
 
 
 def volume_surges(candles: DataFrame, threshold=SURGE_THRESHOLD,
                   slots_per_bucket: int = SLOTS_PER_BUCKET) -> DataFrame:
     """Volume more than ``threshold`` times the previous volume."""
-    return surges_from(candle_steps(candles, slots_per_bucket), threshold)
+    return findings(candle_steps(candles, slots_per_bucket), [*SERIES_KEY, "timestamp"],
+                    surge_finding(threshold))
 
 
 def sequence_anomalies(rows: DataFrame, arrival: str, keys=("pair",), step_seconds: Column = None,
@@ -97,29 +132,8 @@ def sequence_anomalies(rows: DataFrame, arrival: str, keys=("pair",), step_secon
     step = interval_seconds(F.col("interval")) if step_seconds is None else step_seconds
     steps = transitions(rows.withColumn("_step", step), keys, arrival, ["timestamp", "_step"],
                         number_bucket(F.col(arrival), rows_per_bucket))
-    return _sequence_rows(steps, F.col("_step"), drift_seconds).select(
-        *keys, arrival, "timestamp", "prev_timestamp", "type", "rule", "description", "value",
-        "threshold", "confidence", "severity")
-
-
-def _sequence_rows(steps: DataFrame, step: Column, drift_seconds: int) -> DataFrame:
-    gap = (F.unix_micros("timestamp") - F.unix_micros("prev_timestamp")) / 1_000_000 - step
-    late = F.col("timestamp") < F.col("prev_timestamp")
-    expected = F.timestamp_micros(F.unix_micros("prev_timestamp") + step * F.lit(1_000_000))
-    confidence = sequence_confidence(gap, drift_seconds)
-    minutes, tolerance = gap / 60, F.lit(drift_seconds / 60.0)
-    text = F.when(late, F.concat(
-        F.lit("Timestamp out of order: "), iso_utc(F.col("timestamp")), F.lit(" comes after "),
-        iso_utc(F.col("prev_timestamp")))).otherwise(F.concat(
-            F.lit("Timestamp sequence gap detected: "), F.format_string("%.2f", minutes),
-            F.lit(" minutes gap (expected: "), iso_utc(expected), F.lit(", actual: "),
-            iso_utc(F.col("timestamp")), F.lit(")")))
-    return steps.where(late | (F.abs(gap) > drift_seconds)).select(
-        "*", F.lit("sequence_gap").alias("type"),
-        F.when(late, "out_of_order").otherwise("interval_gap").alias("rule"),
-        text.alias("description"), minutes.alias("value"), tolerance.alias("threshold"),
-        confidence.alias("confidence"),
-        severity_of(F.lit("sequence_gap"), minutes, tolerance, confidence).alias("severity"))
+    return findings(steps, [*keys, arrival, "timestamp", "prev_timestamp"],
+                    sequence_finding(F.col("_step"), drift_seconds))
 
 
 def estimate_interval(rows: DataFrame, keys=SERIES_KEY, bucket: Column = None) -> DataFrame:
@@ -131,13 +145,15 @@ def estimate_interval(rows: DataFrame, keys=SERIES_KEY, bucket: Column = None) -
     keys = list(keys)
     if bucket is None:
         bucket = time_bucket(F.col("timestamp"))
-    steps = transitions(rows.select(*keys, "timestamp"), keys, "timestamp", bucket=bucket)
+    # The first row of a series has no spacing; it only makes the series appear.
+    steps = transitions(rows.select(*keys, "timestamp"), keys, "timestamp", bucket=bucket,
+                        include_first=True)
     micros = F.unix_micros("timestamp") - F.unix_micros("prev_timestamp")
     rounded = (F.round(micros / (MINUTE * 1_000_000)) * MINUTE).cast("bigint")
     votes = steps.groupBy(*keys, rounded.alias("step")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy(*keys).agg(
-        F.max_by("step", F.struct("votes", -F.col("step"))).alias("step"))
-    return rows.select(*keys).distinct().join(best, keys, "left").select(*keys, F.when(
+    weight = F.when(F.col("step").isNotNull(), F.struct("votes", -F.col("step")))
+    best = votes.groupBy(*keys).agg(F.max_by("step", weight).alias("step"))
+    return best.select(*keys, F.when(
         F.coalesce(F.col("step"), F.lit(0)) == 0, F.lit(HOUR).cast("bigint"))
         .otherwise(F.col("step")).alias("interval_seconds"))
 
@@ -222,26 +238,22 @@ def validate_all(raw: DataFrame, arrival: str = None, logical: bool = True, spik
         parts.append(logic_anomalies(typed).withColumns({
             "value": F.col("value").cast("double"), "threshold": F.col("threshold").cast("double"),
         }).select(*shape))
-    if spikes:
-        steps = candle_steps(typed)
-        parts += [spikes_from(steps, spike_threshold), surges_from(steps, surge_threshold)]
-    if timestamps:
-        timed = raw.where(F.col("timestamp").isNotNull())
-        steps = estimate_interval(timed)
-        if arrival is None:
-            arrival, timed = "_arrival", timed.withColumn("_arrival", F.unix_micros("timestamp"))
-            width = HOUR * 1_000_000 * SLOTS_PER_BUCKET
-        else:
-            width = SLOTS_PER_BUCKET
-        rows = timed.select(*SERIES_KEY, arrival, "timestamp").join(steps, SERIES_KEY)
-        bucketed = transitions(rows, [*SERIES_KEY, "interval_seconds"], arrival,
-                               [c for c in ["timestamp"] if c != arrival],
-                               number_bucket(F.col(arrival), width))
-        parts.append(_sequence_rows(bucketed, F.col("interval_seconds"), drift_seconds).select(*shape))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    timed = typed.where(F.col("timestamp").isNotNull())
+    checks = [spike_finding(spike_threshold), surge_finding(surge_threshold)] if spikes else []
+    if timestamps and arrival is None:
+        # In time order all checks share one pass over the steps.
+        steps = candle_steps(timed).join(estimate_interval(raw), SERIES_KEY)
+        checks.append(sequence_finding(F.col("interval_seconds"), drift_seconds))
+    elif timestamps:
+        rows = transitions(raw, SERIES_KEY, arrival, ["timestamp"], number_bucket(F.col(arrival)))
+        parts.append(findings(
+            rows.join(estimate_interval(raw), SERIES_KEY), [*SERIES_KEY, "timestamp"],
+            sequence_finding(F.col("interval_seconds"), drift_seconds)).select(*shape))
+    if checks:
+        if not (timestamps and arrival is None):
+            steps = candle_steps(timed)
+        parts.append(findings(steps, [*SERIES_KEY, "timestamp"], *checks).select(*shape))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def filter_anomalies(anomalies: DataFrame, kind: str = None, min_confidence: float = None) -> DataFrame:

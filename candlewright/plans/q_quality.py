@@ -172,8 +172,7 @@ def validate_anomalies(fx):
 # --- anomalies between candles -------------------------------------------------------
 
 def _cross(fx):
-    steps = anomalies.candle_steps(fx.candles("1h"), slots_per_bucket=100)
-    return anomalies.spikes_from(steps).unionByName(anomalies.surges_from(steps))
+    return anomalies.cross_anomalies(anomalies.candle_steps(fx.candles("1h"), slots_per_bucket=100))
 
 
 _SCORED = [*SERIES_KEY, "timestamp", "type", "value", "threshold", "confidence", "severity"]

@@ -12,11 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from candlewright.functions.decimals import ratio
-from candlewright.functions.scoring import (
-    SPIKE_THRESHOLD, SURGE_THRESHOLD, severity_of, spike_confidence, surge_confidence,
-)
-from candlewright.operators.anomalies import exceeds
+from candlewright.operators.anomalies import cross_anomalies
 from candlewright.schemas import SERIES_KEY
 from candlewright.streaming.streams import LATENESS, with_step
 
@@ -85,18 +81,7 @@ def steps(candles: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 def spikes(candles: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Price spikes and volume surges; one stateful stage serves both checks."""
-    def found(kind, now, before, threshold, confidence):
-        r = ratio(F.col(now), F.col(before))
-        score = confidence(r)
-        return F.when(exceeds(F.col(now), F.col(before), threshold), F.struct(
-            F.lit(kind).alias("type"), r.alias("value"), F.lit(threshold).alias("threshold"),
-            score.alias("confidence"),
-            severity_of(F.lit(kind), r, F.lit(threshold), score).alias("severity")))
-
-    hits = F.array_compact(F.array(
-        found("price_spike", "high", "prev_high", SPIKE_THRESHOLD, spike_confidence),
-        found("volume_surge", "volume", "prev_volume", SURGE_THRESHOLD, surge_confidence)))
-    return steps(candles, lateness).select(*SERIES_KEY, "timestamp", F.inline(hits))
+    return cross_anomalies(steps(candles, lateness))
 
 
 def gaps(candles: DataFrame, lateness: str = LATENESS) -> DataFrame:

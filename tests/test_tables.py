@@ -108,7 +108,7 @@ def test_ordered_steps_equal_batch_over_many_batches(spark, fx, folder):
 
 
 def test_stream_spikes_and_gaps_equal_batch(spark, fx, folder):
-    from candlewright.operators.anomalies import candle_steps, spikes_from, surges_from
+    from candlewright.operators.anomalies import candle_steps, cross_anomalies
     from candlewright.operators.gaps import gaps_in_sequence
 
     rows = fx.candles("1h")
@@ -118,8 +118,7 @@ def test_stream_spikes_and_gaps_equal_batch(spark, fx, folder):
     early = lambda c: F.unix_seconds(c) <= F.unix_seconds(limit) - 300
     source = lambda: spark.readStream.schema(rows.schema).parquet(path)
     cut = ["pair", "timestamp", "type", "severity"]
-    steps = candle_steps(rows)
-    want = spikes_from(steps).unionByName(surges_from(steps)).where(early("timestamp"))
+    want = cross_anomalies(candle_steps(rows)).where(early("timestamp"))
     assert want.count() > 0 and same(drained(spark, ordered.spikes(source())).select(*cut), want.select(*cut))
     assert same(drained(spark, ordered.gaps(source())), gaps_in_sequence(rows).where(early("end_time")))
 
