@@ -17,7 +17,7 @@ from candlewright.session import local_session  # noqa: E402
 
 HEADLINE = [
     "candles_1h", "candles_1d", "resample_1d_1w", "candle_features", "gaps_in_range_5m",
-    "gaps_in_sequence", "completeness", "new_gaps", "validate_candles", "candle_results",
+    "gaps_in_sequence", "completeness", "detection_result", "validate_candles", "candle_results",
     "price_spikes", "score_anomalies", "sequence_anomalies", "volume_surge_ma_daily",
     "quality_metrics", "latest_candle", "query_candles", "query_page", "gap_rank",
     "gap_statistics", "merge_gaps", "backfill_apply", "apply_gap_events", "upsert_candles",
