@@ -1,6 +1,6 @@
 """Queries: streams over the events table, drained with an available-now trigger.
 
-They have no SQL twin; the tests compare them with the batch operators.
+They have no SQL twin; tests compare most of the underlying streams with batches.
 """
 
 import uuid
