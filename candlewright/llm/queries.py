@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from candlewright.llm import simhash
-from candlewright.llm.common import table
+from candlewright.llm import mixing, sharding, simhash, tokenfiles
+from candlewright.llm.common import scratch_path, table
 
 QUERIES, SQL = {}, {}
 
@@ -17,3 +17,23 @@ def query(function):
 def op1_simhash(spark, folder):
     found = simhash.simhash_components(table(spark, folder, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op9_histogram_shards(spark, folder):
+    docs = table(spark, folder, "documents").select(
+        "doc_id", "text", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
+    return sharding.histogram_shards(docs, carry=["doc_id", "text_crc32"]).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op8_mixing(spark, folder):
+    return mixing.mixed_sizes(table(spark, folder, "documents"))
+
+
+@query
+def op10_token_files(spark, folder):
+    path = tokenfiles.write_token_file(table(spark, folder, "documents"), scratch_path(spark))
+    return tokenfiles.read_token_file(spark, path)
