@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from candlewright.llm import mixing, sharding, simhash, tokenfiles
+from candlewright.llm import langid, mixing, sharding, simhash, tokenfiles
 from candlewright.llm.common import scratch_path, table
 
 QUERIES, SQL = {}, {}
@@ -37,3 +37,11 @@ def op8_mixing(spark, folder):
 def op10_token_files(spark, folder):
     path = tokenfiles.write_token_file(table(spark, folder, "documents"), scratch_path(spark))
     return tokenfiles.read_token_file(spark, path)
+
+
+@query
+def op7_language(spark, folder):
+    docs = table(spark, folder, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(langid.FOLDS)) == 0
+    found = langid.identified(docs.select("doc_id", "text"), langid.fitted(docs))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
