@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from candlewright.llm import langid, mixing, sharding, simhash, tokenfiles
+from candlewright.llm import decontaminate, langid, mixing, sharding, simhash, tokenfiles
 from candlewright.llm.common import scratch_path, table
 
 QUERIES, SQL = {}, {}
@@ -45,3 +45,8 @@ def op7_language(spark, folder):
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(langid.FOLDS)) == 0
     found = langid.identified(docs.select("doc_id", "text"), langid.fitted(docs))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query
+def op5_decontamination(spark, folder):
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
