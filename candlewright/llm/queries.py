@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from candlewright.llm import decontaminate, langid, mixing, sharding, simhash, tokenfiles
+from candlewright.llm import decontaminate, langid, mixing, neighbours, sharding, simhash, tokenfiles
 from candlewright.llm.common import scratch_path, table
 
 QUERIES, SQL = {}, {}
@@ -50,3 +50,8 @@ def op7_language(spark, folder):
 @query
 def op5_decontamination(spark, folder):
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op2_neighbours(spark, folder):
+    return neighbours.nearest(table(spark, folder, "embeddings"), "vec_id % 50 = 0")
