@@ -164,7 +164,7 @@ def mix(rows, seed=SEED):
     sources = spark.createDataFrame([(n, i, s, float(t)) for i, (n, s, t) in enumerate(zip(names, sizes, wanted))],
                                     "source string, src int, source_size long, target double")
     placed = rows.select("row_of_mix", "source", "words_of_row", "doc_id").join(
-        sources.select(F.col("source").alias("s"), "src"), F.col("source").eqNullSafe(F.col("s"))).select(
+        F.broadcast(sources.select(F.col("source").alias("s"), "src")), F.col("source").eqNullSafe(F.col("s"))).select(
         "row_of_mix", "src", F.col("words_of_row").alias("n"), "doc_id",
         F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("part"))
     before = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -179,7 +179,8 @@ def mix(rows, seed=SEED):
     plan = _plan(sizes, wanted, seed)
     slots = _slot_table(spark, plan, seed)
     begin = F.col("block") * BLOCK
-    pieces = blocks.join(slots, ["src", "block"]).select(
+    # The planner takes the slots for as few as the runs they come from and would broadcast them.
+    pieces = blocks.join(slots.hint("merge"), ["src", "block"]).select(
         "row_of_mix", "lap", "shard", "slot", F.greatest(F.lit(0), begin - F.col("o")).alias("first"),
         F.least(F.col("n"), begin + F.col("take") - F.col("o")).alias("last")).where("first < last")
     return sources, pieces
@@ -190,7 +191,7 @@ def mixed_sizes(docs):
     rows = numbered(docs.select("doc_id", "source", "text")) if "row_of_mix" not in docs.columns else docs
     sources, pieces = mix(rows)
     taken = pieces.groupBy("row_of_mix").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
-    named = sources.select(F.col("source").alias("s"), "source_size", "target")
+    named = F.broadcast(sources.select(F.col("source").alias("s"), "source_size", "target"))
     return rows.select("row_of_mix", "doc_id", "source", "words_of_row").join(taken, "row_of_mix", "left").join(
         named, F.col("source").eqNullSafe(F.col("s"))).select(
         "doc_id", F.col("words_of_row").alias("size"), "source_size", "target",
