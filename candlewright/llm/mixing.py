@@ -139,10 +139,10 @@ def _plan(sources, wanted, seed):
             for s in range(len(counts)) for i in range(len(sources)) if counts[s, i]]
 
 
-def numbered(docs):
-    """Documents with their words, in a stored table; ``row_of_mix`` tells repeated rows apart."""
-    return stored(docs.withColumn("row_of_mix", F.monotonically_increasing_id())
-                  .withColumn("words_of_row", word_count(F.col("text"))))
+def numbered(docs, keep=None):
+    """``keep`` (or all columns) and the words of each row, in a stored table; ``row_of_mix`` tells rows apart."""
+    return stored(docs.withColumn("words_of_row", word_count(F.col("text"))).select(
+        *(keep or docs.columns), "words_of_row", F.monotonically_increasing_id().alias("row_of_mix")))
 
 
 def mix(rows, seed=SEED):
@@ -188,7 +188,7 @@ def mix(rows, seed=SEED):
 
 def mixed_sizes(docs):
     """(doc_id, size, source_size, target, taken) of every row of ``docs``."""
-    rows = numbered(docs.select("doc_id", "source", "text")) if "row_of_mix" not in docs.columns else docs
+    rows = numbered(docs, keep=["doc_id", "source"])
     sources, pieces = mix(rows)
     taken = pieces.groupBy("row_of_mix").agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
     named = F.broadcast(sources.select(F.col("source").alias("s"), "source_size", "target"))
