@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from candlewright.llm import decontaminate, langid, mixing, neighbours, sharding, simhash, tokenfiles
+from candlewright.llm import decontaminate, langid, licences, mixing, neighbours, sharding, simhash, tokenfiles
 from candlewright.llm.common import scratch_path, table
 
 QUERIES, SQL = {}, {}
@@ -55,3 +55,8 @@ def op5_decontamination(spark, folder):
 @query
 def op2_neighbours(spark, folder):
     return neighbours.nearest(table(spark, folder, "embeddings"), "vec_id % 50 = 0")
+
+
+@query
+def op3_licences(spark, folder):
+    return licences.licence_report(table(spark, folder, "documents"))
