@@ -43,7 +43,10 @@ class Encoder:
     """Ids of texts as little-endian 32-bit integers, word by word with a bounded memory.
 
     The vocabulary drops white space and never joins across it, so a text's ids are those
-    of its words, and a word that was met before costs one look-up.
+    of its words, and a word that was met before costs one look-up. Two generations of
+    words are remembered: when the younger is full the older goes, and words still in use
+    move over. The vocabulary's own lower-casing makes capitals of ASCII meaningless,
+    except in the names of its special tokens.
     """
 
     def __init__(self, path):
@@ -51,37 +54,71 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.lower = self.tokenizer.encode("Aa", add_special_tokens=False).ids == \
+            self.tokenizer.encode("aa", add_special_tokens=False).ids
+        self.known, self.older = {}, {}
+
+    def _each(self, words):
+        for i in range(0, len(words), 4096):
+            part = [w.decode("utf-8", "replace") for w in words[i:i + 4096]]
+            for w, e in zip(words[i:i + 4096], self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _together(self, words):
+        """Plain words in one call: each has one token that ends a word, its last."""
+        for i in range(0, len(words), 4096):
+            part = words[i:i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast(
+                [b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = (np.nonzero(self.ends[ids])[0] + 1) * 4
+            if len(stops) != len(part):
+                return self._each(words[i:])
+            raw, start = ids.tobytes(), 0
+            for w, stop in zip(part, stops.tolist()):
+                self.known[w] = raw[start:stop]
+                start = stop
 
     def _learn(self, words):
-        """Ids of unseen words; a plain word with a mark behind it is its two halves."""
-        halves, fresh = {}, {}
+        """Ids of words that are not known; a plain word with marks behind it is its two halves."""
+        halves, plain, other, known, older = [], set(), set(), self.known, self.older
         for w in words:
+            ids = older.get(w)
+            if ids is not None:
+                known[w] = ids
+                continue
             core = w.rstrip(b".,!?;:*#&%$")
-            if len(core) < len(w) and core.isalpha():
-                halves[w] = core.lower(), w[len(core):]
-                for part in halves[w]:
-                    if part not in self.known:
-                        fresh[part] = None
+            if core.isalpha():
+                if core is not w and len(core) < len(w):
+                    tail = w[len(core):]
+                    halves.append((w, core, tail))
+                    if tail not in known:
+                        other.add(tail)
+                if core not in known:
+                    ids = older.get(core)
+                    if ids is None:
+                        plain.add(core)
+                    else:
+                        known[core] = ids
             else:
-                fresh[w] = None
-        asked = list(fresh)
-        texts = [w.decode("utf-8", "replace") for w in asked]
-        for w, e in zip(asked, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for w, (a, b) in halves.items():
-            self.known[w] = self.known[a] + self.known[b]
+                other.add(w)
+        self._together(list(plain))
+        self._each(list(other))
+        for w, a, b in halves:
+            known[w] = known[a] + known[b]
 
     def encode(self, text):
         """Ids of UTF-8 bytes, without an end id."""
-        words = text.split()
+        words = (text.lower() if self.lower and b"<|" not in text else text).split()
         out = []
         for i in range(0, len(words), 1 << 16):
             part = words[i:i + (1 << 16)]
             unseen = set(part).difference(self.known)
             if unseen:
                 if len(self.known) + len(unseen) > MEMO_WORDS:
-                    self.known.clear()
+                    self.known, self.older = {}, self.known
                     unseen = set(part)
                 self._learn(unseen)
             known = self.known
@@ -129,7 +166,9 @@ def write_token_file(docs, path, vocabulary=None, end_id=END_ID):
     def packed(ids):
         return ids if width == 4 else np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes()
 
-    sample = rows.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t")).orderBy(
+    hashed = rows.withColumn("h", F.xxhash64("doc_id"))
+    last = hashed.select("h").orderBy("h").limit(SAMPLE_DOCUMENTS).agg(F.max("h")).first()[0]
+    sample = hashed.where(F.col("h") <= F.lit(last)).select("h", F.substring("text", 1, SAMPLE_CHARS).alias("t")).orderBy(
         "h", "t").limit(SAMPLE_DOCUMENTS).collect()
     dictionary = train_dictionary([packed(coder.encode(r.t.encode("utf-8", "replace")) + end) for r in sample])
     dict_hash = hashlib.sha256(dictionary).hexdigest()
