@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from candlewright.llm import decontaminate, langid, licences, mixing, neighbours, sharding, simhash, tokenfiles
+from candlewright.llm import decontaminate, langid, licences, mixing, neighbours, secrets, sharding, simhash, tokenfiles
 from candlewright.llm.common import scratch_path, table
 
 QUERIES, SQL = {}, {}
@@ -60,3 +60,8 @@ def op2_neighbours(spark, folder):
 @query
 def op3_licences(spark, folder):
     return licences.licence_report(table(spark, folder, "documents"))
+
+
+@query
+def op6_secrets(spark, folder):
+    return secrets.secrets(table(spark, folder, "documents"))
