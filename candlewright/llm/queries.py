@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from candlewright.llm import decontaminate, langid, licences, mixing, neighbours, secrets, sharding, simhash, tokenfiles
+from candlewright.llm import decontaminate, langid, licences, mixing, neighbours, pii, secrets, sharding, simhash, tokenfiles
 from candlewright.llm.common import scratch_path, table
 
 QUERIES, SQL = {}, {}
@@ -65,3 +65,8 @@ def op3_licences(spark, folder):
 @query
 def op6_secrets(spark, folder):
     return secrets.secrets(table(spark, folder, "documents"))
+
+
+@query
+def op4_personal_data(spark, folder):
+    return pii.personal_data(table(spark, folder, "documents"))
