@@ -1,5 +1,6 @@
 """Benchmark decontamination by templates: questions are found also with other numbers and names."""
 
+import functools
 import re
 
 import numpy as np
@@ -46,7 +47,11 @@ def _word_hash(word):
 
 
 class _Known(dict):
-    """Token to (hash of the lower-case word, kind it may stand for)."""
+    """Token to its place in ``hashes`` (of the lower-case word) and ``kinds`` (what it may stand for)."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes, self.kinds = np.zeros(MEMO_WORDS, dtype=np.uint64), np.zeros(MEMO_WORDS, dtype=np.int8)
 
     def __missing__(self, token):
         low = token.lower()
@@ -58,33 +63,61 @@ class _Known(dict):
             kind = NAME
         else:
             kind = WORD
-        if len(self) >= MEMO_WORDS:
+        at = self[token] = len(self)
+        self.hashes[at], self.kinds[at] = _word_hash(low), kind
+        return at
+
+    def read(self, tokens):
+        """(hashes, kinds) of a block of tokens."""
+        if len(self) + len(tokens) > MEMO_WORDS:
             self.clear()
-        self[token] = found = (_word_hash(low), kind)
-        return found
+        places = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        return self.hashes[places], self.kinds[places]
 
 
 _KNOWN = _Known()
 
 
-def _rolled(h, n):
-    """Hash of each run of ``n`` token hashes."""
-    out = np.zeros(len(h) - n + 1, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(n):
-            out = out * np.uint64(POWER) + h[k:k + len(out)]
-        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+@functools.lru_cache(maxsize=4)
+def _powers(n):
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+    inverse = pow(POWER, -1, 1 << 64)
+    out = np.ones((2, n + 1), dtype=np.uint64)
+    out[0, 1:], out[1, 1:] = POWER, inverse
+    return tuple(np.cumprod(out, axis=1, dtype=np.uint64))
+
+
+def _sums(h):
+    up, _ = _powers(BLOCK * 2)
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[:len(h)], dtype=np.uint64)))
+
+
+def _rolled(sums, n):
+    """Hash of each run of ``n`` tokens, from running sums of their hashes times powers."""
+    _, down = _powers(BLOCK * 2)
+    out = (sums[n:] - sums[:-n]) * down[:len(sums) - n]
+    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return (out ^ (out >> np.uint64(32))).view(np.int64)
 
 
+def _tokens(text):
+    """Tokens of a text in stretches of about a million characters that end between words."""
+    start = 0
+    while len(text) - start > 1 << 20:
+        end = text.rfind(" ", start, start + (1 << 20)) + 1 or start + (1 << 20)
+        yield TOKEN.findall(text, start, end)
+        start = end
+    yield TOKEN.findall(text, start)
+
+
 def _blocks(text, overlap):
     """(first token's place, tokens) of a text in blocks that share ``overlap`` tokens."""
     place, held = 0, []
-    for m in TOKEN.finditer(text):
-        held.append(m.group())
-        if len(held) >= BLOCK + overlap:
-            yield place, held
-            place, held = place + len(held) - overlap, held[len(held) - overlap:]
+    for more in _tokens(text):
+        held += more
+        while len(held) > BLOCK + overlap:
+            yield place, held[:BLOCK + overlap]
+            place, held = place + BLOCK, held[BLOCK:]
     yield place, held
 
 
@@ -95,7 +128,7 @@ def _value(token, kind):
 
 
 def template_windows(text, lengths, wanted=None):
-    """(key, place, slots) of a text's template windows of the given lengths.
+    """(key, place, slots, named) of a text's template windows of the given lengths.
 
     Numbers, and units behind numbers, always become placeholders; words are compared in
     lower case and without marks. A window with capitalised words that may be names is
@@ -108,23 +141,23 @@ def template_windows(text, lengths, wanted=None):
     for start, tokens in _blocks(text, overlap):
         if not tokens:
             continue
-        pairs = [_KNOWN[t] for t in tokens]
-        kinds = np.array([k for _, k in pairs], dtype=np.int8)
-        words = np.array([h for h, _ in pairs], dtype=np.uint64)
+        words, kinds = _KNOWN.read(tokens)
         number = kinds == NUMBER
         unit = (kinds == UNIT) & np.concatenate(([False], number[:-1]))
         name = kinds == NAME
         plain = np.where(number, PLACE[NUMBER], np.where(unit, PLACE[UNIT], words))
         slot = np.where(number, NUMBER, np.where(unit, UNIT, 0))
         for named in (False, True):
-            h = np.where(name, PLACE[NAME], plain) if named else plain
+            if named and not name.any():
+                continue
             s = np.where(name, NAME, slot) if named else slot
+            sums = _sums(np.where(name, PLACE[NAME], plain) if named else plain)
             taken = np.concatenate(([0], np.cumsum(s > 0)))
-            names = np.concatenate(([0], np.cumsum(name)))
+            names = np.concatenate(([0], np.cumsum(name))) if named else None
             for n in lengths:
                 if len(tokens) < n:
                     continue
-                keys = _rolled(h, n)
+                keys = _rolled(sums, n)
                 ok = (n - (taken[n:] - taken[:-n])) >= min(LITERALS, n - 1)
                 if named:
                     ok &= names[n:] > names[:-n]
@@ -134,7 +167,7 @@ def template_windows(text, lengths, wanted=None):
                     if start and i + n <= overlap:
                         continue  # the last block had it
                     slots = "|".join(_value(tokens[i + k], s[i + k]) for k in np.nonzero(s[i:i + n])[0])
-                    yield int(keys[i]), start + i, slots
+                    yield int(keys[i]), start + i, slots, named
 
 
 def _items(benchmark):
@@ -146,7 +179,7 @@ def _items(benchmark):
                 tokens = sum(1 for _ in TOKEN.finditer(text or ""))
                 if tokens >= SHORTEST:
                     n = min(tokens, WINDOW)
-                    rows += [(item_id, k, n, p, s, tokens) for k, p, s in template_windows(text, [n])]
+                    rows += [(item_id, k, n, p, s, tokens) for k, p, s, _ in template_windows(text, [n])]
             names = ["item_id", "key", "n", "place", "item_slots", "tokens"]
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=pa.schema(
                 [(c, pa.string() if c == "item_slots" else pa.int64()) for c in names]))
@@ -172,7 +205,8 @@ def leaks(docs, benchmark):
     Template windows of whole texts are joined with those of the items by hash, after a
     bitmap of fixed size has let go most windows of the documents where they are made.
     Windows of one document and item that lie on one diagonal and follow each other are
-    a run; its slots are consistent if equal values of the item stand for equal values
+    a run, once with words as they are and once with placeholders for names as well; its
+    slots are consistent if equal values of the item stand for equal values
     of the document and unequal ones for unequal ones, so that a question with other
     parameters is found and a chance likeness is not. A leak is a consistent run of 13
     tokens, or of the whole item if it is shorter; ``exact`` says that the values are
@@ -184,24 +218,26 @@ def leaks(docs, benchmark):
     shared = docs.sparkSession.sparkContext.broadcast(_filter(items))
 
     def run(batches):
-        names = ["doc_id", "row", "key", "at", "slots"]
+        names = ["doc_id", "row", "key", "at", "slots", "named"]
         schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("key", pa.int64()), ("at", pa.int64()),
-                            ("slots", pa.string())])
+                            ("slots", pa.string()), ("named", pa.bool_())])
         for b in batches:
             found = []
             for doc_id, row, text in zip(b.column(0), b.column(1), b.column(2)):
                 text = text.as_py()
                 if text:
                     doc_id, row = doc_id.as_py(), row.as_py()
-                    found += [(doc_id, row, k, p, s) for k, p, s in template_windows(text, lengths, shared.value)]
+                    found += [(doc_id, row, *w) for w in template_windows(text, lengths, shared.value)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, type=t) for c, t in zip(zip(*found), schema.types)] if found
                 else [pa.array([], type=t) for t in schema.types], names=names)
 
     windows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(
-        run, "doc_id long, row long, key long, at long, slots string")
-    group = ["doc_id", "row", "item_id", "diagonal"]
-    hits = windows.join(items, "key").withColumn("diagonal", F.col("at") - F.col("place")).groupBy(
+        run, "doc_id long, row long, key long, at long, slots string, named boolean")
+    group = ["doc_id", "row", "item_id", "diagonal", "by_names"]
+    families = F.when(F.col("named"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))
+    hits = windows.join(items, "key").withColumn("diagonal", F.col("at") - F.col("place")).withColumn(
+        "by_names", F.explode(families)).groupBy(
         *group, "place").agg(F.max_by(F.struct("slots", "item_slots", "n", "tokens"), F.length("item_slots")).alias("w"))
     runs = hits.withColumn("island", F.col("place") - F.row_number().over(
         Window.partitionBy(*group).orderBy("place"))).select(*group, "island", "place", "w.*")

@@ -224,13 +224,13 @@ def mixed_documents(docs):
     """
     rows = numbered(docs)
     _, pieces = mix(rows)
-    ranges = pieces.groupBy("row_of_mix").agg(F.collect_list(F.struct("lap", "first", "last")).alias("ranges"))
+    ranges = pieces.groupBy("row_of_mix").agg(F.collect_list(F.struct("lap", "first", "last")).alias("ranges_of_mix"))
 
     @F.pandas_udf("binary")
     def cut(texts: pd.Series, ranges: pd.Series) -> pd.Series:
         return pd.Series([_cut(t, [(r["lap"], r["first"], r["last"]) for r in rs]) for t, rs in zip(texts, ranges)])
 
-    text = cut(F.col("text").cast("binary"), F.col("ranges")).cast("string")
+    text = cut(F.col("text").cast("binary"), F.col("ranges_of_mix")).cast("string")
     out = rows.join(ranges, "row_of_mix").withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
