@@ -12,7 +12,7 @@ BUCKETS = 1 << 16
 DIM = 16
 GRAMS = (1, 2, 3, 4)
 BLOCK = 1 << 16  # characters hashed at a time
-PER_LANGUAGE = 600  # most training documents of a language
+PER_LANGUAGE = 300  # most training documents of a language
 MOST_FEATURES = 4096  # most distinct buckets kept of one training document
 EPOCHS, BATCH, RATE, SEED = 6, 32, 0.5, 42
 FOLDS = 5
