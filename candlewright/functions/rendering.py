@@ -44,9 +44,15 @@ def render_gap() -> Column:
         "id", "pair", duration_text(seconds), "status", priority_label(F.col("priority")))
 
 
+# Fixed value: how a time that was never set is written.
+NO_TIME = "0001-01-01 00:00:00"
+
+
 def render_job() -> Column:
+    """A job in one line; times that were not set are written as the zero time."""
     return F.format_string(
         "Job %s: %s %s on %s [%s to %s] - Status: %s (%d%% complete, %d records)",
         "id", "type", "interval", "pair",
-        F.date_format("start_time", _PLAIN), F.date_format("end_time", _PLAIN),
+        F.coalesce(F.date_format("start_time", _PLAIN), F.lit(NO_TIME)),
+        F.coalesce(F.date_format("end_time", _PLAIN), F.lit(NO_TIME)),
         "status", F.col("progress"), F.col("records_collected"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from candlewright.functions.intervals import (
     DAY, HOUR, at, ceil_to, floor_to, interval_seconds, seconds_between,
 )
+from candlewright.operators.query import in_months
 from candlewright.operators.series import BUCKET, SLOTS_PER_BUCKET, running, time_bucket, transitions
 from candlewright.operators.totals import with_empty_row
 from candlewright.schemas import SERIES_KEY
@@ -20,14 +21,14 @@ JOIN_SLOTS = 64
 _STEP = "_step"
 
 
-def _series_bounds(series: DataFrame, start, end, align: bool) -> DataFrame:
+def _series_bounds(series: DataFrame, start, end, align: bool, keep=()) -> DataFrame:
     """Series with step length and the detection range in whole slots.
 
     ``stop`` is the first slot start at or after the range end, counted from
     ``start``: a run that reaches it ends the range.
     """
     step = interval_seconds(F.col("interval"))
-    out = series.select(*SERIES_KEY, step.alias(_STEP), at(start).alias("lo"), at(end).alias("hi"))
+    out = series.select(*SERIES_KEY, *keep, step.alias(_STEP), at(start).alias("lo"), at(end).alias("hi"))
     if align:
         out = out.withColumn("lo", ceil_to(F.col("lo"), F.col(_STEP)))
         out = out.withColumn("hi", floor_to(F.col("hi"), F.col(_STEP)))
@@ -60,10 +61,11 @@ def gaps_in_range(candles: DataFrame, start, end, series: DataFrame = None, alig
     first = ceil_to(lo, step) if align else lo
     upper = floor_to(hi, step) if align else hi
     grid_lo, seconds = F.unix_seconds(first), F.unix_seconds("timestamp")
+    wanted = series_of(candles if series is None else series)
     if series is not None:
-        candles = candles.join(series_of(series), SERIES_KEY, "left_semi")
+        candles = candles.join(wanted, SERIES_KEY, "left_semi")
     rows = (
-        candles.where((F.col("timestamp") >= lo) & (F.col("timestamp") < hi))
+        in_months(candles, start, end).where((F.col("timestamp") >= lo) & (F.col("timestamp") < hi))
         .where((seconds >= grid_lo) & (F.col("timestamp") < upper)
                & (F.pmod(seconds - grid_lo, step) == 0))
         # Slot numbers relative to the range start.
@@ -78,7 +80,6 @@ def gaps_in_range(candles: DataFrame, start, end, series: DataFrame = None, alig
     # Sentinels before and after the range also speak for series without any
     # candle on the grid. On the partitioned layout the series list needs no data.
     slot = F.col("_s.slot")
-    wanted = series_of(candles if series is None else series)
     sentinels = _series_bounds(wanted, start, end, align).select(
         *SERIES_KEY, F.explode(F.array(
             F.struct(F.lit(-1).cast("bigint").alias(BUCKET), F.lit(-1).cast("bigint").alias("slot")),
@@ -166,19 +167,24 @@ def completeness(candles: DataFrame, start, end, series: DataFrame = None, align
                  alert_below: float = 0.999) -> DataFrame:
     """Present and expected slots per series, with an alert flag.
 
-    Counts missing slots through the gaps, so duplicate rows cannot inflate it.
+    Counts the distinct slots on the grid in one pass, so duplicate rows cannot inflate
+    it. With ``series`` given, only the range is read.
     """
-    wanted = series_of(candles) if series is None else series
-    bounds = _series_bounds(wanted, start, end, align)
     step = interval_seconds(F.col("interval"))
-    missing = gaps_in_range(candles, start, end, series, align).groupBy(*SERIES_KEY).agg(
-        F.sum(F.floor(seconds_between(F.col("start_time"), F.col("end_time")) / step)
-              .cast("bigint")).alias("missing"))
+    lo, hi = at(start), at(end)
+    first = ceil_to(lo, step) if align else lo
+    upper = floor_to(hi, step) if align else hi
+    behind = F.unix_seconds("timestamp") - F.unix_seconds(first)
+    on_grid = (F.col("timestamp") >= lo) & (F.col("timestamp") < upper) & (behind >= 0) & (F.pmod(behind, step) == 0)
+    slot = F.when(on_grid, F.floor(behind / step))
+    read = candles if series is None else in_months(candles, start, end).where(on_grid)
+    counted = read.groupBy(*SERIES_KEY).agg(F.count_distinct(slot).alias("actual"))
+    wanted = counted if series is None else series_of(series).join(counted, SERIES_KEY, "left")
+    bounds = _series_bounds(wanted, start, end, align, keep=("actual",))
     ratio = F.col("actual") / F.col("expected")
     return (
-        bounds.select(*SERIES_KEY, F.col("slots").alias("expected"))
-        .join(missing, SERIES_KEY, "left")
-        .withColumn("actual", F.col("expected") - F.coalesce(F.col("missing"), F.lit(0)))
+        bounds.select(*SERIES_KEY, F.col("slots").alias("expected"),
+                      F.coalesce("actual", F.lit(0)).cast("bigint").alias("actual"))
         .select(*SERIES_KEY, "actual", "expected", ratio.alias("completeness"),
                 (ratio < alert_below).alias("alert"))
     )
@@ -325,7 +331,13 @@ def query_with_gap_flags(candles: DataFrame, gaps: DataFrame, start, end,
     wanted = series_of(candles) if series is None else series
     grid = expected_grid(wanted, start, end)
     values = candles.select(*SERIES_KEY, "timestamp", "close", "volume", F.lit(True).alias("_have"))
-    status = slots_of(gaps.select(*SERIES_KEY, "start_time", "end_time", "status")).groupBy(
+    # Only the part of a gap inside the range is expanded, from its own first slot there.
+    step = interval_seconds(F.col("interval"))
+    skipped = F.greatest(F.lit(0), F.ceil((F.unix_micros(at(start)) - F.unix_micros("start_time")) / (step * F.lit(1_000_000))))
+    known = gaps.where((F.col("end_time") > at(start)) & (F.col("start_time") < at(end))).select(
+        *SERIES_KEY, F.timestamp_micros(F.unix_micros("start_time") + skipped * step * F.lit(1_000_000)).alias("start_time"),
+        F.least("end_time", at(end)).alias("end_time"), "status")
+    status = slots_of(known).groupBy(
         *SERIES_KEY, "timestamp").agg(F.max("status").alias("gap_status"))
     key = [*SERIES_KEY, "timestamp"]
     return (

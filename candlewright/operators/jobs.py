@@ -10,6 +10,7 @@ from candlewright.schemas import JOBS
 
 MAX_RETRIES = 5
 BASE_DELAY_SECONDS, MAX_DELAY_SECONDS = 60, 1800
+LOWEST_RETRIES = -100
 
 
 def job_retry_plan(jobs: DataFrame) -> DataFrame:
@@ -77,19 +78,20 @@ def error_breakdown(jobs: DataFrame) -> DataFrame:
     )
 
 
-def _job_machine():
+def _job_machine(lowest):
     """States ``status:retries`` and the legal moves between them.
 
-    Retries are part of the state because the retry limit decides legality.
+    Retries are part of the state because the retry limit decides legality; from the
+    limit on all counts behave alike. Counts begin with the lowest there is.
     """
-    counts = range(MAX_RETRIES + 1)
+    counts = range(lowest, MAX_RETRIES + 1)
     states = [f"{s}:{n}" for s in ("pending", "running", "completed", "failed") for n in counts]
     same = lambda a, b: {f"{a}:{n}": f"{b}:{n}" for n in counts}
     return states, {
         "start": same("pending", "running"),
         "complete": same("running", "completed"),
         "fail": same("running", "failed"),
-        "retry": {f"failed:{n}": f"pending:{n + 1}" for n in range(MAX_RETRIES)},
+        "retry": {f"failed:{n}": f"pending:{n + 1}" for n in counts[:-1]},
     }
 
 
@@ -97,11 +99,15 @@ def apply_job_events(jobs: DataFrame, events: DataFrame):
     """(jobs after all events, rejected events).
 
     Events: id, event_seq, event_type (start, complete, fail, retry),
-    event_time, message.
+    event_time, message. A job may retry while its count, also a negative one, is below
+    the limit; a missing count is 0. Counts below -100 are an error: ``validate_jobs``
+    names such jobs.
     """
-    states, moves = _job_machine()
-    capped = F.least(F.greatest(F.col("retry_count"), F.lit(0)), F.lit(MAX_RETRIES))
-    start = F.concat_ws(":", "status", capped.cast("string"))
+    lowest = jobs.agg(F.min("retry_count")).first()[0]
+    if lowest is not None and lowest < LOWEST_RETRIES:
+        raise ValueError(f"retry count {lowest} is below {LOWEST_RETRIES}")
+    states, moves = _job_machine(min(lowest or 0, 0))
+    start = F.concat_ws(":", "status", F.least(F.coalesce("retry_count", F.lit(0)), F.lit(MAX_RETRIES)).cast("string"))
     log = fold_events(events, jobs, "id", "event_seq", states, moves, start)
     kept = log.where("accepted")
     kind = F.col("event_type")

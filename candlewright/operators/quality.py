@@ -7,7 +7,7 @@ that small table, so the data itself is read and shuffled once.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewright.functions.scoring import ANOMALY_TYPES, at_least
+from candlewright.functions.scoring import at_least
 from candlewright.operators.totals import with_empty_row
 from candlewright.schemas import SERIES_KEY
 
@@ -47,21 +47,20 @@ def storage_stats_by_series(candles: DataFrame) -> DataFrame:
 
 
 def summarise_results(results: DataFrame) -> DataFrame:
-    """Totals, breakdowns and quality score as (metric, label, value) rows."""
-    def count_of(kind):
-        return F.sum(F.size(F.filter("anomalies", lambda a: a["type"] == kind))).alias(f"_{kind}")
+    """Totals, breakdowns and quality score as (metric, label, value) rows.
 
-    per_type = [count_of(t) for t in ANOMALY_TYPES]
+    Every anomaly type that occurs has a row, also one this library does not raise.
+    """
     # One small row per (severity, action) carries every total.
     base = results.groupBy("severity", "action_taken").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.size("checks_passed")).alias("checks"),
-        F.sum(F.size("anomalies")).alias("anomalies"), *per_type)
+        F.sum(F.size("anomalies")).alias("anomalies"))
     bad = F.when(at_least(F.col("_s"), "error"), F.col("n")).otherwise(0)
     sets = with_empty_row(base).withColumn("_s", F.col("severity")).groupingSets(
         [[], ["severity"], ["action_taken"]], "severity", "action_taken").agg(
         F.grouping_id().alias("_level"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c)
-          for c in ["n", "checks", "anomalies", *[f"_{t}" for t in ANOMALY_TYPES]]],
+          for c in ["n", "checks", "anomalies"]],
         F.sum(bad).alias("_bad")).where((F.col("_level") == 3) | (F.col("n") > 0))
 
     def row(metric, label, value):
@@ -73,15 +72,16 @@ def summarise_results(results: DataFrame) -> DataFrame:
         row("total_results", null, n), row("total_anomalies", null, F.col("anomalies")),
         row("total_checks", null, F.col("checks")),
         row("quality_score", null, F.when(n > 0, 1 - F.col("_bad") / n).otherwise(0.0)),
-        *[row("anomaly_type", F.lit(t), F.col(f"_{t}")) for t in ANOMALY_TYPES],
     ]
     shown = (
         F.when(F.col("_level") == 3, F.array(*totals))
         .when(F.col("_level") == 1, F.array(row("severity", F.col("severity"), n)))
         .otherwise(F.array(row("action", F.col("action_taken"), n)))
     )
-    return sets.select(F.inline(shown)).where(
-        (F.col("metric") != "anomaly_type") | (F.col("value") > 0))
+    types = results.select(F.explode("anomalies").alias("a")).groupBy(F.col("a.type").alias("label")).agg(
+        F.count(F.lit(1)).cast("double").alias("value"))
+    return sets.select(F.inline(shown)).unionByName(
+        types.select(F.lit("anomaly_type").alias("metric"), "label", "value"))
 
 
 def _scores(df: DataFrame) -> DataFrame:
@@ -105,7 +105,8 @@ def quality_metrics(results: DataFrame, cross_anomalies: DataFrame = None,
     """Quality of each series, and of everything (NULL keys).
 
     Only per-candle results count by default; pass the anomalies between
-    candles (pair, interval, severity) to include them too.
+    candles (pair, interval, severity) to include them too; series that only they
+    name have a row as well.
     """
     by = list(by)
     bad = at_least(F.col("severity"), "error")
@@ -121,15 +122,18 @@ def quality_metrics(results: DataFrame, cross_anomalies: DataFrame = None,
         extra = cross_anomalies.groupBy(*by).agg(
             F.count(F.lit(1)).alias("_more"),
             F.count_if(F.col("severity") == "critical").alias("_critical"))
-        base = base.join(extra, by, "left").select(
-            *[c for c in base.columns if c not in ("anomalies_detected", "critical_issues")],
-            (F.col("anomalies_detected") + F.coalesce("_more", F.lit(0))).alias("anomalies_detected"),
-            (F.col("critical_issues") + F.coalesce("_critical", F.lit(0))).alias("critical_issues"))
+        none = F.lit(0)
+        base = base.join(extra, by, "full").select(
+            *by, *[F.coalesce(c, none).alias(c) for c in base.columns
+                   if c not in (*by, "anomalies_detected", "critical_issues")],
+            (F.coalesce("anomalies_detected", none) + F.coalesce("_more", none)).alias("anomalies_detected"),
+            (F.coalesce("critical_issues", none) + F.coalesce("_critical", none)).alias("critical_issues"))
     counts = [c for c in base.columns if c not in by]
     sets = with_empty_row(base).groupingSets([by, []], *by).agg(
         F.grouping_id().alias("_level"),
         *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in counts])
-    return _scores(sets.where((F.col("_level") > 0) | (F.col("total_candles") > 0)).drop("_level"))
+    return _scores(sets.where(
+        (F.col("_level") > 0) | (F.col("total_candles") > 0) | (F.col("anomalies_detected") > 0)).drop("_level"))
 
 
 def quality_gate(metrics: DataFrame, threshold: float = QUALITY_THRESHOLD) -> DataFrame:

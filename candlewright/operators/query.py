@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewright.functions.intervals import DAY, at, interval_seconds, next_boundary
+from candlewright.operators.validate import validate_query_request
 from candlewright.schemas import CANDLE_FIELDS, SERIES_KEY
 
 DEFAULT_INTERVAL, DEFAULT_LIMIT, DEFAULT_DAYS = "1d", 100, 7
@@ -11,7 +12,10 @@ OVERLAP_SECONDS = 2 * DAY
 
 
 def select_candles(candles: DataFrame, pair=None, interval=None, start=None, end=None) -> DataFrame:
-    """Candles of a pair and/or interval in ``[start, end)``; all conditions push down."""
+    """Candles of a pair and/or interval in ``[start, end)``; all conditions push down.
+
+    On a table in the package's layout the range also names its month directories.
+    """
     if pair:
         candles = candles.where(F.col("pair") == pair)
     if interval:
@@ -20,16 +24,42 @@ def select_candles(candles: DataFrame, pair=None, interval=None, start=None, end
         candles = candles.where(F.col("timestamp") >= at(start))
     if end is not None:
         candles = candles.where(F.col("timestamp") < at(end))
+    return in_months(candles, start, end)
+
+
+def in_months(candles: DataFrame, start=None, end=None) -> DataFrame:
+    """Only the month and year directories that can hold ``[start, end)``, where there are any."""
+    if "month" in candles.columns:
+        month = lambda ts: F.year(at(ts)) * 100 + F.month(at(ts))
+        if start is not None:
+            candles = candles.where((F.col("month") >= month(start)) | (F.col("month") == F.year(at(start)) * 100))
+        if end is not None:
+            candles = candles.where(F.col("month") <= month(end))
     return candles
 
 
+def check_page(start, end, limit, offset) -> None:
+    """Refuse a page that no request may ask for."""
+    if limit < 0 or offset < 0:
+        raise ValueError("limit and offset cannot be negative")
+    if isinstance(start, str) and isinstance(end, str) and not end > start:
+        raise ValueError("end time must be after start time")
+
+
 def _order(descending: bool):
     return [F.desc("timestamp") if descending else F.asc("timestamp"), F.asc("pair"), F.asc("interval")]
 
 
 def query_candles(candles: DataFrame, pair=None, interval=None, start=None, end=None,
                   descending: bool = False, limit: int = 0, offset: int = 0) -> DataFrame:
-    """One page of candles; ``limit`` 0 means no limit."""
+    """One page of candles in order of time; ``limit`` 0 means no limit.
+
+    An offset skips rows on one machine, so it needs a limit; deep pages are for
+    :func:`query_after`.
+    """
+    check_page(start, end, limit, offset)
+    if offset and not limit:
+        raise ValueError("an offset needs a limit; use query_after for deep pages")
     out = select_candles(candles, pair, interval, start, end).orderBy(*_order(descending))
     if offset:
         out = out.offset(offset)
@@ -44,10 +74,28 @@ def query_page(candles: DataFrame, pair=None, interval=None, start=None, end=Non
     """
     page = query_candles(candles, pair, interval, start, end, descending, limit, offset)
     total = select_candles(candles, pair, interval, start, end).agg(F.count(F.lit(1))).scalar()
-    begin = F.least(F.lit(offset), F.col("total"))
-    stop = F.least(begin + limit, F.col("total")) if limit else F.col("total")
-    return page.withColumn("total", total).withColumns({
-        "has_more": stop < F.col("total"), "next_offset": stop.cast("bigint")})
+    return page.withColumn("total", total).withColumns(_page_end(limit, offset))
+
+
+def _page_end(limit: int, offset: int):
+    total = F.col("total")
+    stop = F.least(F.least(F.lit(offset), total) + limit, total) if limit else total
+    return {"has_more": stop < total, "next_offset": stop.cast("bigint")}
+
+
+def query_page_info(candles: DataFrame, pair=None, interval=None, start=None, end=None,
+                    limit: int = 0, offset: int = 0) -> DataFrame:
+    """One row (total, has_more, next_offset) about a page, also of one beyond the end."""
+    check_page(start, end, limit, offset)
+    return select_candles(candles, pair, interval, start, end).agg(
+        F.count(F.lit(1)).alias("total")).withColumns(_page_end(limit, offset))
+
+
+def query_series(candles: DataFrame, pair: str, interval: str, start, end, order: str = "asc",
+                 limit: int = 0, offset: int = 0) -> DataFrame:
+    """A page of one series after the full check of the request."""
+    validate_query_request(pair, interval, start, end, limit, offset, order)
+    return query_candles(candles, pair, interval, start, end, order == "desc", limit, offset)
 
 
 def query_after(candles: DataFrame, last_timestamp, last_pair: str, last_interval: str,

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewright.functions.intervals import DAY, seconds_of
+from candlewright.functions.intervals import DAY, interval_seconds, seconds_of
 from candlewright.schemas import DECIMAL
 
 # Weeks start on Monday; epoch day 0 is a Thursday, so Monday is day 4.
@@ -52,12 +52,25 @@ def ticks_to_candles(ticks: DataFrame, interval: str, tie=("tick_id",)) -> DataF
     )
 
 
+def fits_into(source: Column, interval: str) -> Column:
+    """``source``; fails on an interval that ``interval`` is no multiple of."""
+    step = interval_seconds(source)
+    fits = F.coalesce(F.pmod(F.lit(seconds_of(interval)), step) == 0, F.lit(False))
+    return F.when(fits, source).otherwise(F.raise_error(F.concat(
+        F.lit("cannot resample "), F.coalesce(source, F.lit("NULL")), F.lit(f" to {interval}"))))
+
+
 def resample_candles(candles: DataFrame, interval: str) -> DataFrame:
-    """First open, highest high, lowest low, last close, total volume."""
+    """First open, highest high, lowest low, last close, total volume.
+
+    A table may hold several intervals of a pair; each is resampled on its own and
+    named in ``source_interval``. The target must be a multiple of every one.
+    """
     if interval not in TIMEFRAMES:
         raise ValueError(f"unsupported timeframe: {interval!r}")
     return (
-        candles.groupBy("pair", slot_start(F.col("timestamp"), interval).alias("slot"))
+        candles.groupBy("pair", fits_into(F.col("interval"), interval).alias("source_interval"),
+                        slot_start(F.col("timestamp"), interval).alias("slot"))
         .agg(
             F.min_by("open", "timestamp").alias("open"), F.max("high").alias("high"),
             F.min("low").alias("low"), F.max_by("close", "timestamp").alias("close"),
@@ -65,5 +78,5 @@ def resample_candles(candles: DataFrame, interval: str) -> DataFrame:
         )
         .select(
             "pair", F.lit(interval).alias("interval"), F.col("slot").alias("timestamp"),
-            "open", "high", "low", "close", F.col("volume").cast(DECIMAL).alias("volume"))
+            "open", "high", "low", "close", F.col("volume").cast(DECIMAL).alias("volume"), "source_interval")
     )

@@ -18,10 +18,18 @@ def latest_per_key(rows: DataFrame, key, newest_first) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def newest_candle(columns):
+    """Order of the copies of a candle: the latest created, then the latest loaded.
+
+    Where a table has neither, and among equals, the larger values come first, so that
+    the choice does not depend on the order of the rows.
+    """
+    return [F.desc(c) for c in ("created_at", "load_seq", *reversed(CANDLE_FIELDS)) if c in columns]
+
+
 def dedup_candles(candles: DataFrame, newest_first=None) -> DataFrame:
-    """One row per candle key: the latest created, then the latest loaded."""
-    order = newest_first or [F.desc("created_at"), F.desc("load_seq")]
-    return latest_per_key(candles, CANDLE_KEY, order)
+    """One row per candle key, by :func:`newest_candle`."""
+    return latest_per_key(candles, CANDLE_KEY, newest_first or newest_candle(candles.columns))
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key, newest_first) -> DataFrame:
@@ -35,7 +43,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, key, newest_first) -> DataF
 
 
 def upsert_candles(existing: DataFrame, incoming: DataFrame, newest_first=None) -> DataFrame:
-    order = newest_first or [F.desc("created_at"), F.desc("load_seq")]
+    order = newest_first or newest_candle({*existing.columns, *incoming.columns})
     return upsert(existing, incoming, CANDLE_KEY, order)
 
 
@@ -51,15 +59,19 @@ def delete_gaps(gaps: DataFrame, ids: DataFrame):
 
 
 def merge_corrections(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Keys that are new or changed, with old and new values and what changed."""
+    """Keys that are new, changed or withdrawn, with old and new values and what changed.
+
+    ``incoming`` is the whole new state of what it covers, so a key it lacks was withdrawn.
+    """
     old = existing.select(*CANDLE_KEY, *[F.col(f).alias(f"old_{f}") for f in CANDLE_FIELDS],
                           F.lit(True).alias("_old"))
-    new = incoming.select(*CANDLE_KEY, *[F.col(f).alias(f"new_{f}") for f in CANDLE_FIELDS])
-    both = new.join(old, CANDLE_KEY, "left")
+    new = incoming.select(*CANDLE_KEY, *[F.col(f).alias(f"new_{f}") for f in CANDLE_FIELDS],
+                          F.lit(True).alias("_new"))
+    both = new.join(old, CANDLE_KEY, "full")
     differs = {f: ~F.col(f"old_{f}").eqNullSafe(F.col(f"new_{f}")) for f in CANDLE_FIELDS}
     changed = F.array_compact(F.array(*[F.when(d, F.lit(f)) for f, d in differs.items()]))
-    is_new = F.col("_old").isNull()
-    return both.where(is_new | reduce(lambda a, b: a | b, differs.values())).select(
-        *CANDLE_KEY, F.when(is_new, "new").otherwise("changed").alias("change"),
-        F.when(~is_new, F.array_join(changed, ",")).alias("changed_fields"),
+    is_new, gone = F.col("_old").isNull(), F.col("_new").isNull()
+    return both.where(is_new | gone | reduce(lambda a, b: a | b, differs.values())).select(
+        *CANDLE_KEY, F.when(is_new, "new").when(gone, "withdrawn").otherwise("changed").alias("change"),
+        F.when(~is_new & ~gone, F.array_join(changed, ",")).alias("changed_fields"),
         *[f"old_{f}" for f in CANDLE_FIELDS], *[f"new_{f}" for f in CANDLE_FIELDS])

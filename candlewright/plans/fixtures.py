@@ -5,8 +5,6 @@ tables; ``sqlparts`` has the same derivations in SQL. Derived rows only use
 arithmetic on times and keys, so both sides agree at any scale.
 """
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from candlewright.operators.lifecycle import gap_id
 from candlewright.operators.resample import ticks_to_candles
 from candlewright.operators.validate import candle_results, parse_decimals
 from candlewright.schemas import CANDLE_FIELDS, DECIMAL, SERIES_KEY
-from candlewright.session import shared_folder
+from candlewright.session import hadoop_path, shared_path
 
 START, END = "2024-01-01 00:00:00", "2024-01-31 00:00:00"
 AS_OF = "2024-02-15 00:00:00"
@@ -70,13 +68,18 @@ class Fixtures:
         Candles and gaps are stored tables in use, and most operators start
         from them; building them is measured by the queries that build them.
         """
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        key = (self.spark.sparkContext.applicationId, self.folder, self.version(), name)
         if key not in _STORED:
-            path = f"{shared_folder(self.spark)}/derived-{uuid.uuid4().hex}/{name}"
+            path = shared_path(self.spark, f"derived-{name}")
             build().write.parquet(path)
             _STORED[key] = path
         return self.spark.read.parquet(_STORED[key])
 
+    def version(self):
+        """Names, sizes and times of the given tables, so that changed tables are derived anew."""
+        p, fs = hadoop_path(self.spark, self.folder)
+        return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p)))
+
     def candles(self, interval: str = "1h") -> DataFrame:
         return self.stored(f"candles_{interval}", lambda: self.build_candles(interval))
 

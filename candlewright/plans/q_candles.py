@@ -12,7 +12,9 @@ from candlewright.plans.catalog import query
 from candlewright.plans.sqlparts import NUMERIC, ohlcv, r6, text8, unix
 from candlewright.schemas import CANDLE_FIELDS, SERIES_KEY
 from candlewright.sources import payloads
-from candlewright.sources.candles import accept_batch, export_view, table_view
+from candlewright.session import shared_path
+from candlewright.sources.candles import (accept_batch, export_candles, export_view, read_candles, store_batch,
+                                         table_view, write_candles)
 
 KEY = 'pair, "interval", "timestamp"'
 
@@ -23,20 +25,40 @@ query("ticks_to_candles", f"SELECT {KEY}, {ohlcv()} FROM c1h", ["c1h"])(lambda f
 query("candles_1h", f"SELECT {KEY}, {ohlcv()} FROM c1h", ["c1h"])(lambda fx: fx.build_candles("1h"))
 query("candles_5m", f"SELECT {KEY}, {ohlcv()} FROM c5m", ["c5m"])(lambda fx: fx.build_candles("5m"))
 query("candles_1d", f"SELECT {KEY}, {ohlcv()} FROM c1d", ["c1d"])(lambda fx: fx.build_daily())
-query("read_candles", f"SELECT {KEY}, {ohlcv()} FROM c1d", ["c1d"])(lambda fx: fx.daily())
+
+
+@query("read_candles", f"SELECT {KEY}, {ohlcv()} FROM c1d", ["c1d"])
+def read_layout(fx):
+    """Daily candles written in the package's layout, twice as one batch, and read back."""
+    path = shared_path(fx.spark, "candles")
+    for _ in range(2):
+        store_batch(fx.spark, path, fx.daily())
+    return read_candles(fx.spark, path).select(*SERIES_KEY, "timestamp", *CANDLE_FIELDS)
+
+
+@query("read_candles_month", f"""SELECT {KEY}, {ohlcv()} FROM c1d WHERE pair = 'N-O' AND "timestamp" >= TIMESTAMP '1996-02-10'
+    AND "timestamp" < TIMESTAMP '1996-04-02'""", ["c1d"])
+def read_month(fx):
+    path = shared_path(fx.spark, "candles")
+    write_candles(fx.daily(), path)
+    return reads.select_candles(read_candles(fx.spark, path), "N-O", "1d", "1996-02-10", "1996-04-02").select(
+        *SERIES_KEY, "timestamp", *CANDLE_FIELDS)
 
 
 def _resampled(source, name, width):
-    return f"""SELECT pair, '{name}' AS "interval", time_bucket(INTERVAL {width}, "timestamp") AS "timestamp",
+    return f"""SELECT pair, "interval" AS source_interval, '{name}' AS "interval", time_bucket(INTERVAL {width}, "timestamp") AS "timestamp",
       {r6('arg_min(open, "timestamp")')} AS open, {r6('max(high)')} AS high, {r6('min(low)')} AS low,
       {r6('arg_max(close, "timestamp")')} AS close, {r6('sum(volume)')} AS volume
-    FROM {source} GROUP BY 1, 3"""
+    FROM {source} GROUP BY 1, 2, 4"""
 
 
 query("resample_1h_4h", _resampled("c1h", "4h", "4 HOUR"), ["c1h"])(
     lambda fx: resample_candles(fx.candles("1h"), "4h"))
 query("resample_5m_1h", _resampled("c5m", "1h", "1 HOUR"), ["c5m"])(
     lambda fx: resample_candles(fx.candles("5m"), "1h"))
+query("resample_mixed", _resampled('(SELECT * FROM c5m UNION ALL SELECT * FROM c1h UNION ALL SELECT * FROM c1d)', "1d", "1 DAY"),
+      ["c5m", "c1h", "c1d"])(
+    lambda fx: resample_candles(fx.candles("5m").unionByName(fx.candles("1h")).unionByName(fx.daily()), "1d"))
 query("resample_1d_1w", _resampled("c1d", "1w", "7 DAY"), ["c1d"])(
     lambda fx: resample_candles(fx.daily(), "1w"))
 
@@ -129,11 +151,12 @@ def render_gap(fx):
 
 
 @query("render_job", """SELECT id, 'Job ' || id || ': ' || type || ' ' || "interval" || ' on ' || pair || ' ['
-      || strftime(start_time, '%Y-%m-%d %H:%M:%S') || ' to ' || strftime(end_time, '%Y-%m-%d %H:%M:%S') || '] - Status: '
+      || coalesce(strftime(start_time, '%Y-%m-%d %H:%M:%S'), '0001-01-01 00:00:00') || ' to '
+      || coalesce(strftime(end_time, '%Y-%m-%d %H:%M:%S'), '0001-01-01 00:00:00') || '] - Status: '
       || status || ' (' || progress || '% complete, ' || records_collected || ' records)' AS text
-    FROM jobs0 WHERE start_time IS NOT NULL""", ["jobs0"])
+    FROM jobs0""", ["jobs0"])
 def render_job(fx):
-    return fx.jobs().where(F.col("start_time").isNotNull()).select("id", rendering.render_job().alias("text"))
+    return fx.jobs().select("id", rendering.render_job().alias("text"))
 
 
 # --- payloads and pairs ----------------------------------------------------------
@@ -187,8 +210,10 @@ def candles_with_pair(fx):
 
 @query("export_candles", f"""SELECT strftime("timestamp", {_ISO}) AS "timestamp", pair, "interval", """
        + ", ".join(f"{text8(c)} AS {c}" for c in CANDLE_FIELDS) + " FROM c1d", ["c1d"])
-def export_candles(fx):
-    return export_view(fx.daily())
+def exported(fx):
+    path = shared_path(fx.spark, "export")
+    export_candles(fx.daily(), path, "csv")
+    return fx.spark.read.option("header", True).schema(export_view(fx.daily()).schema).csv(path)
 
 
 @query("table_view", f"""SELECT strftime("timestamp", '%Y-%m-%d %H:%M') AS "timestamp", pair, "interval", """
@@ -198,16 +223,16 @@ def table_rows(fx):
     return table_view(fx.candles("1h"), 40)
 
 
-_NEWEST = f"""SELECT {KEY}, {ohlcv()}, load_seq FROM (SELECT *, row_number() OVER
+NEWEST = f"""SELECT {KEY}, {ohlcv()}, load_seq FROM (SELECT *, row_number() OVER
     (PARTITION BY {KEY} ORDER BY created_at DESC, load_seq DESC) AS rn FROM (%s)) WHERE rn = 1"""
 
 
-@query("dedup_candles", _NEWEST % "SELECT * FROM load0 UNION ALL SELECT * FROM load2", ["load0", "load2"])
+@query("dedup_candles", NEWEST % "SELECT * FROM load0 UNION ALL SELECT * FROM load2", ["load0", "load2"])
 def dedup_candles(fx):
     return upsert.dedup_candles(fx.two_loads()).select(*SERIES_KEY, "timestamp", *CANDLE_FIELDS, "load_seq")
 
 
-@query("upsert_candles", _NEWEST % "SELECT * FROM load1 UNION ALL SELECT * FROM load2", ["load1", "load2"])
+@query("upsert_candles", NEWEST % "SELECT * FROM load1 UNION ALL SELECT * FROM load2", ["load1", "load2"])
 def upsert_candles(fx):
     return upsert.upsert_candles(fx.first_load(), fx.second_load()).select(
         *SERIES_KEY, "timestamp", *CANDLE_FIELDS, "load_seq")
@@ -221,12 +246,12 @@ def accept_whole_batch(fx):
     return accept_batch(rows).select(*SERIES_KEY, "timestamp", "open")
 
 
-@query("merge_corrections", f"""SELECT n.pair, n."interval", n."timestamp",
-      CASE WHEN o.pair IS NULL THEN 'new' ELSE 'changed' END AS change,
-      CASE WHEN o.pair IS NOT NULL THEN 'close' END AS changed_fields, """
+@query("merge_corrections", f"""SELECT pair, "interval", "timestamp",
+      CASE WHEN o.close IS NULL THEN 'new' WHEN n.close IS NULL THEN 'withdrawn' ELSE 'changed' END AS change,
+      CASE WHEN o.close <> n.close THEN 'close' END AS changed_fields, """
        + ", ".join(f"{r6('o.' + c)} AS old_{c}, {r6('n.' + c)} AS new_{c}" for c in CANDLE_FIELDS)
-       + """ FROM load2 n LEFT JOIN load1 o ON o.pair = n.pair AND o."interval" = n."interval" AND o."timestamp" = n."timestamp"
-    WHERE o.pair IS NULL OR o.close <> n.close""", ["load1", "load2"])
+       + """ FROM load2 n FULL JOIN load1 o USING (pair, "interval", "timestamp")
+    WHERE o.close IS NULL OR n.close IS NULL OR o.close <> n.close""", ["load1", "load2"])
 def merge_corrections(fx):
     return upsert.merge_corrections(fx.first_load(), fx.second_load())
 
@@ -249,6 +274,11 @@ def query_page(fx):
                             descending=True, limit=50, offset=10)
 
 
+@query("query_page_info", f"""SELECT count(*) AS total, false AS has_more, count(*) AS next_offset FROM c1h WHERE pair = 'view' AND {_RANGE}""", ["c1h"])
+def query_page_info(fx):
+    return reads.query_page_info(fx.candles("1h"), "view", "1h", "2024-01-05", "2024-01-20", limit=50, offset=1_000_000)
+
+
 @query("query_after", f"""SELECT {KEY}, {ohlcv()} FROM c1h WHERE ("timestamp", pair, "interval") > (TIMESTAMP '2024-01-10 05:00:00', 'error', '1h')
     ORDER BY "timestamp", pair, "interval" LIMIT 25""", ["c1h"])
 def query_after(fx):

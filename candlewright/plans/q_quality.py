@@ -34,11 +34,11 @@ def _failures():
 
 _FIELD = "CASE " + " ".join(f"WHEN {c} THEN '{f}'" for c, f, _ in _failures()) + " END"
 _MESSAGE = "CASE " + " ".join(f"WHEN {c} THEN {m}" for c, _, m in _failures()) + " END"
-_CHECKED = f"""SELECT slot_pair, slot_time, {_FIELD} AS error_field, {_MESSAGE} AS error_message,
+CHECKED = f"""SELECT slot_pair, slot_time, {_FIELD} AS error_field, {_MESSAGE} AS error_message,
     t.open, t.high, t.low, t.close, t.volume FROM dirty d JOIN typed t USING (slot_pair, slot_time)"""
 
 
-@query("validate_candles", f"SELECT slot_pair, slot_time, error_field, error_message FROM ({_CHECKED})", ["typed"])
+@query("validate_candles", f"SELECT slot_pair, slot_time, error_field, error_message FROM ({CHECKED})", ["typed"])
 def validate_candles(fx):
     return validate.validate_candles(fx.dirty()).select(*SLOT, "error_field", "error_message")
 
@@ -46,12 +46,12 @@ def validate_candles(fx):
 _R = ", ".join(f"{r6(c)} AS {c}" for c in CANDLE_FIELDS)
 
 
-@query("split_valid_invalid", f"SELECT slot_pair, slot_time, {_R} FROM ({_CHECKED}) WHERE error_field IS NULL", ["typed"])
+@query("split_valid_invalid", f"SELECT slot_pair, slot_time, {_R} FROM ({CHECKED}) WHERE error_field IS NULL", ["typed"])
 def split_valid(fx):
     return validate.split_valid_invalid(fx.dirty())[0].select(*SLOT, *CANDLE_FIELDS)
 
 
-@query("split_valid_invalid_rejects", f"""SELECT slot_pair, slot_time, error_field FROM ({_CHECKED})
+@query("split_valid_invalid_rejects", f"""SELECT slot_pair, slot_time, error_field FROM ({CHECKED})
     WHERE error_field IS NOT NULL""", ["typed"])
 def split_invalid(fx):
     return validate.split_valid_invalid(fx.dirty())[1].select(*SLOT, "error_field")
@@ -175,34 +175,34 @@ def _cross(fx):
     return anomalies.cross_anomalies(anomalies.candle_steps(fx.candles("1h"), slots_per_bucket=100))
 
 
-_SCORED = [*SERIES_KEY, "timestamp", "type", "value", "threshold", "confidence", "severity"]
-_SCORED_SQL = f"""SELECT {KEY}, kind AS type, {r6('value')} AS value, CAST(threshold AS DOUBLE) AS threshold,
+SCORED = [*SERIES_KEY, "timestamp", "type", "value", "threshold", "confidence", "severity"]
+SCORED_SQL = f"""SELECT {KEY}, kind AS type, {r6('value')} AS value, CAST(threshold AS DOUBLE) AS threshold,
     {r6('confidence')} AS confidence, severity FROM scored"""
 
 
-@query("price_spikes", f"{_SCORED_SQL} WHERE kind = 'price_spike'", ["scored"])
+@query("price_spikes", f"{SCORED_SQL} WHERE kind = 'price_spike'", ["scored"])
 def price_spikes(fx):
-    return anomalies.price_spikes(fx.candles("1h")).select(*_SCORED)
+    return anomalies.price_spikes(fx.candles("1h")).select(*SCORED)
 
 
-@query("volume_surges", f"{_SCORED_SQL} WHERE kind = 'volume_surge'", ["scored"])
+@query("volume_surges", f"{SCORED_SQL} WHERE kind = 'volume_surge'", ["scored"])
 def volume_surges(fx):
-    return anomalies.volume_surges(fx.candles("1h")).select(*_SCORED)
+    return anomalies.volume_surges(fx.candles("1h")).select(*SCORED)
 
 
-@query("score_anomalies", _SCORED_SQL, ["scored"])
+@query("score_anomalies", SCORED_SQL, ["scored"])
 def score_anomalies(fx):
-    return _cross(fx).select(*_SCORED)
+    return _cross(fx).select(*SCORED)
 
 
-@query("filter_anomalies", f"{_SCORED_SQL} WHERE kind = 'price_spike' AND confidence >= 0.6", ["scored"])
+@query("filter_anomalies", f"{SCORED_SQL} WHERE kind = 'price_spike' AND confidence >= 0.6", ["scored"])
 def filter_anomalies(fx):
-    return anomalies.filter_anomalies(_cross(fx), "price_spike", 0.6).select(*_SCORED)
+    return anomalies.filter_anomalies(_cross(fx), "price_spike", 0.6).select(*SCORED)
 
 
-@query("min_confidence_filter", f"{_SCORED_SQL} WHERE confidence >= 0.7", ["scored"])
+@query("min_confidence_filter", f"{SCORED_SQL} WHERE confidence >= 0.7", ["scored"])
 def min_confidence_filter(fx):
-    return anomalies.min_confidence_filter(_cross(fx)).select(*_SCORED)
+    return anomalies.min_confidence_filter(_cross(fx)).select(*SCORED)
 
 
 _RATIOS = """SELECT pair, "timestamp", CASE WHEN prev_high <> 0 THEN CAST(high AS DOUBLE) / CAST(prev_high AS DOUBLE) END AS r,
@@ -398,14 +398,15 @@ def quality_metrics(fx):
 
 _CROSS = f"""SELECT b.pair, b."interval", total_candles, valid_candles, validation_errors, anomalies_detected + coalesce(n, 0) AS anomalies_detected,
     critical_issues + coalesce(c, 0) AS critical_issues
-  FROM (SELECT * FROM ({_BASE}) WHERE pair IS NOT NULL) b LEFT JOIN (SELECT pair, "interval", CAST(count(*) AS BIGINT) AS n,
-    CAST(count(*) FILTER (WHERE severity = 'critical') AS BIGINT) AS c FROM scored GROUP BY ALL) s ON s.pair = b.pair AND s."interval" = b."interval\""""
+  FROM ({_BASE}) b LEFT JOIN (SELECT pair, "interval", CAST(count(*) AS BIGINT) AS n,
+    CAST(count(*) FILTER (WHERE severity = 'critical') AS BIGINT) AS c FROM scored GROUP BY GROUPING SETS ((pair, "interval"), ())) s
+  ON s.pair IS NOT DISTINCT FROM b.pair AND s."interval" IS NOT DISTINCT FROM b."interval\""""
 
 
 @query("quality_metrics_with_cross", f"SELECT {_SQL_COLUMNS} FROM ({_metrics(_CROSS)})", ["results", "scored"])
 def quality_metrics_with_cross(fx):
     found = _cross(fx).select(*SERIES_KEY, "severity")
-    return quality.quality_metrics(fx.results()[0], found).where(F.col("pair").isNotNull()).select(*_METRIC_COLUMNS)
+    return quality.quality_metrics(fx.results()[0], found).select(*_METRIC_COLUMNS)
 
 
 @query("quality_gate", f"""SELECT pair, "interval", round(quality_score, 6) AS quality_score,

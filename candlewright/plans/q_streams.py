@@ -1,15 +1,17 @@
 """Queries: streams over the events table, drained with an available-now trigger.
 
-They have no SQL twin; tests compare most of the underlying streams with batches.
+A drained stream has seen all rows, but what waits for the watermark stays behind: the
+twins stop five minutes before the last row.
 """
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from candlewright.plans.catalog import query
+from candlewright.plans.q_candles import KEY, NEWEST
+from candlewright.plans.q_quality import CHECKED, SCORED, SCORED_SQL, SLOT
+from candlewright.plans.sqlparts import ohlcv, r6
 from candlewright.schemas import CANDLE_FIELDS, SERIES_KEY
-from candlewright.session import shared_folder
+from candlewright.session import shared_path
 from candlewright.sources.candles import stored_candles
 from candlewright.streaming import ordered, sinks, streams
 
@@ -26,7 +28,7 @@ def tick_stream(fx):
 
 def table_stream(fx, rows):
     """A batch result written to the shared folder and read back as a stream."""
-    path = f"{shared_folder(fx.spark)}/input-{uuid.uuid4().hex}"
+    path = shared_path(fx.spark, "input")
     rows.write.parquet(path)
     return fx.spark.readStream.schema(rows.schema).parquet(path)
 
@@ -36,45 +38,60 @@ def _result(fx, stream):
     return fx.spark.read.schema(schema).parquet(sinks.drain(fx.spark, stream))
 
 
-@query("stream_resample")
+def _final(rows, ts):
+    """Where the watermark stands after the last of ``rows``."""
+    return f"(SELECT max({ts}) - INTERVAL 5 MINUTE FROM {rows})"
+
+
+@query("stream_resample", f"""SELECT {KEY}, {ohlcv()} FROM c1h WHERE "timestamp" + INTERVAL 1 HOUR <= {_final('events', 'ts')}""", ["c1h"])
 def stream_resample(fx):
     return _result(fx, streams.ticks_to_candles(tick_stream(fx), "1h"))
 
 
-@query("stream_resample_sliding")
+@query("stream_resample_sliding", f"""SELECT pair, '5m' AS source_interval, '1h' AS "interval", w AS "timestamp",
+      {r6('arg_min(open, "timestamp")')} AS open, {r6('max(high)')} AS high, {r6('min(low)')} AS low,
+      {r6('arg_max(close, "timestamp")')} AS close, {r6('sum(volume)')} AS volume
+    FROM (SELECT *, time_bucket(INTERVAL 15 MINUTE, "timestamp") - k * INTERVAL 15 MINUTE AS w FROM c5m, range(4) r(k))
+    GROUP BY pair, w HAVING w + INTERVAL 1 HOUR <= {_final('c5m', '"timestamp"')}""", ["c5m"])
 def stream_resample_sliding(fx):
     candles = table_stream(fx, fx.candles("5m"))
     return _result(fx, streams.resample(candles, "1h", slide="15 minutes"))
 
 
-@query("stream_ingest_dedup")
+@query("stream_ingest_dedup", f"SELECT {KEY}, {ohlcv()} FROM c1h", ["c1h"])
 def stream_ingest_dedup(fx):
     candles = table_stream(fx, fx.candles("1h").unionByName(fx.candles("1h")))
     return _result(fx, streams.ingest_dedup(candles))
 
 
-@query("stream_validate")
+@query("stream_validate", f"SELECT slot_pair, slot_time, error_field, error_message FROM ({CHECKED})", ["typed"])
 def stream_validate(fx):
-    return _result(fx, streams.validate(table_stream(fx, fx.dirty())))
+    return _result(fx, streams.validate(table_stream(fx, fx.dirty()))).select(*SLOT, "error_field", "error_message")
 
 
-@query("stream_spikes")
+@query("stream_spikes", f"""{SCORED_SQL} WHERE "timestamp" <= {_final('c1h', '"timestamp"')}""", ["c1h", "scored"])
 def stream_spikes(fx):
-    return _result(fx, ordered.spikes(table_stream(fx, fx.candles("1h"))))
+    return _result(fx, ordered.spikes(table_stream(fx, fx.candles("1h")))).select(*SCORED)
 
 
-@query("stream_gaps")
+@query("stream_gaps", f"""SELECT pair, "interval", "timestamp" + INTERVAL 5 MINUTE AS start_time, n AS end_time
+    FROM (SELECT *, lead("timestamp") OVER (PARTITION BY pair ORDER BY "timestamp") AS n FROM c5m)
+    WHERE n > "timestamp" + INTERVAL 5 MINUTE AND n <= {_final('c5m', '"timestamp"')}""", ["c5m"])
 def stream_gaps(fx):
     return _result(fx, ordered.gaps(table_stream(fx, fx.candles("5m"))))
 
 
-@query("stream_outages")
+@query("stream_outages", f"""SELECT pair, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS rows FROM (
+      SELECT pair, ts, sum(CASE WHEN ts < p + INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY pair ORDER BY ts) AS s
+      FROM (SELECT event_type AS pair, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS p FROM events))
+    GROUP BY pair, s HAVING max(ts) + INTERVAL 30 MINUTE <= {_final('events', 'ts')}""")
 def stream_outages(fx):
     rows = tick_stream(fx).select("pair", F.col("ts").alias("timestamp"))
     return _result(fx, streams.outages(rows, "30 minutes"))
 
 
-@query("stream_late_data")
+@query("stream_late_data", """SELECT event_type AS pair, event_id AS tick_id, ts AS "timestamp",
+      date_trunc('second', ts) + to_seconds(event_id % 13 * 40) AS received_at, event_id % 13 * 40 > 300 AS is_late FROM events""")
 def stream_late_data(fx):
     delay = F.pmod(F.col("tick_id"), F.lit(13)) * 40
     rows = tick_stream(fx).select(
@@ -83,7 +100,7 @@ def stream_late_data(fx):
     return _result(fx, streams.on_time(rows))
 
 
-@query("stream_upsert")
+@query("stream_upsert", NEWEST % "SELECT * FROM load0 UNION ALL SELECT * FROM load2", ["load0", "load2"])
 def stream_upsert(fx):
     loads = table_stream(fx, fx.two_loads())
     path = sinks.drain(fx.spark, loads, sinks.start_upsert)

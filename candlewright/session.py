@@ -1,6 +1,7 @@
 """Session defaults and the shared folder."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -38,13 +39,34 @@ def local_session(cores="*", shuffle_partitions=8, app="candlewright") -> SparkS
     return spark
 
 
+_LOCAL_FOLDERS = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by the cluster.
+    """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (a test session) is one made locally.
+    Only a session on one machine may go without; it gets a folder for its lifetime.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_FOLDERS[context.applicationId]
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(path, its file system) of the JVM, for looking at and deleting files in any store."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    p, fs = hadoop_path(spark, path)
+    fs.deleteOnExit(p)
+    return path

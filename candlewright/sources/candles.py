@@ -5,37 +5,44 @@ within a file, so that equality filters prune directories and time filters prune
 row groups.
 """
 
-import uuid
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candlewright.functions.decimals import fixed_text
+from candlewright.functions.intervals import DAY, interval_seconds
 from candlewright.functions.rendering import iso_utc
 from candlewright.operators.upsert import dedup_candles, upsert_candles
 from candlewright.operators.validate import validate_candles
 from candlewright.schemas import CANDLE_FIELDS, CANDLES, SERIES_KEY
-from candlewright.session import shared_folder
+from candlewright.session import hadoop_path, shared_path
 
 EXPORT_COLUMNS = ["timestamp", "pair", "interval", *CANDLE_FIELDS]
 PARTITIONS = [*SERIES_KEY, "month"]
 
 
 def read_candles(spark: SparkSession, path: str, fmt: str = "parquet", schema=CANDLES) -> DataFrame:
-    """A candle table; CSV and JSON need the schema, Parquet brings its own."""
+    """A candle table; CSV and JSON need the schema, Parquet brings its own.
+
+    Directory names are text: Spark would take the interval '1d' for a number.
+    """
     reader = spark.read.format(fmt)
-    if fmt != "parquet":
-        reader = reader.schema(schema)
+    if fmt == "parquet":
+        own = reader.load(path).schema
+        schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in SERIES_KEY else f for f in own])
+    reader = reader.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True)
     return reader.load(path)
 
 
 def _with_month(candles: DataFrame) -> DataFrame:
-    """Adds the directory column: year * 100 + month."""
-    return candles.withColumn("month", (F.year("timestamp") * 100 + F.month("timestamp")).cast("int"))
+    """Adds the directory column: year * 100 + month, and + 0 for daily and longer candles.
+
+    A year of daily candles is as small as a day of minute candles.
+    """
+    month = F.when(interval_seconds(F.col("interval")) >= DAY, 0).otherwise(F.month("timestamp"))
+    return candles.withColumn("month", (F.year("timestamp") * 100 + month).cast("int"))
 
 
 def write_candles(candles: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -54,11 +61,10 @@ def write_candles(candles: DataFrame, path: str, mode: str = "overwrite") -> Non
 
 def _stored(spark: SparkSession, path: str, like: DataFrame):
     """The table at ``path`` with the columns of ``like``, or None when there is none."""
-    schema = T.StructType(_with_month(like).schema.fields)
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    p, fs = hadoop_path(spark, path)
+    if not fs.exists(p):
         return None
+    return spark.read.schema(T.StructType(_with_month(like).schema.fields)).parquet(path)
 
 
 def store_batch(spark: SparkSession, path: str, incoming: DataFrame) -> None:
@@ -80,9 +86,11 @@ def store_batch(spark: SparkSession, path: str, incoming: DataFrame) -> None:
     # The month bounds prune directories; the semi join then keeps exactly the touched ones.
     affected = existing.where(F.col("month").between(reach["lo"], reach["hi"])).join(
         touched, PARTITIONS, "left_semi")
-    stage = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    stage = shared_path(spark, "stage")
     upsert_candles(affected.drop("month"), incoming).write.parquet(stage)
     write_candles(spark.read.parquet(stage), path)
+    p, fs = hadoop_path(spark, stage)
+    fs.delete(p, True)
 
 
 def stored_candles(spark: SparkSession, path: str, schema) -> DataFrame:

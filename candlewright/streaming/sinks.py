@@ -1,11 +1,9 @@
 """Where streams end up."""
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from candlewright.session import shared_folder
+from candlewright.session import shared_path
 from candlewright.sources.candles import store_batch
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -36,7 +34,7 @@ def drain(spark: SparkSession, stream: DataFrame, start=start_append) -> str:
     """Process all available input into a fresh table in the shared folder; returns its path."""
     if spark.conf.get(STATE_STORE, None) != ROCKSDB:
         spark.conf.set(STATE_STORE, ROCKSDB)
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = shared_path(spark, "stream")
     query = start(stream, f"{base}/table", f"{base}/checkpoint")
     query.awaitTermination()
     return f"{base}/table"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewright.functions.intervals import interval_seconds, seconds_of
+from candlewright.operators.resample import fits_into
 from candlewright.operators.validate import validate_candles
 from candlewright.schemas import CANDLE_KEY, DECIMAL
 
@@ -22,7 +23,7 @@ def ingest_dedup(candles: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 def resample(candles: DataFrame, interval: str, lateness: str = LATENESS,
              slide: str = None) -> DataFrame:
-    """Coarser candles, each emitted once its window is complete.
+    """Coarser candles of each source interval, each emitted once its window is complete.
 
     With ``slide`` the windows overlap.
     """
@@ -31,12 +32,12 @@ def resample(candles: DataFrame, interval: str, lateness: str = LATENESS,
     window = F.window("timestamp", width, slide or width, offset)
     return (
         candles.withWatermark("timestamp", lateness)
-        .groupBy("pair", window.alias("w"))
+        .groupBy("pair", fits_into(F.col("interval"), interval).alias("source_interval"), window.alias("w"))
         .agg(F.min_by("open", "timestamp").alias("open"), F.max("high").alias("high"),
              F.min("low").alias("low"), F.max_by("close", "timestamp").alias("close"),
              F.sum("volume").cast(DECIMAL).alias("volume"))
         .select("pair", F.lit(interval).alias("interval"), F.col("w.start").alias("timestamp"),
-                "open", "high", "low", "close", "volume")
+                "open", "high", "low", "close", "volume", "source_interval")
     )
 
 
