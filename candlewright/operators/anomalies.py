@@ -131,7 +131,7 @@ def sequence_anomalies(rows: DataFrame, arrival: str, keys=("pair",), step_secon
     keys = list(keys)
     step = interval_seconds(F.col("interval")) if step_seconds is None else step_seconds
     steps = transitions(rows.withColumn("_step", step), keys, arrival, ["timestamp", "_step"],
-                        number_bucket(F.col(arrival), rows_per_bucket))
+                        number_bucket(F.col(arrival), rows_per_bucket), levels=1)
     return findings(steps, [*keys, arrival, "timestamp", "prev_timestamp"],
                     sequence_finding(F.col("_step"), drift_seconds))
 

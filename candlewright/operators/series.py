@@ -29,14 +29,36 @@ def number_bucket(order: Column, width: int = SLOTS_PER_BUCKET) -> Column:
     return F.floor(order / F.lit(width)).cast("bigint")
 
 
+def _across(ends: DataFrame, keys, carried, levels: int, fan: int) -> DataFrame:
+    """The first row of each bucket next to the last row of the bucket before it.
+
+    ``ends`` has one row per bucket: first values and ``last_*``. With ``levels`` left,
+    buckets are ordered within groups of ``fan`` of them, and only the groups go on to
+    the next level; without, the buckets of a series are ordered in one task.
+    """
+    if not levels:
+        across = Window.partitionBy(*keys).orderBy(BUCKET)
+        return ends.select(*keys, *carried, *[F.lag(f"last_{c}").over(across).alias(f"prev_{c}") for c in carried])
+    grouped = ends.withColumn("_group", F.floor(F.col(BUCKET) / F.lit(fan)).cast("bigint")).repartition(keys[0], "_group")
+    inside = Window.partitionBy(*keys, "_group").orderBy(BUCKET)
+    inner = grouped.select(*keys, *carried, *[F.lag(f"last_{c}").over(inside).alias(f"prev_{c}") for c in carried],
+                           F.row_number().over(inside).alias("_rn")).where("_rn > 1").drop("_rn")
+    heads = grouped.groupBy(*keys, "_group").agg(
+        *[F.min_by(c, BUCKET).alias(c) for c in carried],
+        *[F.max_by(f"last_{c}", BUCKET).alias(f"last_{c}") for c in carried]).withColumnRenamed("_group", BUCKET)
+    return inner.unionByName(_across(heads, keys, carried, levels - 1, fan))
+
+
 def transitions(df: DataFrame, keys, order: str, values=(), bucket: Column = None,
-                include_first: bool = False) -> DataFrame:
+                include_first: bool = False, levels: int = 0, fan: int = SLOTS_PER_BUCKET) -> DataFrame:
     """One row per pair of consecutive rows in a series.
 
     Output: the keys, ``order`` and ``values`` of the later row, and the same of
     the earlier one as ``prev_*``. ``order`` must be unique within a series;
     rows without an order value are left out. ``include_first`` adds the first
-    row of each series with NULL ``prev_*`` columns.
+    row of each series with NULL ``prev_*`` columns. ``levels`` is for orders without
+    bound, such as arrival numbers: so many levels of ``fan`` buckets are put between
+    the buckets and the series.
     """
     keys, values = list(keys), list(values)
     if bucket is None:
@@ -60,10 +82,7 @@ def transitions(df: DataFrame, keys, order: str, values=(), bucket: Column = Non
         *[F.min_by(v, order).alias(v) for v in values],
         *[F.max_by(v, order).alias(f"last_{v}") for v in values],
     )
-    across = Window.partitionBy(*keys).orderBy(BUCKET)
-    edges = ends.select(
-        *keys, *carried,
-        *[F.lag(f"last_{c}").over(across).alias(f"prev_{c}") for c in carried])
+    edges = _across(ends, keys, carried, levels, fan)
     if not include_first:
         edges = edges.where(F.col(f"prev_{order}").isNotNull())
     return inner.unionByName(edges)

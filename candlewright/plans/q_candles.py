@@ -9,6 +9,7 @@ from candlewright.operators import upsert, validate
 from candlewright.operators.anomalies import as_of_prev, lookback_context
 from candlewright.operators.resample import resample_candles
 from candlewright.plans.catalog import query
+from candlewright.plans.q_quality import CHECKED
 from candlewright.plans.sqlparts import NUMERIC, ohlcv, r6, text8, unix
 from candlewright.schemas import CANDLE_FIELDS, SERIES_KEY
 from candlewright.sources import payloads
@@ -184,6 +185,13 @@ def normalise_candles(fx):
     return valid.select(*SERIES_KEY, "timestamp", *CANDLE_FIELDS)
 
 
+@query("normalise_candles_rejects", f"""SELECT slot_pair, slot_time, error_field, error_message FROM ({CHECKED})
+    WHERE error_field IS NOT NULL""", ["typed"])
+def normalise_rejects(fx):
+    _, rejects = payloads.normalise_candles(fx.dirty())
+    return rejects.select("slot_pair", "slot_time", "error_field", "error_message")
+
+
 @query("parse_products", "SELECT * FROM products0", ["products0"])
 def parse_products(fx):
     return payloads.parse_products(fx.products())

@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from candlewright.operators import anomalies, gaps, lifecycle, statefold
@@ -31,6 +33,19 @@ def test_transitions(spark):
     assert sorted(map(tuple, got.select("k", "t", "v", "prev_t", "prev_v").collect()), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_transitions_over_levels_of_sparse_numbers(spark, levels):
+    rng = random.Random(levels)
+    rows = [(k, t, rng.choice([None, *range(9)])) for k in "ab" for t in rng.sample(range(-10**6, 10**6), 90)]
+    df = frame(spark, rows, "k string, t long, v int")
+    got = transitions(df, ["k"], "t", ["v"], F.floor(F.col("t") / 7), include_first=True, levels=levels, fan=5)
+    want = []
+    for k in "ab":
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: r[1])
+        want += [(*r, *(own[i - 1][1:] if i else (None, None))) for i, r in enumerate(own)]
+    assert sorted(map(tuple, got.select("k", "t", "v", "prev_t", "prev_v").collect()), key=str) == sorted(want, key=str)
+
+
 def test_running(spark):
     rng = random.Random(2)
     rows = [(k, t, rng.randint(-50, 50)) for k in "ab" for t in rng.sample(range(300), 80)]
