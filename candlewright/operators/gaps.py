@@ -219,16 +219,18 @@ def gap_ignorable(gaps: DataFrame, as_of) -> DataFrame:
 
 
 def merge_periods(periods: DataFrame, keys, touching: bool = True,
-                  bucket_seconds: int = 30 * DAY) -> DataFrame:
+                  bucket_seconds: int = 30 * DAY, carry=(), totals=()) -> DataFrame:
     """Union of overlapping periods per key, with the number of parts of each.
 
+    ``totals`` are further aggregates over the parts, of their columns ``carry``.
+
     A running maximum of the end time marks where a new island starts; the
     island's start is then a running maximum of the marked starts.
     """
     keys = list(keys)
     bucket = F.floor(F.unix_seconds("start_time") / F.lit(bucket_seconds)).cast("bigint")
     order = ["start_time", "end_time"]
-    reached = running(periods.select(*keys, *order), keys, order,
+    reached = running(periods.select(*keys, *order, *carry), keys, order,
                       {"_reach": ("max", "end_time")}, bucket)
     apart = (F.col("start_time") > F.col("_reach")) if touching else (
         F.col("start_time") >= F.col("_reach"))
@@ -238,16 +240,39 @@ def merge_periods(periods: DataFrame, keys, touching: bool = True,
     return (
         islands.withColumn("_island", F.coalesce("_open", "_last_open"))
         .groupBy(*keys, "_island")
-        .agg(F.max("end_time").alias("end_time"), F.count(F.lit(1)).alias("merged_count"))
-        .select(*keys, F.col("_island").alias("start_time"), "end_time", "merged_count")
+        .agg(F.max("end_time").alias("end_time"), F.count(F.lit(1)).alias("merged_count"), *totals)
+        .withColumnRenamed("_island", "start_time")
     )
 
 
+def gap_id() -> Column:
+    """Deterministic id, so detecting the same gap again is harmless."""
+    text = F.concat_ws("_", "pair", "interval", F.unix_seconds("start_time").cast("string"),
+                       F.unix_seconds("end_time").cast("string"))
+    return F.replace(F.replace(text, F.lit("/"), F.lit("-")), F.lit(" "), F.lit("_"))
+
+
 def merge_gaps(gaps: DataFrame, touching: bool = True) -> DataFrame:
     """Overlapping gaps of a series merged; ``merged_count - 1`` were resolved."""
     return merge_periods(gaps, SERIES_KEY, touching)
 
 
+def merge_gap_records(gaps: DataFrame, touching: bool = True, bucket_seconds: int = 30 * DAY) -> DataFrame:
+    """Merged gaps as gap records with an id of their own.
+
+    A merged gap is as urgent, as often tried and as old as any of its parts, and in
+    progress if one of them is.
+    """
+    merged = merge_periods(
+        gaps, SERIES_KEY, touching, bucket_seconds, ("status", "created_at", "priority", "attempts", "last_attempt_at"),
+        [F.max("priority").alias("priority"), F.max("attempts").alias("attempts"), F.min("created_at").alias("created_at"),
+         F.max("last_attempt_at").alias("last_attempt_at"), F.count_if(F.col("status") == "filling").alias("_filling")])
+    return merged.select(
+        gap_id().alias("id"), *SERIES_KEY, "start_time", "end_time",
+        F.when(F.col("_filling") > 0, "filling").otherwise("detected").alias("status"),
+        "created_at", "priority", "attempts", "last_attempt_at", "merged_count")
+
+
 def overlap_gaps(gaps: DataFrame, bucket_seconds: int = 30 * DAY) -> DataFrame:
     """Gaps that start before an earlier gap of their series has ended."""
     bucket = F.floor(F.unix_seconds("start_time") / F.lit(bucket_seconds)).cast("bigint")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from candlewright.functions.intervals import DAY, HOUR, at, interval_seconds, seconds_between
 from candlewright.functions.rendering import priority_label
-from candlewright.operators.gaps import gap_period_reason
+from candlewright.operators.gaps import gap_id, gap_period_reason
 from candlewright.operators.series import ranked
 from candlewright.operators.statefold import fold_events
 from candlewright.operators.totals import with_empty_row
@@ -36,13 +36,6 @@ def _longer(micros: Column, seconds: int) -> Column:
     return micros > F.lit(seconds * 1_000_000).cast("bigint")
 
 
-def gap_id() -> Column:
-    """Deterministic id, so detecting the same gap again is harmless."""
-    text = F.concat_ws("_", "pair", "interval", F.unix_seconds("start_time").cast("string"),
-                       F.unix_seconds("end_time").cast("string"))
-    return F.replace(F.replace(text, F.lit("/"), F.lit("-")), F.lit(" "), F.lit("_"))
-
-
 def gap_priority(as_of, created: Column = None) -> Column:
     """Priority from length and age: long and old gaps first, fresh short ones last."""
     age = _micros_since(F.col("created_at") if created is None else created, as_of)
@@ -90,11 +83,14 @@ def new_gaps(periods: DataFrame, as_of) -> DataFrame:
         F.lit(None).cast("string").alias("error_message"))
 
 
-def reprioritise_gaps(gaps: DataFrame, as_of, rule: str = "model") -> DataFrame:
-    """Detected gaps whose priority changes, with the old and the new one."""
+def reprioritise_gaps(gaps: DataFrame, as_of, rule: str = "model", **thresholds) -> DataFrame:
+    """Detected gaps whose priority changes, with the old and the new one.
+
+    ``thresholds`` go to the rule, in seconds.
+    """
     return (
         gaps.where(F.col("status") == "detected")
-        .withColumn("new_priority", PRIORITY_RULES[rule](as_of))
+        .withColumn("new_priority", PRIORITY_RULES[rule](as_of, **thresholds))
         .where(F.col("new_priority") != F.col("priority"))
         .withColumnRenamed("priority", "old_priority")
     )

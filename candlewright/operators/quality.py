@@ -136,6 +136,16 @@ def quality_metrics(results: DataFrame, cross_anomalies: DataFrame = None,
         (F.col("_level") > 0) | (F.col("total_candles") > 0) | (F.col("anomalies_detected") > 0)).drop("_level"))
 
 
+def anomalies_by_type(results: DataFrame, cross_anomalies: DataFrame = None, by=SERIES_KEY) -> DataFrame:
+    """Anomalies of each series by type, of candles and between candles; NULL keys are totals."""
+    by = list(by)
+    found = results.select(*by, F.explode("anomalies").alias("a")).select(*by, F.col("a.type").alias("type"))
+    if cross_anomalies is not None:
+        found = found.unionByName(cross_anomalies.select(*by, "type"))
+    per_series = found.groupBy(*by, "type").agg(F.count(F.lit(1)).alias("n"))
+    return per_series.groupingSets([[*by, "type"], ["type"]], *by, "type").agg(F.sum("n").alias("anomalies"))
+
+
 def quality_gate(metrics: DataFrame, threshold: float = QUALITY_THRESHOLD) -> DataFrame:
     """Adds ``gate``: pass or fail against the quality threshold."""
     return metrics.withColumn(

@@ -112,6 +112,19 @@ def merge_gaps(fx):
     return gaps.merge_periods(fx.wide_gaps(), SERIES_KEY, bucket_seconds=86400)
 
 
+_ISLANDS = """SELECT *, sum(CASE WHEN reach IS NULL OR start_time > reach THEN 1 ELSE 0 END) OVER (PARTITION BY pair ORDER BY start_time, end_time, id ROWS UNBOUNDED PRECEDING) AS island
+    FROM (SELECT *, max(end_time) OVER (PARTITION BY pair ORDER BY start_time, end_time, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM wide_gaps)"""
+
+
+@query("merge_gap_records", f"""SELECT pair || '_' || "interval" || '_' || CAST(epoch(start_time) AS BIGINT) || '_' || CAST(epoch(end_time) AS BIGINT) AS id, *
+    FROM (SELECT pair, "interval", min(start_time) AS start_time, max(end_time) AS end_time,
+      CASE WHEN count(*) FILTER (WHERE status = 'filling') > 0 THEN 'filling' ELSE 'detected' END AS status, min(created_at) AS created_at,
+      CAST(max(priority) AS BIGINT) AS priority, CAST(max(attempts) AS BIGINT) AS attempts, max(last_attempt_at) AS last_attempt_at,
+      count(*) AS merged_count FROM ({_ISLANDS}) GROUP BY pair, "interval", island)""", ["wide_gaps"])
+def merge_gap_records(fx):
+    return gaps.merge_gap_records(fx.wide_gaps(), bucket_seconds=86400)
+
+
 @query("overlap_gaps", f"""SELECT id, {PERIOD}, reach AS reached_end FROM (SELECT *, max(end_time) OVER (PARTITION BY pair
       ORDER BY start_time, end_time, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM wide_gaps) WHERE start_time < reach""", ["wide_gaps"])
 def overlap_gaps(fx):
@@ -172,6 +185,18 @@ def reprioritise_gaps(fx):
     return lifecycle.reprioritise_gaps(fx.gaps(), AS_OF, "manager").select("id", "old_priority", "new_priority")
 
 
+_OWN = f"""CAST(CASE WHEN {_AGE} > 2592000 OR {LENGTH} > 7200 THEN 3 WHEN {_AGE} > 1296000 OR {LENGTH} > 3600 THEN 2
+    WHEN {_AGE} > 600 THEN 1 ELSE 0 END AS BIGINT)"""
+
+
+@query("reprioritise_gaps_thresholds", f"""SELECT id, priority AS old_priority, {_OWN} AS new_priority FROM gaps0
+    WHERE status = 'detected' AND priority <> {_OWN}""", ["gaps0"])
+def reprioritise_by_thresholds(fx):
+    return lifecycle.reprioritise_gaps(
+        fx.gaps(), AS_OF, "manager", critical_age=2592000, critical_length=7200, high_age=1296000, high_length=3600,
+        recent=600).select("id", "old_priority", "new_priority")
+
+
 @query("validate_gaps", """SELECT source_id, CASE WHEN id = '' THEN 'gap ID cannot be empty' WHEN pair = '' THEN 'gap pair cannot be empty'
       WHEN "interval" = '' THEN 'gap interval cannot be empty' WHEN start_time IS NULL THEN 'gap start time cannot be zero'
       WHEN end_time IS NULL THEN 'gap end time cannot be zero' WHEN end_time <= start_time THEN 'gap end time must be after start time'

@@ -409,6 +409,14 @@ def quality_metrics_with_cross(fx):
     return quality.quality_metrics(fx.results()[0], found).select(*_METRIC_COLUMNS)
 
 
+@query("anomalies_by_type", """SELECT pair, "interval", type, CAST(sum(n) AS BIGINT) AS anomalies FROM (
+      SELECT pair, "interval", 'logic_error' AS type, sum(anomaly_count) AS n FROM results GROUP BY ALL HAVING sum(anomaly_count) > 0
+      UNION ALL SELECT pair, "interval", kind, count(*) FROM scored GROUP BY ALL)
+    GROUP BY GROUPING SETS ((pair, "interval", type), (type))""", ["results", "scored"])
+def anomalies_by_type(fx):
+    return quality.anomalies_by_type(fx.results()[0], _cross(fx))
+
+
 @query("quality_gate", f"""SELECT pair, "interval", round(quality_score, 6) AS quality_score,
     CASE WHEN quality_score >= 0.8 THEN 'pass' ELSE 'fail' END AS gate FROM ({_metrics(_BASE)})""", ["results"])
 def quality_gate(fx):
