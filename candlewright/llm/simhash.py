@@ -165,26 +165,62 @@ def near_copies(docs, size=5):
     sixth of their shingle bits, too many to look up. The index is therefore built on
     128 bits over single words, in which such texts differ in few: six segments, each
     looked up with its ball of radius one, find every pair up to eleven bits apart. The
-    pair is then accepted by the complete distance of 256 bits over the shingles.
+    pair is then accepted by the complete distance of 256 bits over the shingles. Each
+    bucket's members first meet two of them, and labels from those links keep the search
+    from listing the inner links of large groups.
     Documents without words form one group; rows without doc_id are left out.
     """
     sig = stored(signatures(docs.where("doc_id IS NOT NULL"), size))
-    bits = ["w0", "w1", "s0", "s1", "s2", "s3"]
+    bits = ["w0", "w1", *SHINGLE_BITS]
     alike = stored(sig.groupBy(*bits).agg(F.min("doc_id").alias("id")))
-    keys, probes = [], []
+    first = stored(components(_pivot_links(alike)).withColumnRenamed("node", "id"))
+    labelled = stored(alike.join(first, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"))
+    last = stored(components(_links_between(labelled)).select(F.col("node").alias("label"), F.col("component").alias("last")))
+    known = stored(labelled.join(last, "label", "left").select(*bits, F.coalesce("last", "label").alias("component_id")))
+    return sig.join(known, bits).select("doc_id", "component_id")
+
+
+SHINGLE_BITS = ("s0", "s1", "s2", "s3")
+
+
+def _segment_keys():
+    """SQL of a signature's key in each word segment, and of its ball of radius one there."""
+    keys, balls = [], []
     for t, (half, first, width) in enumerate(WORD_SEGMENTS):
         part = f"shiftrightunsigned(w{half}, {first}) & {(1 << width) - 1}L"
         keys.append(f"{t}L + 6L * ({part})")
-        probes.append(f"transform(filter(sequence(0, {width - 1}), i -> getbit(w{half}, {first} + i) = 0), "
-                      f"i -> {t}L + 6L * (({part}) | shiftleft(1L, i)))")
-    tables = alike.selectExpr("id AS b", *[f"s{i} AS t{i}" for i in range(4)], f"explode(array({', '.join(keys)})) AS k")
-    asked = alike.selectExpr("id AS a", "s0", "s1", "s2", "s3",
-                             f"explode(concat(array({', '.join(keys)}), {', '.join(probes)})) AS k")
-    distance = " + ".join(f"bit_count(s{i} ^ t{i})" for i in range(4))
-    pairs = asked.join(tables, "k").where(f"a <> b AND {distance} <= {SHINGLE_DISTANCE}").select("a", "b")
-    labels = stored(components(pairs).withColumnRenamed("node", "id"))
-    known = stored(alike.join(labels, "id", "left").select(*bits, F.coalesce("component", "id").alias("component_id")))
-    return sig.join(known, bits).select("doc_id", "component_id")
+        balls.append(f"transform(filter(sequence(0, {width - 1}), i -> getbit(w{half}, {first} + i) = 0), "
+                     f"i -> {t}L + 6L * (({part}) | shiftleft(1L, i)))")
+    return keys, balls
+
+
+def _near(other):
+    return " + ".join(f"bit_count({s} ^ {other}.{s})" for s in SHINGLE_BITS) + f" <= {SHINGLE_DISTANCE}"
+
+
+def _pivot_links(alike):
+    """Links of the signatures of each bucket with the smallest and the largest id in it.
+
+    They are as many as the signatures, however large a group of near copies is, and
+    join most of such a group, whose inner links then need not be listed.
+    """
+    keys, _ = _segment_keys()
+    filed = alike.selectExpr("id", *SHINGLE_BITS, f"explode(array({', '.join(keys)})) AS k")
+    row = F.struct("id", *SHINGLE_BITS)
+    ends = filed.groupBy("k").agg(F.min(row).alias("low"), F.max(row).alias("high")).where("low.id < high.id")
+    met = filed.join(ends, "k").selectExpr("id", *SHINGLE_BITS, "explode(array(low, high)) AS pivot")
+    return met.where("id <> pivot.id AND " + _near("pivot")).selectExpr("id AS a", "pivot.id AS b").distinct()
+
+
+def _links_between(labelled):
+    """Links between the labels of similar signatures that have different labels."""
+    keys, balls = _segment_keys()
+    own = f"named_struct({', '.join(repr(s) + ', ' + s for s in SHINGLE_BITS)}) AS own"
+    filed = labelled.selectExpr("id AS b", "label AS label_b", own, f"explode(array({', '.join(keys)})) AS k")
+    asked = labelled.selectExpr("id AS a", "label AS label_a", *SHINGLE_BITS,
+                                f"posexplode(concat(array({', '.join(keys)}), {', '.join(balls)})) AS (place, k)")
+    return asked.join(filed, "k").where(f"label_a <> label_b AND (place >= {len(keys)} OR a < b) AND " + _near("own")).selectExpr(
+        "label_a AS a", "label_b AS b")
 
 
 def keep_one(docs):
