@@ -17,6 +17,7 @@ BOUNDARY_INTERVALS = ["1m", "5m", "15m", "30m", "1h", "2h", "4h", "6h", "12h", "
 # Intervals a collection job may name.
 JOB_INTERVALS = ["1m", "5m", "15m", "30m", "1h", "2h", "4h", "6h", "12h", "1d", "3d", "1w", "1M"]
 
+# Counts have nine digits at most: a billion days is beyond any timestamp.
 _PATTERN = r"^([0-9]{1,9})([mhd])$"
 
 

@@ -41,7 +41,7 @@ def gap_priority(as_of, created: Column = None) -> Column:
     age = _micros_since(F.col("created_at") if created is None else created, as_of)
     length = _duration()
     return (
-        F.when(~(age >= F.lit(HOUR * 1_000_000)) & (length < HOUR), 0)
+        F.when((age < F.lit(HOUR * 1_000_000).cast("bigint")) & (length < HOUR), 0)
         .when((length > 7 * DAY) | _longer(age, 7 * DAY), 3)
         .when((length > DAY) | _longer(age, DAY), 2)
         .otherwise(1)

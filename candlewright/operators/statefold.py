@@ -10,6 +10,8 @@ task ever holds all events of a key.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candlewright.operators.series import ranked
+
 EVENTS_PER_BLOCK = 256
 BLOCKS_PER_GROUP = 256
 
@@ -57,7 +59,7 @@ def _block_starts(effects: DataFrame, first: DataFrame, key: str, levels: int) -
 
 def fold_events(events: DataFrame, records: DataFrame, key: str, order: str, states: list,
                 moves: dict, start_state: Column, event_type: str = "event_type",
-                per_block: int = EVENTS_PER_BLOCK, levels: int = 1) -> DataFrame:
+                per_block: int = EVENTS_PER_BLOCK, levels: int = 1, sparse: bool = False) -> DataFrame:
     """Events with the record's state before and after each of them.
 
     ``moves`` maps an event type to ``{state: next state}``; a pair that is not
@@ -65,7 +67,8 @@ def fold_events(events: DataFrame, records: DataFrame, key: str, order: str, sta
     must be a sequence number, unique within a key. Events of unknown type or
     for unknown records are rejected too, with NULL states for the latter.
     Each of ``levels`` multiplies by ``BLOCKS_PER_GROUP`` the events of one key
-    that can be chained without a long array.
+    that can be chained without a long array. Numbers far apart, such as times in
+    microseconds, are ``sparse``: events are then numbered from 1 first, level by level.
     """
     index = {s: i for i, s in enumerate(states)}
     kinds = list(moves)
@@ -79,10 +82,14 @@ def fold_events(events: DataFrame, records: DataFrame, key: str, order: str, sta
     for i, state in enumerate(states):
         number = F.when(start_state == state, i).otherwise(number)
 
-    block = F.floor(F.col(order) / F.lit(per_block)).cast("bigint")
     rest = [c for c in events.columns if c not in (key, order)]
+    numbered, place = events, F.col(order)
+    if sparse:
+        numbered = ranked(events, [key], [order], [[(F.floor(F.col(order) / F.lit(1 << bits)), False)] for bits in (36, 24, 12)], "_place")
+        place = F.col("_place")
+    block = F.floor(place / F.lit(per_block)).cast("bigint")
     packed = (
-        events.select(key, block.alias("_block"), F.struct(
+        numbered.select(key, block.alias("_block"), F.struct(
             F.col(order).alias("seq"), code.alias("code"), F.struct(*rest).alias("row")).alias("_e"))
         .groupBy(key, "_block").agg(F.sort_array(F.collect_list("_e")).alias("_events"))
     )

@@ -161,14 +161,15 @@ def _logic(rule: str, broken: Column, text: Column, value: Column) -> Column:
 def logic_anomaly_array() -> Column:
     """All broken price and volume rules of a typed candle, in rule order."""
     short = lambda f: F.substring(plain_text(F.col(f)), 1, 8)
-    body = [F.lit(") is "), F.lit(" of Open ("), short("open"), F.lit(") and Close ("),
-            short("close"), F.lit(")")]
     o, h, l, c, v = (F.col(f) for f in CANDLE_FIELDS)
     found = [
+        # The messages.
         _logic("high_validation", h < F.greatest(o, c), F.concat(
-            F.lit("High ("), short("high"), body[0], F.lit("less than max"), *body[1:]), h),
+            F.lit("High ("), short("high"), F.lit(") is less than max of Open ("), short("open"),
+            F.lit(") and Close ("), short("close"), F.lit(")")), h),
         _logic("low_validation", l > F.least(o, c), F.concat(
-            F.lit("Low ("), short("low"), body[0], F.lit("greater than min"), *body[1:]), l),
+            F.lit("Low ("), short("low"), F.lit(") is greater than min of Open ("), short("open"),
+            F.lit(") and Close ("), short("close"), F.lit(")")), l),
     ]
     for f in PRICE_FIELDS:
         found.append(_logic("positive_price", F.col(f) <= 0, F.concat(

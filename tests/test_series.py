@@ -178,6 +178,22 @@ def test_fold_equals_a_loop(spark, monkeypatch):
         assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_fold_events_with_sparse_numbers(spark):
+    rng = random.Random(7)
+    kinds = ["start", "fill", "fail", "permanent"]
+    events = [(k, rng.randrange(10**15), rng.choice(kinds)) for k in "ab" for _ in range(40)]
+    ev, rec = frame(spark, events, "id string, n long, event_type string"), frame(
+        spark, [("a", "detected"), ("b", "filling")], "id string, status string")
+    got = statefold.fold_events(ev, rec, "id", "n", lifecycle.GAP_STATES, lifecycle.GAP_MOVES, F.col("status"),
+                                per_block=4, sparse=True)
+    state, want = {"a": "detected", "b": "filling"}, []
+    for key, n, kind in sorted(events):
+        before = state[key]
+        state[key] = lifecycle.GAP_MOVES[kind].get(before, before)
+        want.append((key, n, kind, before, state[key], state[key] != before))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_lookback_blocks(spark):
     df = spark.range(100).select(
         F.lit("p").alias("pair"), F.lit("1h").alias("interval"), at(F.col("id") * 3600).alias("timestamp"),
