@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from candlewright.llm.common import stored
 
 SAMPLE = 16384  # vectors, by hashed id, that the tree is fitted on; every vector is indexed
-BRANCH, LEAF = 16, 64  # children of a node; sample vectors below which a node is a leaf
+BRANCH, LEAF = 8, 256  # children of a node; sample vectors below which a node is a leaf
 LLOYD = 8
 CALIBRATION = 128  # vectors, by hashed id, whose exact neighbours calibrate the search
 TARGET = 0.97  # recall of the calibration set at which widening ends
