@@ -14,6 +14,12 @@ from candlewright.llm.queries import QUERIES
 FOLDER = "/root/testdata/sf0.001"
 
 
+def shingles(text):
+    """Runs of five words; a shorter text is one run."""
+    w = text.lower().split()
+    return {" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
 
@@ -41,10 +47,6 @@ def test_stages_one_by_one(spark):
     model = langid.fitted(docs)
     assert {r.doc_id for r in known} == {r.doc_id for r in read if model.predict(r.text)[2]}
 
-    def shingles(text):
-        w = text.lower().split()
-        return {" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
-
     sets = {r.doc_id: shingles(r.text) for r in known}
     kept = {r.doc_id for r in single}
     for a in sets:
@@ -80,6 +82,6 @@ def test_near_copies_of_the_tables_have_similar_shingles(spark):
     for r in simhash.near_copies(docs).collect():
         groups.setdefault(r.component_id, []).append(r.doc_id)
     for ids in groups.values():
-        sets = [set(zip(*[text[i].lower().split()[k:] for k in range(5)])) for i in ids]
+        sets = [shingles(text[i]) for i in ids]
         for k, a in enumerate(sets):
             assert len(ids) == 1 or max(len(a & b) / max(1, len(a | b)) for j, b in enumerate(sets) if j != k) > 0.6
