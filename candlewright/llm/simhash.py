@@ -14,10 +14,11 @@ U8 = np.dtype("<u8")
 # The 64 bits of a fingerprint in three segments (first bit, bits).
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 
-# The index of near copies: 128 bits of words in six segments, and the most bits in
-# which 256 bits of shingles may differ: 0.8 similar sets differ in 39 bits on average.
+# The index of near copies: 128 bits of words in six segments, and the most bits in which
+# 256 bits of shingles may differ for the sets to be compared: 0.8 similar sets differ in
+# 39 bits on average, with a deviation of six.
 WORD_SEGMENTS = tuple((half, first, bits) for half in (0, 1) for first, bits in ((0, 21), (21, 21), (42, 22)))
-SHINGLE_DISTANCE = 42
+SHINGLE_DISTANCE = 60
 
 
 def _majority(hashes):
@@ -66,18 +67,25 @@ def _mixed(x, seed):
         return x ^ (x >> U8.type(31))
 
 
+def shingle_set(text, size=5):
+    """The distinct shingle hashes of a text given as UTF-8 bytes, in order."""
+    return np.unique(shingle_hashes(_words(text), size))
+
+
 def signature(text, size=5):
-    """(2 x 64 bits of the words, 4 x 64 bits of the shingles), all zero without words."""
-    words = _words(text)
-    if not words:
-        return [0] * 6
-    wide = []
-    for size_, parts in ((1, 2), (size, 4)):
-        h = shingle_hashes(words, size_)
-        counts = [_majority(np.stack([_mixed(h[i:i + BLOCK], k) for k in range(parts)], axis=1)) for i in (0,)] \
-            if len(h) <= BLOCK else [_long_majority(h, parts)]
-        wide += [int(v) for v in counts[0]]
-    return wide
+    """(hash of the shingle set, its size, 2 x 64 bits of the words, 4 x 64 bits of the set), bits zero without words."""
+    shingles, wide = shingle_set(text, size), []
+    if not len(shingles):
+        return [_node(shingles), 0] + [0] * 6
+    for h, parts in ((shingle_hashes(_words(text), 1), 2), (shingles, 4)):
+        bits = _long_majority(h, parts) if len(h) > BLOCK else _majority(
+            np.stack([_mixed(h, k) for k in range(parts)], axis=1))
+        wide += [int(v) for v in bits]
+    return [_node(shingles), len(shingles), *wide]
+
+
+def _node(shingles):
+    return xxhash.xxh64_intdigest(shingles.tobytes(), 42)
 
 
 def _long_majority(h, parts):
@@ -148,36 +156,71 @@ def simhash_components(docs, size=3):
 
 
 def signatures(docs, size=5):
+    names = ["node", "n", "w0", "w1", *SHINGLE_BITS]
+
     def run(batches):
         for b in batches:
-            sig = _signed([signature(t.as_py(), size) for t in b.column(1)]).reshape(-1, 6)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(sig[:, i]) for i in range(6))],
-                                             names=["doc_id", "w0", "w1", "s0", "s1", "s2", "s3"])
+            sig = _signed([signature(t.as_py(), size) for t in b.column(1)]).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(sig[:, i]) for i in range(len(names)))],
+                                             names=["doc_id", *names])
 
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(
-        run, "doc_id long, w0 long, w1 long, s0 long, s1 long, s2 long, s3 long")
+        run, "doc_id long, " + ", ".join(f"{c} long" for c in names))
+
+
+def shingle_sets(docs, size=5):
+    """(node, shingles) of every document: the hash of its shingle set, and the set."""
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t.as_py(), size) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_signed([_node(x) for x in sets])), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))],
+                names=["node", "shingles"])
+
+    return docs.select(F.col("text").cast("binary")).mapInArrow(run, "node long, shingles array<long>")
 
 
 def near_copies(docs, size=5):
-    """(doc_id, component_id) of documents whose shingle sets are about 0.8 similar or more.
+    """(doc_id, component_id) of documents linked by shingle sets that are 0.8 similar or more.
 
     Shingles of five words change with every word, so that texts 0.8 similar differ in a
     sixth of their shingle bits, too many to look up. The index is therefore built on
     128 bits over single words, in which such texts differ in few: six segments, each
     looked up with its ball of radius one, find every pair up to eleven bits apart. The
-    pair is then accepted by the complete distance of 256 bits over the shingles. Each
-    bucket's members first meet two of them, and labels from those links keep the search
-    from listing the inner links of large groups.
+    distance of 256 bits over the shingles drops pairs that are far from similar; the
+    others are accepted by the exact Jaccard similarity of their shingle sets. Documents
+    with one set meet as one. Each bucket's members first meet two of them, and labels
+    from those links keep the search from listing the inner links of large groups.
     Documents without words form one group; rows without doc_id are left out.
     """
-    sig = stored(signatures(docs.where("doc_id IS NOT NULL"), size))
-    bits = ["w0", "w1", *SHINGLE_BITS]
-    alike = stored(sig.groupBy(*bits).agg(F.min("doc_id").alias("id")))
-    first = stored(components(_pivot_links(alike)).withColumnRenamed("node", "id"))
-    labelled = stored(alike.join(first, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"))
-    last = stored(components(_links_between(labelled)).select(F.col("node").alias("label"), F.col("component").alias("last")))
-    known = stored(labelled.join(last, "label", "left").select(*bits, F.coalesce("last", "label").alias("component_id")))
-    return sig.join(known, bits).select("doc_id", "component_id")
+    docs = docs.where("doc_id IS NOT NULL")
+    sig = stored(signatures(docs, size))
+    alike = stored(sig.groupBy("node").agg(F.min(F.struct("doc_id", "n", "w0", "w1", *SHINGLE_BITS)).alias("m"))
+                   .select("node", "m.*"))
+    labelled = alike.withColumn("label", F.col("node"))
+    met = stored(_pivot_pairs(labelled))
+    labelled = stored(_relabelled(labelled, _similar(met, alike, docs, size)))
+    rest = stored(_pairs_between(labelled).join(met, ["a", "b"], "left_anti"))
+    known = stored(_relabelled(labelled, _similar(rest, alike, docs, size)).select("node", "doc_id", F.col("label").alias("group")))
+    lowest = stored(known.groupBy("group").agg(F.min("doc_id").alias("component_id")))
+    return sig.select("doc_id", "node").join(known.select("node", "group").join(lowest, "group").drop("group"), "node").select(
+        "doc_id", "component_id")
+
+
+def _relabelled(labelled, links):
+    """``labelled`` with one label for all nodes whose labels the ``links`` (label_a, label_b) join."""
+    joined = stored(components(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))).withColumnsRenamed(
+        {"node": "label", "component": "low"}))
+    return labelled.join(joined, "label", "left").withColumn("label", F.coalesce("low", "label")).drop("low")
+
+
+def _similar(pairs, alike, docs, size):
+    """The ``pairs`` (a, b, further columns) of nodes whose shingle sets have a Jaccard similarity of 0.8 or more."""
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(alike, "node").select("doc_id"))
+    sets = stored(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), size).dropDuplicates(["node"]))
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(
+        sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
+    return both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select(*pairs.columns)
 
 
 SHINGLE_BITS = ("s0", "s1", "s2", "s3")
@@ -195,32 +238,40 @@ def _segment_keys():
 
 
 def _near(other):
-    return " + ".join(f"bit_count({s} ^ {other}.{s})" for s in SHINGLE_BITS) + f" <= {SHINGLE_DISTANCE}"
+    """SQL: the sizes allow a similarity of 0.8, and the shingle bits are no farther apart than such sets are."""
+    return f"5 * least(n, {other}.n) >= 4 * greatest(n, {other}.n) AND " + " + ".join(
+        f"bit_count({s} ^ {other}.{s})" for s in SHINGLE_BITS) + f" <= {SHINGLE_DISTANCE}"
 
 
-def _pivot_links(alike):
-    """Links of the signatures of each bucket with the smallest and the largest id in it.
+def _pivot_pairs(labelled):
+    """(a, b, label_a, label_b) of each bucket's nodes with the smallest and the largest node in it.
 
-    They are as many as the signatures, however large a group of near copies is, and
+    They are as many as the nodes, however large a group of near copies is, and
     join most of such a group, whose inner links then need not be listed.
     """
     keys, _ = _segment_keys()
-    filed = alike.selectExpr("id", *SHINGLE_BITS, f"explode(array({', '.join(keys)})) AS k")
-    row = F.struct("id", *SHINGLE_BITS)
-    ends = filed.groupBy("k").agg(F.min(row).alias("low"), F.max(row).alias("high")).where("low.id < high.id")
-    met = filed.join(ends, "k").selectExpr("id", *SHINGLE_BITS, "explode(array(low, high)) AS pivot")
-    return met.where("id <> pivot.id AND " + _near("pivot")).selectExpr("id AS a", "pivot.id AS b").distinct()
+    filed = labelled.selectExpr("node", "label", "n", *SHINGLE_BITS, f"explode(array({', '.join(keys)})) AS k")
+    row = F.struct("node", "label", "n", *SHINGLE_BITS)
+    ends = filed.groupBy("k").agg(F.min(row).alias("low"), F.max(row).alias("high")).where("low.node < high.node")
+    met = filed.join(ends, "k").selectExpr("node", "label", "n", *SHINGLE_BITS, "explode(array(low, high)) AS pivot")
+    return met.where("label <> pivot.label AND " + _near("pivot")).selectExpr(
+        *_ordered("node", "label", "pivot.node", "pivot.label")).distinct()
+
+
+def _ordered(a, label_a, b, label_b):
+    return (f"least({a}, {b}) AS a", f"greatest({a}, {b}) AS b", f"IF({a} < {b}, {label_a}, {label_b}) AS label_a",
+            f"IF({a} < {b}, {label_b}, {label_a}) AS label_b")
 
 
-def _links_between(labelled):
-    """Links between the labels of similar signatures that have different labels."""
+def _pairs_between(labelled):
+    """(a, b, label_a, label_b) of nodes with different labels that may be similar."""
     keys, balls = _segment_keys()
-    own = f"named_struct({', '.join(repr(s) + ', ' + s for s in SHINGLE_BITS)}) AS own"
-    filed = labelled.selectExpr("id AS b", "label AS label_b", own, f"explode(array({', '.join(keys)})) AS k")
-    asked = labelled.selectExpr("id AS a", "label AS label_a", *SHINGLE_BITS,
+    own = f"named_struct('n', n, {', '.join(repr(s) + ', ' + s for s in SHINGLE_BITS)}) AS own"
+    filed = labelled.selectExpr("node AS b", "label AS label_b", own, f"explode(array({', '.join(keys)})) AS k")
+    asked = labelled.selectExpr("node AS a", "label AS label_a", "n", *SHINGLE_BITS,
                                 f"posexplode(concat(array({', '.join(keys)}), {', '.join(balls)})) AS (place, k)")
     return asked.join(filed, "k").where(f"label_a <> label_b AND (place >= {len(keys)} OR a < b) AND " + _near("own")).selectExpr(
-        "label_a AS a", "label_b AS b")
+        *_ordered("a", "label_a", "b", "label_b")).distinct()
 
 
 def keep_one(docs):

@@ -136,3 +136,21 @@ def test_one_of_each_group_of_near_copies_stays(spark, rows):
     far = [i for i, group in alike.items() if group == {i} and not any(
         (a := shingles(text_of[i])) and len(a & shingles(text_of[j])) / len(a) > 0.3 for j in text_of if j != i)]
     assert set(far) <= set(ids) and len(ids) < 25
+
+
+def test_near_copies_are_those_of_exact_similarity(spark):
+    """Swapped neighbours leave the words alone: pairs on both sides of 0.8, none lost by the index."""
+    rng, texts, want = random.Random(11), [], []
+    for swaps in (5, 6, 7, 8, 9, 10) * 20:
+        words = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(400)]
+        other = list(words)
+        for i in range(swaps):
+            at = 20 + 35 * i
+            other[at], other[at + 1] = other[at + 1], other[at]
+        a, b = " ".join(words), " ".join(other)
+        texts += [a, b]
+        x, y = shingles(a), shingles(b)
+        want.append(len(x & y) / len(x | y) >= 0.8)
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], DOCS)
+    group = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert [group[2 * i] == group[2 * i + 1] for i in range(len(want))] == want and 40 < sum(want) < 80
