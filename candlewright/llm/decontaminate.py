@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from candlewright.llm.common import stored
 
 WINDOW = 8  # tokens of a template window
-LITERALS = 4  # words that a window must have besides its slots
+LITERALS = 4  # words that a window must have besides its slots to meet other values than its own
 SHORTEST = 5  # tokens of an item; shorter ones cannot be told from ordinary text
 RUN = 13  # tokens in a row that make a leak, or the whole item if it is shorter
 FILTER_BITS = 1 << 22  # bits of the filter that is sent to the executors: half a megabyte
@@ -34,10 +34,13 @@ not no yes his her their its our your my each every some any all both one two th
 eight nine ten find given suppose let assume calculate compute determine after before during since because
 """.split())
 
-TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+")
+# Scripts without spaces between words (Thai to Khmer, kana, Han): each letter is a token.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+TOKEN = re.compile(rf"\d+(?:[.,:/]\d+)*|[^\W\d_{UNSPACED}]+|(?!\d)[{UNSPACED}](?<=\w)")
 NUMBER, UNIT, NAME, WORD = 1, 2, 3, 4
 PLACE = {k: np.uint64(0x9E3779B97F4A7C15 * (k + 11) & (1 << 64) - 1) for k in (NUMBER, UNIT, NAME)}
 POWER = 0x5851F42D4C957F2D
+EXACT = 0x2545F4914F6CDD1D
 
 
 def _word_hash(word):
@@ -47,7 +50,7 @@ def _word_hash(word):
 
 
 class _Known(dict):
-    """Token to its place in ``hashes`` (of the lower-case word) and ``kinds`` (what it may stand for)."""
+    """Token to its place in ``hashes`` (of the lower-case word or the number's value) and ``kinds`` (what it may stand for)."""
 
     def __init__(self):
         super().__init__()
@@ -56,7 +59,7 @@ class _Known(dict):
     def __missing__(self, token):
         low = token.lower()
         if token[0].isdigit():
-            kind = NUMBER
+            kind, low = NUMBER, _value(token, NUMBER)
         elif low in UNITS:
             kind = UNIT
         elif len(token) > 1 and token[0].isupper() and token[1:].islower() and low not in PLAIN:
@@ -133,7 +136,9 @@ def template_windows(text, lengths, wanted=None):
     Numbers, and units behind numbers, always become placeholders; words are compared in
     lower case and without marks. A window with capitalised words that may be names is
     given a second time with those as placeholders too, so that questions are found with
-    other names and also in texts that lost their capitals. ``slots`` are the typed
+    other names and also in texts that lost their capitals. A window with too few words
+    beside its numbers and units has a key of its words and values as they are, and so
+    meets its like only with equal values. ``slots`` are the typed
     values behind the placeholders in order, joined by '|'. ``wanted`` keeps the keys of
     interest.
     """
@@ -161,6 +166,8 @@ def template_windows(text, lengths, wanted=None):
                 ok = (n - (taken[n:] - taken[:-n])) >= min(LITERALS, n - 1)
                 if named:
                     ok &= names[n:] > names[:-n]
+                elif not ok.all():
+                    keys, ok = np.where(ok, keys, _rolled(_sums(words), n) ^ np.int64(EXACT)), np.ones_like(ok)
                 if wanted is not None:
                     ok &= wanted[keys & (FILTER_BITS - 1)]
                 for i in np.nonzero(ok)[0].tolist():

@@ -231,6 +231,15 @@ def test_blocks_of_long_texts_miss_nothing(monkeypatch):
     assert sorted(decontaminate.template_windows(text, [5, 8])) == whole
 
 
+def test_items_rich_in_numbers_are_found(spark):
+    items = ["What is 12 times 7?", "What is the mean of 12, 15, 18, 22, 31 and 40?", "Solve for x: 2x + 3 = 11 and 4x - 5 = 7, given 3 < x < 9.",
+             "Find the next term of the sequence 2, 6, 12, 20, 30, 42, 56 and explain your rule.", "太郎は林檎を三個持っています。"]
+    docs = [f"so they asked it: {q} and nothing more" for q in items] + ["What is 12 times 8?", "of 12, 15, 18, 22, 31 and 41?", "花子は林檎を三個持っています。"]
+    bench = spark.createDataFrame([(i, q, "x") for i, q in enumerate(items)], "item_id long, text string, key string")
+    got = {(r.doc_id, r.item_id, r.exact) for r in decontaminate.leaks(frame(spark, docs), bench).collect()}
+    assert got >= {(i, i, True) for i in range(4)} and {d for d, _, _ in got} <= {0, 1, 2, 3, 4, 7} and (4, 4, True) in got
+
+
 # --- languages -----------------------------------------------------------------------
 
 def speech(rng, lang, n):
