@@ -2,6 +2,7 @@
 
 import functools
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -212,10 +213,11 @@ def leaks(docs, benchmark):
     Template windows of whole texts are joined with those of the items by hash, after a
     bitmap of fixed size has let go most windows of the documents where they are made.
     Windows of one document and item that lie on one diagonal and follow each other are
-    a run, once with words as they are and once with placeholders for names as well; its
-    slots are consistent if equal values of the item stand for equal values
+    a run, once with words as they are and once with placeholders for names as well.
+    Slots are consistent if equal values of the item stand for equal values
     of the document and unequal ones for unequal ones, so that a question with other
-    parameters is found and a chance likeness is not. A leak is a consistent run of 13
+    parameters is found and a chance likeness is not; a run is cut into its longest
+    consistent parts. A leak is a consistent part of 13
     tokens, or of the whole item if it is shorter; ``exact`` says that the values are
     the item's own. Items of fewer than five tokens and null texts have no windows;
     repeated rows of one doc_id give its leaks once; empty tables give none.
@@ -248,16 +250,58 @@ def leaks(docs, benchmark):
         *group, "place").agg(F.max_by(F.struct("slots", "item_slots", "n", "tokens"), F.length("item_slots")).alias("w"))
     runs = hits.withColumn("island", F.col("place") - F.row_number().over(
         Window.partitionBy(*group).orderBy("place"))).select(*group, "island", "place", "w.*")
-    values = runs.select(*group, "island", "place", "n", "tokens", F.explode(F.arrays_zip(
-        F.split("item_slots", r"\|").alias("own"), F.split("slots", r"\|").alias("other"))).alias("v"))
-    found = values.groupBy(*group, "island").agg(
-        (F.max("place") - F.min("place") + F.max("n")).alias("run"), F.max("tokens").alias("item_tokens"),
-        F.collect_set("v").alias("pairs"), F.collect_set("v.own").alias("owns"), F.collect_set("v.other").alias("others"))
-    good = found.where((F.size("pairs") == F.size("owns")) & (F.size("pairs") == F.size("others"))).where(
-        F.col("run") >= F.least(F.lit(RUN), "item_tokens"))
-    exact = F.forall("pairs", lambda v: v["own"] == v["other"])
-    return good.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.max("item_tokens").alias("item_tokens"),
-                                                 F.max(exact).alias("exact"))
+    long = runs.groupBy(*group, "island").agg(
+        F.max("tokens").alias("item_tokens"), F.sort_array(F.collect_list(F.struct("place", "n", "item_slots", "slots"))).alias("w")).where(
+        F.element_at("w", -1)["place"] - F.element_at("w", 1)["place"] + F.element_at("w", 1)["n"] >= F.least(F.lit(RUN), "item_tokens"))
+    return long.select("doc_id", "item_id", "item_tokens", "w").mapInArrow(
+        _best_parts, "doc_id long, item_id long, run long, item_tokens long, exact boolean").groupBy("doc_id", "item_id").agg(
+        F.max("run").alias("run"), F.max("item_tokens").alias("item_tokens"), F.max("exact").alias("exact"))
+
+
+def consistent_parts(windows):
+    """(first, last, exact) of the longest stretches of windows whose slots are consistent.
+
+    ``windows`` are lists of (own, other) values. A stretch is consistent if its pairs are
+    a one-to-one relation; both ends only move on, so the work grows with the windows.
+    """
+    pairs, owns, others, first, unequal, clashes = Counter(), Counter(), Counter(), 0, 0, 0
+
+    def turn(window, by):
+        nonlocal unequal, clashes
+        for pair in window:
+            was, pairs[pair] = pairs[pair] > 0, pairs[pair] + by
+            if was != (pairs[pair] > 0):
+                unequal += by * (pair[0] != pair[1])
+                for counts, value in ((owns, pair[0]), (others, pair[1])):
+                    clashes -= max(0, counts[value] - 1)
+                    counts[value] += by
+                    clashes += max(0, counts[value] - 1)
+
+    for last, window in enumerate(windows):
+        ended = first, last - 1, not unequal
+        turn(window, 1)
+        if clashes and last > ended[0]:
+            yield ended
+        while clashes and first <= last:
+            turn(windows[first], -1)
+            first += 1
+    if first < len(windows):
+        yield first, len(windows) - 1, not unequal
+
+
+def _best_parts(batches):
+    names = ["doc_id", "item_id", "run", "item_tokens", "exact"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    for b in batches:
+        rows = []
+        for doc_id, item_id, tokens, w in zip(*(b.column(i).to_pylist() for i in range(4))):
+            pairs = [list(zip(v["item_slots"].split("|"), v["slots"].split("|"))) for v in w]
+            for first, last, exact in consistent_parts(pairs):
+                run = w[last]["place"] - w[first]["place"] + w[first]["n"]
+                if run >= min(RUN, tokens):
+                    rows.append((doc_id, item_id, run, tokens, exact))
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)] if rows
+                                         else [pa.array([], type=t) for t in types], names=names)
 
 
 def clean_documents(docs, benchmark):

@@ -240,6 +240,31 @@ def test_items_rich_in_numbers_are_found(spark):
     assert got >= {(i, i, True) for i in range(4)} and {d for d, _, _ in got} <= {0, 1, 2, 3, 4, 7} and (4, 4, True) in got
 
 
+def test_changed_end_does_not_hide_a_copied_beginning(spark):
+    item = ("A farmer brings 4 boxes of ripe plums from the old orchard down to the market in the town every single morning "
+            "before sunrise and then sells 4 pens")
+    docs = [item.replace("4 pens", "7 pens"), item.replace("4 boxes", "6 boxes"), item.replace("4", "5"),
+            "We say " + " ".join(item.split()[:5]) + " 7 pens"]
+    bench = spark.createDataFrame([(1, item, "x")], "item_id long, text string, key string")
+    got = {r.doc_id: (r.run, r.exact) for r in decontaminate.leaks(frame(spark, docs), bench).collect()}
+    n = len(item.split())
+    assert got == {0: (n - 2, True), 1: (n - 2, True), 2: (n, False)}
+
+
+def test_consistent_parts_equal_brute_force():
+    rng = random.Random(12)
+
+    def good(windows):
+        pairs = {p for w in windows for p in w}
+        return len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+    for _ in range(400):
+        w = [[(rng.choice("abc"), rng.choice("abc")) for _ in range(rng.randint(0, 2))] for _ in range(rng.randint(1, 9))]
+        all_ = {(i, j) for j in range(len(w)) for i in range(j + 1) if good(w[i:j + 1])}
+        want = {(i, j, all(a == b for x in w[i:j + 1] for a, b in x)) for i, j in all_ if (i - 1, j) not in all_ and (i, j + 1) not in all_}
+        assert set(decontaminate.consistent_parts(w)) == want
+
+
 # --- languages -----------------------------------------------------------------------
 
 def speech(rng, lang, n):
