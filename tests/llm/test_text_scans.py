@@ -145,6 +145,25 @@ def test_scan_for_secrets(spark):
     assert secrets.secrets(frame(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_long_lines_are_lexed_whole():
+    line = "{" + ", ".join(f'"note": "it is a plain remark {i}", "pwd":"Xk29fk{i:05d}Lq"' for i in range(4000)) + "}"
+    assert len(line) > 3 * secrets.BLOCK
+    assert len(secrets.lexed_spans(line)) == 4000 == len(secrets.lexed_spans(line.replace(", ", ",\n")))
+
+
+def test_stretches_give_the_tokens_of_one_pattern(monkeypatch):
+    rng = random.Random(13)
+    monkeypatch.setattr(secrets, "BLOCK", 4)
+    for _ in range(3000):
+        t = "".join(rng.choice(('"', "'", "`", '"""', "'''", "\\", "/*", "*/", "a", "=", " ", "#", "1", "+")) for _ in range(rng.randint(5, 30)))
+        assert [m.span() for m in secrets._matches(t, 0, len(t))] == [m.span() for m in secrets.LEX.finditer(t)]
+
+
+def test_unclosed_quotes_on_a_long_line_take_linear_time():
+    for piece in ('\\"', "/* ", '\\"""', "\\'"):
+        assert secrets.lexed_spans("pwd: 'Xk29fkeLq01' " + piece * 100000)
+
+
 # --- licences ------------------------------------------------------------------------
 
 def test_licences_in_texts(spark):
