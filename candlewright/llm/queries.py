@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from candlewright.llm import decontaminate, langid, licences, mixing, neighbours, pii, secrets, sharding, simhash, tokenfiles
+from candlewright.llm import clustering, decontaminate, langid, licences, mixing, neighbours, pii, prefixtrie, secrets, sharding
+from candlewright.llm import simhash, sketches, sqltext, tokenfiles
 from candlewright.llm.common import scratch_path, table
 
 QUERIES, SQL = {}, {}
@@ -70,3 +71,22 @@ def op6_secrets(spark, folder):
 @query
 def op4_personal_data(spark, folder):
     return pii.personal_data(table(spark, folder, "documents"))
+
+
+@query
+def op11_centroid_clusters(spark, folder):
+    return clustering.clusters_of(table(spark, folder, "embeddings"))
+
+
+@query
+def op12_sketches(spark, folder):
+    return sketches.edited_likeness(table(spark, folder, "documents"))
+
+
+@query
+def op13_prefix_trie(spark, folder):
+    return prefixtrie.prefix_trie(table(spark, folder, "conversations"))
+
+
+SQL["op11_centroid_clusters"] = sqltext.clusters_sql()
+SQL["op13_prefix_trie"] = sqltext.prefix_trie_sql()

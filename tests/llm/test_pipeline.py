@@ -21,7 +21,7 @@ def shingles(text):
 
 
 def test_every_operator_has_a_query():
-    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", QUERIES)
@@ -30,6 +30,11 @@ def test_query_covers_its_table(spark, name):
     docs = table(spark, FOLDER, "documents").count()
     if name == "op2_neighbours":
         assert len(rows) == 5 * table(spark, FOLDER, "embeddings").where("vec_id % 50 = 0").count()
+    elif name == "op11_centroid_clusters":
+        assert len(rows) == table(spark, FOLDER, "embeddings").count()
+    elif name == "op13_prefix_trie":
+        turns = table(spark, FOLDER, "conversations").count()
+        assert 0 < len(rows) <= turns + 1 + 3 * table(spark, FOLDER, "conversations").select("conv_id").distinct().count()
     elif name != "op5_decontamination":
         assert len(rows) == docs
 
