@@ -15,11 +15,13 @@ commits whole, also when executors are lost:
 
 import hashlib
 import os
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Window
@@ -29,7 +31,8 @@ END_ID = 2
 DICTIONARY_BYTES = 32 << 10
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 500, 2048  # what the dictionary is trained on
 SEGMENT_BYTES, SEGMENT_DOCUMENTS = 4 << 20, 4096
-MEMO_WORDS = 400_000
+MEMO_BYTES = 48 << 20  # about what an encoder remembers of earlier words
+PART_BYTES = 4 << 20  # of text that is encoded at a time
 SEGMENT_COLUMNS = ("part int, seq int, dict_hash string, first_doc long, last_doc long, tokens_before long, "
                    "tokens long, docs array<long>, lengths array<long>, offsets array<long>, payload binary")
 SEGMENT_ARROW = pa.schema([
@@ -39,13 +42,21 @@ SEGMENT_ARROW = pa.schema([
     ("payload", pa.binary())])
 
 
+# Letters of Latin scripts, and the marks that may end a word. A word of such letters is one piece to the
+# vocabulary and the marks behind it another. The capital dotted I is no such letter, its small form has two characters.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+HALVES = f"^(?P<core>[{LETTERS}]+)(?P<tail>[.,!?;:*#&%$]*)$"
+BLANK = re.compile(rb"[\x20\x09-\x0d]")
+
+
 class Encoder:
-    """Ids of texts as little-endian 32-bit integers, word by word with a bounded memory.
+    """Ids of texts as little-endian 32-bit integers, by the distinct words of a batch.
 
     The vocabulary drops white space and never joins across it, so a text's ids are those
-    of its words, and a word that was met before costs one look-up. Two generations of
-    words are remembered: when the younger is full the older goes, and words still in use
-    move over. The vocabulary's own lower-casing makes capitals of ASCII meaningless,
+    of its words. The words of a batch are split and numbered by Arrow, the distinct ones
+    are encoded, and the ids are gathered by numpy. Words of Latin letters and the marks
+    behind them are numbered apart. Known pieces are remembered up to ``MEMO_BYTES`` until
+    :meth:`forget`. The vocabulary's own lower-casing makes capitals of ASCII meaningless,
     except in the names of its special tokens.
     """
 
@@ -55,75 +66,116 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.last_of_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last_of_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.lower = self.tokenizer.encode("Aa", add_special_tokens=False).ids == \
             self.tokenizer.encode("aa", add_special_tokens=False).ids
-        self.known, self.older = {}, {}
-
-    def _each(self, words):
-        for i in range(0, len(words), 4096):
-            part = [w.decode("utf-8", "replace") for w in words[i:i + 4096]]
-            for w, e in zip(words[i:i + 4096], self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        self.forget()
+
+    def forget(self):
+        """Drop what is remembered of earlier texts."""
+        self.places, self.bytes = {}, 0
+        self.ids, self.starts, self.lengths = np.zeros(1 << 16, dtype="<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def _file(self, pieces, ids, lengths):
+        """Remember the ``ids`` of ``pieces``, which lie one behind the other."""
+        n, k = len(self.places), len(pieces)
+        while len(self.ids) < self.used + len(ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while len(self.starts) < n + k:
+            self.starts, self.lengths = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lengths))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.lengths[n:n + k] = lengths
+        self.starts[n:n + k] = self.used + np.cumsum(lengths) - lengths
+        self.places.update(zip(pieces, range(n, n + k)))
+        self.used += len(ids)
+        self.bytes += 200 * k + sum(map(len, pieces)) + 4 * len(ids)
+
+    def _each(self, pieces):
+        for i in range(0, len(pieces), 4096):
+            part = pieces[i:i + 4096]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(
+                [w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
+            self._file(part, np.array([t for ids in found for t in ids], dtype="<u4"), np.array([len(ids) for ids in found], np.int64))
 
     def _together(self, words):
-        """Plain words in one call: each has one token that ends a word, its last."""
+        """Words of letters in one call: each has one token that ends a word, its last."""
         for i in range(0, len(words), 4096):
             part = words[i:i + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast(
-                [b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = (np.nonzero(self.ends[ids])[0] + 1) * 4
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = np.nonzero(self.last_of_word[ids])[0] + 1
             if len(stops) != len(part):
                 return self._each(words[i:])
-            raw, start = ids.tobytes(), 0
-            for w, stop in zip(part, stops.tolist()):
-                self.known[w] = raw[start:stop]
-                start = stop
-
-    def _learn(self, words):
-        """Ids of words that are not known; a plain word with marks behind it is its two halves."""
-        halves, plain, other, known, older = [], set(), set(), self.known, self.older
-        for w in words:
-            ids = older.get(w)
-            if ids is not None:
-                known[w] = ids
-                continue
-            core = w.rstrip(b".,!?;:*#&%$")
-            if core.isalpha():
-                if core is not w and len(core) < len(w):
-                    tail = w[len(core):]
-                    halves.append((w, core, tail))
-                    if tail not in known:
-                        other.add(tail)
-                if core not in known:
-                    ids = older.get(core)
-                    if ids is None:
-                        plain.add(core)
-                    else:
-                        known[core] = ids
-            else:
-                other.add(w)
-        self._together(list(plain))
-        self._each(list(other))
-        for w, a, b in halves:
-            known[w] = known[a] + known[b]
-
-    def encode(self, text):
-        """Ids of UTF-8 bytes, without an end id."""
-        words = (text.lower() if self.lower and b"<|" not in text else text).split()
-        out = []
-        for i in range(0, len(words), 1 << 16):
-            part = words[i:i + (1 << 16)]
-            unseen = set(part).difference(self.known)
-            if unseen:
-                if len(self.known) + len(unseen) > MEMO_WORDS:
-                    self.known, self.older = {}, self.known
-                    unseen = set(part)
-                self._learn(unseen)
-            known = self.known
-            out.append(b"".join([known[w] for w in part]))
-        return b"".join(out)
+            self._file(part, ids, np.diff(stops, prepend=0))
+
+    def _placed(self, pieces, learn):
+        """Place of each of an array of distinct pieces; ``learn`` encodes those not met before."""
+        pieces = pieces.view(pa.binary()).to_pylist()
+        learn([w for w in pieces if w not in self.places])
+        return np.fromiter(map(self.places.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+
+    def _numbered(self, texts):
+        """(numbers of the pieces of all words, of which each word has two, first word of each text)."""
+        if self.lower:
+            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        words = split.values.dictionary_encode()
+        distinct = words.dictionary
+        halves = pc.extract_regex(distinct, HALVES)
+        plain = halves.is_valid()
+        cores = pc.if_else(plain, halves.field(0), distinct).dictionary_encode()
+        tails = pc.if_else(plain, halves.field(1), "").dictionary_encode()
+        if self.bytes > MEMO_BYTES:
+            self.forget()
+        is_plain = pc.extract_regex(cores.dictionary, HALVES).is_valid().to_numpy(zero_copy_only=False)
+        letters = dict(zip(cores.dictionary.view(pa.binary()).to_pylist(), is_plain.tolist()))
+
+        def learn(pieces):
+            self._together([w for w in pieces if letters[w]])
+            self._each([w for w in pieces if not letters[w]])
+
+        place = np.stack((self._placed(cores.dictionary, learn)[cores.indices.to_numpy()],
+                          self._placed(tails.dictionary, self._each)[tails.indices.to_numpy()]), axis=1)
+        return place[words.indices.to_numpy()].ravel(), split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+
+    def _part(self, texts):
+        place, first = self._numbered(texts)
+        n = self.lengths[place]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        at = np.repeat(self.starts[place] - upto[:-1], n)
+        at += np.arange(len(at))
+        return self.ids[at], np.diff(upto[2 * first])
+
+    def encode(self, texts):
+        """(ids of all texts one behind the other, their numbers) of an array of UTF-8 texts without nulls.
+
+        Texts are taken in parts of a few megabytes; a longer one is cut between words.
+        """
+        raw, out, lengths, part, size = texts.view(pa.binary()), [], np.zeros(len(texts), dtype=np.int64), [], 0
+
+        def close():
+            ids, n = self._part(pa.array([p for _, p in part], pa.binary()).view(pa.string()))
+            out.append(ids)
+            np.add.at(lengths, [i for i, _ in part], n)
+            part.clear()
+
+        for i, text in enumerate(raw.to_pylist()):
+            start = 0
+            while start < len(text) or not text and not start:
+                stop = len(text)
+                if stop - start > PART_BYTES:
+                    blank = BLANK.search(text, start + PART_BYTES)
+                    stop = blank.end() if blank else stop
+                part.append((i, text[start:stop] if start or stop < len(text) else text))
+                size += stop - start
+                start = max(stop, 1)
+                if size >= PART_BYTES:
+                    close()
+                    size = 0
+        if part:
+            close()
+        return np.concatenate(out) if out else np.zeros(0, dtype="<u4"), lengths
 
 
 _ENCODERS = {}
@@ -149,6 +201,14 @@ def _documents(docs):
                        F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def _slices(texts):
+    """Stretches of an array of texts with about ``PART_BYTES`` each."""
+    size = np.diff(np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset:texts.offset + len(texts) + 1]) if len(texts) else []
+    part = np.cumsum(size) // PART_BYTES
+    ends = [*np.nonzero(np.diff(part))[0] + 1, len(texts)] if len(texts) else []
+    return [slice(a, b) for a, b in zip([0, *ends], ends)]
+
+
 def write_token_file(docs, path, vocabulary=None, end_id=END_ID):
     """Encode every whole text, append ``end_id`` and write the token file at ``path``.
 
@@ -161,16 +221,20 @@ def write_token_file(docs, path, vocabulary=None, end_id=END_ID):
     rows = _documents(docs)
     coder = encoder(vocabulary)
     width = 2 if coder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-    end = np.array([end_id], dtype="<u4").tobytes()
 
-    def packed(ids):
-        return ids if width == 4 else np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes()
+    def coded(code, texts):
+        """(packed ids with the end id behind each text, numbers of ids)."""
+        ids, lengths = code.encode(texts)
+        ends = np.cumsum(lengths)
+        return np.insert(ids, ends, end_id).astype(f"<u{width}"), lengths + 1
 
     hashed = rows.withColumn("h", F.xxhash64("doc_id"))
     last = hashed.select("h").orderBy("h").limit(SAMPLE_DOCUMENTS).agg(F.max("h")).first()[0]
     sample = hashed.where(F.col("h") <= F.lit(last)).select("h", F.substring("text", 1, SAMPLE_CHARS).alias("t")).orderBy(
         "h", "t").limit(SAMPLE_DOCUMENTS).collect()
-    dictionary = train_dictionary([packed(coder.encode(r.t.encode("utf-8", "replace")) + end) for r in sample])
+    ids, lengths = coded(coder, pa.array([r.t.encode("utf-8", "replace") for r in sample], pa.binary()).view(pa.string()))
+    coder.forget()
+    dictionary = train_dictionary([part.tobytes() for part in np.split(ids, np.cumsum(lengths)[:-1]) if len(part)])
     dict_hash = hashlib.sha256(dictionary).hexdigest()
 
     def segments(batches):
@@ -186,16 +250,22 @@ def write_token_file(docs, path, vocabulary=None, end_id=END_ID):
                 "offsets": offsets, "payload": b"".join(frames)}], schema=SEGMENT_ARROW)
 
         for b in batches:
-            for doc_id, text in zip(b.column(0), b.column(1)):
-                all_ids = code.encode(text.as_py()) + end
-                frames.append(pack.compress(packed(all_ids)))
-                ids.append(doc_id.as_py())
-                lengths.append(len(all_ids) // 4)
-                offsets.append(offsets[-1] + len(frames[-1]))
-                if offsets[-1] >= SEGMENT_BYTES or len(ids) >= SEGMENT_DOCUMENTS:
-                    yield segment()
-                    before, seq = before + sum(lengths), seq + 1
-                    ids, lengths, offsets, frames = [], [], [0], []
+            # Few documents at a time, however long they are.
+            texts = b.column(1).cast(pa.binary())
+            for some in _slices(texts):
+                coded_ids, n = coded(code, texts[some].view(pa.string()))
+                at = (np.cumsum(n) - n) * width
+                packed = zstandard.BufferWithSegments(coded_ids.tobytes(), np.stack((at, n * width), axis=1).astype("<u8").tobytes())
+                for doc_id, count, frame in zip(b.column(0)[some].to_pylist(), n.tolist(), pack.multi_compress_to_buffer(packed)):
+                    frames.append(frame.tobytes())
+                    ids.append(doc_id)
+                    lengths.append(count)
+                    offsets.append(offsets[-1] + len(frames[-1]))
+                    if offsets[-1] >= SEGMENT_BYTES or len(ids) >= SEGMENT_DOCUMENTS:
+                        yield segment()
+                        before, seq = before + sum(lengths), seq + 1
+                        ids, lengths, offsets, frames = [], [], [0], []
+        code.forget()
         if ids:
             yield segment()
 

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from candlewright.llm import decontaminate, langid, licences, pii, secrets, tokenfiles
@@ -347,11 +348,17 @@ def test_token_file_of_no_documents(spark):
 
 
 def test_encoder_forgets_and_learns_again(monkeypatch):
-    monkeypatch.setattr(tokenfiles, "MEMO_WORDS", 50)
+    monkeypatch.setattr(tokenfiles, "MEMO_BYTES", 9000)
+    monkeypatch.setattr(tokenfiles, "PART_BYTES", 700)
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     coder, plain, rng = tokenfiles.Encoder(path), Tokenizer.from_file(path), random.Random(4)
-    for _ in range(60):
-        text = " ".join("".join(rng.choice("abcdE.,!") for _ in range(rng.randint(1, 6))) for _ in range(30))
-        assert np.frombuffer(coder.encode(text.encode()), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    alphabet = "abcdE.,!'éÉİıŉªßÆ1½\u0301\u0958\u00a0\x1c\u2028中#\U0001F600"
+    for letters in ("abcdE.,!", "abcdEéÉßÆ.,", alphabet, alphabet):
+        texts = [rng.choice(["", " ", "\n"]) + rng.choice([" ", "\t ", "\x0b"]).join("".join(
+            rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(rng.choice([0, 1, 30, 300]))) for _ in range(60)]
+        texts += ["", "<|endoftext|>", "A<|endoftext|>b <|ENDOFTEXT|>", "word" * 900]
+        ids, lengths = coder.encode(pa.array(texts))
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [part.tolist() for part in np.split(ids, np.cumsum(lengths)[:-1])] == want
