@@ -1,51 +1,59 @@
 """Tables, words and shared scratch tables used by the operators of this package."""
 
-import tempfile
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from candlewright.session import hadoop_path, shared_folder
+
 # Words are runs of anything but ASCII white space, as bytes.split() sees them.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-_LOCAL_ROOTS = {}
 
+# What tells the rows of a table of documents apart: id, and hash of the text. A null id is a key of its own.
+ROW = ["doc_of_row", "no_id_of_row", "hash_of_row"]
 
-def table(spark, folder, name):
-    return spark.read.parquet(f"{folder}/{name}.parquet")
 
+def row_keys(text="text"):
+    """The columns ``ROW``, never null; rows that agree in them have one id and one text."""
+    doc = F.col("doc_id").cast("long")
+    return [F.coalesce(doc, F.lit(0)).alias(ROW[0]), doc.isNull().alias(ROW[1]),
+            F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias(ROW[2])]
 
-def word_count(text):
-    """Words of a text column; a null text has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
+def doc_of_row():
+    """The id, null where there was none, from the columns ``ROW``."""
+    return F.when(~F.col(ROW[1]), F.col(ROW[0]))
 
-def shared_root(spark):
-    """Folder that the driver and all executors reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a session on one machine may
-    go without; it gets a folder for the life of the session.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local[") and context.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return _LOCAL_ROOTS[context.applicationId]
+def quoted(names):
+    """Column names that may hold dots, as select() takes them."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
 
+def let_go():
+    """Give memory back that a Python worker no longer needs; workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
-def _hadoop_path(spark, path):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+def table(spark, folder, name):
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def word_count(text):
+    """Words of a text column; a null text has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def scratch_path(spark):
     """A new path in the shared folder, deleted when the session's JVM ends."""
-    path = f"{shared_root(spark)}/llm-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    p, fs = _hadoop_path(spark, path)
+    path = f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    p, fs = hadoop_path(spark, path)
     fs.deleteOnExit(p)
     return path
 
@@ -66,5 +74,5 @@ def stored(df):
 def release(*tables):
     """Delete scratch tables that nothing reads any more."""
     for t in tables:
-        p, fs = _hadoop_path(t.sparkSession, t.scratch)
+        p, fs = hadoop_path(t.sparkSession, t.scratch)
         fs.delete(p, True)

@@ -5,7 +5,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from candlewright.llm.common import stored
+from candlewright.llm.common import ROW, doc_of_row, let_go, quoted, row_keys, stored
 from candlewright.llm.graph import components
 
 BLOCK = 1 << 15
@@ -156,16 +156,18 @@ def simhash_components(docs, size=3):
 
 
 def signatures(docs, size=5):
+    """(doc_of_row, no_id_of_row, hash_of_row, node, sizes and bits) of every row."""
     names = ["node", "n", "w0", "w1", *SHINGLE_BITS]
 
     def run(batches):
         for b in batches:
-            sig = _signed([signature(t.as_py(), size) for t in b.column(1)]).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(sig[:, i]) for i in range(len(names)))],
-                                             names=["doc_id", *names])
+            sig = _signed([signature(t.as_py(), size) for t in b.column(3)]).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(sig[:, i]) for i in range(len(names)))],
+                                             names=[*ROW, *names])
+        let_go()
 
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(
-        run, "doc_id long, " + ", ".join(f"{c} long" for c in names))
+    return docs.select(*row_keys(), F.col("text").cast("binary")).mapInArrow(
+        run, f"{ROW[0]} long, {ROW[1]} boolean, {ROW[2]} long, " + ", ".join(f"{c} long" for c in names))
 
 
 def shingle_sets(docs, size=5):
@@ -176,14 +178,16 @@ def shingle_sets(docs, size=5):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_signed([_node(x) for x in sets])), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))],
                 names=["node", "shingles"])
+        let_go()
 
     return docs.select(F.col("text").cast("binary")).mapInArrow(run, "node long, shingles array<long>")
 
 
-def near_copies(docs, size=5):
-    """(doc_id, component_id) of documents linked by shingle sets that are 0.8 similar or more.
+def copy_groups(docs, size=5):
+    """(doc_of_row, no_id_of_row, hash_of_row, lead) of every row; ``lead`` is the first such row of its group.
 
-    Shingles of five words change with every word, so that texts 0.8 similar differ in a
+    Groups join documents by shingle sets that are 0.8 similar or more. Shingles of five
+    words change with every word, so that texts 0.8 similar differ in a
     sixth of their shingle bits, too many to look up. The index is therefore built on
     128 bits over single words, in which such texts differ in few: six segments, each
     looked up with its ball of radius one, find every pair up to eleven bits apart. The
@@ -191,20 +195,27 @@ def near_copies(docs, size=5):
     others are accepted by the exact Jaccard similarity of their shingle sets. Documents
     with one set meet as one. Each bucket's members first meet two of them, and labels
     from those links keep the search from listing the inner links of large groups.
-    Documents without words form one group; rows without doc_id are left out.
+    Documents without words, null texts among them, form one group. The first row of a
+    group has the smallest doc_id, rows without one come last, then the smallest hash of the text.
     """
-    docs = docs.where("doc_id IS NOT NULL")
     sig = stored(signatures(docs, size))
-    alike = stored(sig.groupBy("node").agg(F.min(F.struct("doc_id", "n", "w0", "w1", *SHINGLE_BITS)).alias("m"))
+    row = F.struct(ROW[1], ROW[0], ROW[2])
+    alike = stored(sig.groupBy("node").agg(F.min(F.struct(row.alias("row"), "n", "w0", "w1", *SHINGLE_BITS)).alias("m"))
                    .select("node", "m.*"))
     labelled = alike.withColumn("label", F.col("node"))
     met = stored(_pivot_pairs(labelled))
     labelled = stored(_relabelled(labelled, _similar(met, alike, docs, size)))
     rest = stored(_pairs_between(labelled).join(met, ["a", "b"], "left_anti"))
-    known = stored(_relabelled(labelled, _similar(rest, alike, docs, size)).select("node", "doc_id", F.col("label").alias("group")))
-    lowest = stored(known.groupBy("group").agg(F.min("doc_id").alias("component_id")))
-    return sig.select("doc_id", "node").join(known.select("node", "group").join(lowest, "group").drop("group"), "node").select(
-        "doc_id", "component_id")
+    known = stored(_relabelled(labelled, _similar(rest, alike, docs, size)).select("node", "row", F.col("label").alias("group")))
+    lowest = stored(known.groupBy("group").agg(F.min("row").alias("lead")))
+    return sig.select(*ROW, "node").join(known.select("node", "group").join(lowest, "group").drop("group"), "node").select(
+        *ROW, "lead")
+
+
+def near_copies(docs, size=5):
+    """(doc_id, component_id) of every row: the smallest doc_id of its group of near copies, null if none has an id."""
+    return copy_groups(docs, size).select(doc_of_row().alias("doc_id"), F.when(
+        ~F.col(f"lead.{ROW[1]}"), F.col(f"lead.{ROW[0]}")).alias("component_id"))
 
 
 def _relabelled(labelled, links):
@@ -216,8 +227,9 @@ def _relabelled(labelled, links):
 
 def _similar(pairs, alike, docs, size):
     """The ``pairs`` (a, b, further columns) of nodes whose shingle sets have a Jaccard similarity of 0.8 or more."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(alike, "node").select("doc_id"))
-    sets = stored(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), size).dropDuplicates(["node"]))
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(alike, "node").select("row.*"))
+    texts = docs.select("text", *row_keys()).join(wanted, ROW, "left_semi")
+    sets = stored(shingle_sets(texts, size).dropDuplicates(["node"]))
     both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(
         sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
     return both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select(*pairs.columns)
@@ -275,10 +287,14 @@ def _pairs_between(labelled):
 
 
 def keep_one(docs):
-    """The documents without near copies: of each group the smallest doc_id stays.
+    """The documents without near copies, columns unchanged: of each group the first row stays.
 
-    Repeated rows of one doc_id are one document; rows without doc_id stay as they are.
+    First is the smallest doc_id, then the smallest hash of the text; rows without doc_id
+    come last, and only real copies go, whichever ids they have. Rows that agree in doc_id
+    and text are one document, of which one row stays.
     """
-    kept = near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(
-        docs.where("doc_id IS NULL"))
+    lead = copy_groups(docs).where(F.struct(ROW[1], ROW[0], ROW[2]) == F.col("lead")).select(*ROW).distinct()
+    names = [f"column_{i}_of_row" for i in range(len(docs.columns))]
+    whole = docs.select(*row_keys(), *(c.alias(n) for c, n in zip(quoted(docs.columns), names)))
+    return whole.join(lead, ROW, "left_semi").dropDuplicates(ROW).select(
+        *(F.col(n).alias(c) for n, c in zip(names, docs.columns)))

@@ -27,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from candlewright.llm.common import let_go
+
 END_ID = 2
 DICTIONARY_BYTES = 32 << 10
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 500, 2048  # what the dictionary is trained on
@@ -266,6 +268,7 @@ def write_token_file(docs, path, vocabulary=None, end_id=END_ID):
                         before, seq = before + sum(lengths), seq + 1
                         ids, lengths, offsets, frames = [], [], [0], []
         code.forget()
+        let_go()
         if ids:
             yield segment()
 
