@@ -7,14 +7,14 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from candlewright.llm.common import stored, word_count
+from candlewright.llm.common import quoted, stored, word_count
 
 WEIGHTS = (5, 2, 1)  # of the sources in order of code points, null last, repeating
 MOST = 3  # times a source's words that its target may reach
 BLOCK = 128  # words of a block
 SHARDS = 64  # output shards
 BUCKETS = 4096  # parts of a source whose running totals are formed apart
-RUN = 1 << 20  # slots that one row of the slot plan stands for
+RUN = 1 << 17  # slots that one row of the slot plan stands for
 SEED = 42
 
 
@@ -127,7 +127,9 @@ def _slot_table(spark, plan, seed):
                             "shard": np.int32(r.shard), "slot": own, "lap": np.int32(lap),
                             "take": np.where(own == r.slots - 1, r.tail, BLOCK)})
 
-    return runs.repartition("src", "shard", "at").mapInPandas(
+    # The runs are few and small, so a number has to be named: by size they would be one task, which makes all slots.
+    tasks = 1 + sum(n for _, _, _, n, *_ in plan) // RUN
+    return runs.repartition(max(tasks, 8), "src", "shard", "at").mapInPandas(
         slots, "src int, block long, shard int, slot long, lap int, take long")
 
 
@@ -141,8 +143,9 @@ def _plan(sources, wanted, seed):
 
 def numbered(docs, keep=None):
     """``keep`` (or all columns) and the words of each row, in a stored table; ``row_of_mix`` tells rows apart."""
-    return stored(docs.withColumn("words_of_row", word_count(F.col("text"))).select(
-        *(keep or docs.columns), "words_of_row", F.monotonically_increasing_id().alias("row_of_mix")))
+    return stored(docs.select(
+        *quoted(keep or docs.columns), word_count(F.col("text")).alias("words_of_row"),
+        F.xxhash64("doc_id", "text").alias("hash_of_mix"), F.monotonically_increasing_id().alias("row_of_mix")))
 
 
 def mix(rows, seed=SEED):
@@ -151,7 +154,7 @@ def mix(rows, seed=SEED):
     Sources: source, src (its place), words, target; one row each is collected, as
     sources are names of collections. Pieces: (row_of_mix, lap, shard, slot, first, last):
     the words [first, last) of a document that a slot takes. The words of a source are
-    laid end to end in an order of hashed ids and cut into blocks of 128; offsets come
+    laid end to end in an order of hashed ids and texts and cut into blocks of 128; offsets come
     from totals of 4096 parts per source, so a source with a third of all rows is no
     task of its own; slots and blocks meet by (source, block number), which is even.
     Null texts have no words, null sources are one source, empty tables give no rows.
@@ -163,14 +166,14 @@ def mix(rows, seed=SEED):
     wanted = targets(sizes)
     sources = spark.createDataFrame([(n, i, s, float(t)) for i, (n, s, t) in enumerate(zip(names, sizes, wanted))],
                                     "source string, src int, source_size long, target double")
-    placed = rows.select("row_of_mix", "source", "words_of_row", "doc_id").join(
+    placed = rows.select("row_of_mix", "source", "words_of_row", "hash_of_mix").join(
         F.broadcast(sources.select(F.col("source").alias("s"), "src")), F.col("source").eqNullSafe(F.col("s"))).select(
-        "row_of_mix", "src", F.col("words_of_row").alias("n"), "doc_id",
-        F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).alias("part"))
+        "row_of_mix", "src", F.col("words_of_row").alias("n"), "hash_of_mix",
+        F.pmod(F.col("hash_of_mix"), F.lit(BUCKETS)).alias("part"))
     before = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("src", "part").agg(F.sum("n").alias("n")).select(
         "src", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("src", "part").orderBy("doc_id", "n", "row_of_mix")
+    inside = Window.partitionBy("src", "part").orderBy("hash_of_mix", "row_of_mix")
     streams = placed.withColumn("upto", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(
         starts, ["src", "part"]).where("n > 0").select(
         "row_of_mix", "src", "n", (F.col("start") + F.col("upto") - F.col("n")).alias("o"))
@@ -222,7 +225,9 @@ def mixed_documents(docs):
     in part, the taken runs remain, each as it stood. Documents that give none go.
     ``n_chars`` follows the text; the other columns stay.
     """
-    rows = numbered(docs)
+    own = ("doc_id", "source", "text", "n_chars")
+    names = [c if c in own else f"column_{i}_of_mix" for i, c in enumerate(docs.columns)]
+    rows = numbered(docs.select(*(c.alias(n) for c, n in zip(quoted(docs.columns), names))))
     _, pieces = mix(rows)
     ranges = pieces.groupBy("row_of_mix").agg(F.collect_list(F.struct("lap", "first", "last")).alias("ranges_of_mix"))
 
@@ -234,4 +239,4 @@ def mixed_documents(docs):
     out = rows.join(ranges, "row_of_mix").withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))

@@ -164,3 +164,19 @@ def test_sizes_are_of_bytes(spark):
     df = spark.createDataFrame([(1, "Äö", "s", "", "", "", "")], DOCS)
     assert sharding.histogram_shards(df).first()["size"] == 12
     assert zlib.crc32("Äö".encode()) == df.selectExpr("crc32(text)").first()[0]
+
+
+def test_slots_are_made_in_many_tasks(spark):
+    plan = mixing._plan([40 << 20, 20 << 20], [60.0 * (1 << 20), 20.0 * (1 << 20)], 1)
+    table = mixing._slot_table(spark, plan, 1)
+    tasks = {r[0] for r in table.select("*").selectExpr("spark_partition_id() AS t").distinct().collect()}
+    assert len(tasks) > 4
+    assert table.count() == sum(p[3] for p in plan)
+
+
+def test_mixed_documents_with_clashing_and_dotted_columns(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(40)), "ab"[i % 2], "1", "2", "3") for i in range(30)] + [(5, "again other words", "a", "4", "5", "6")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row_of_mix string, words_of_row string, `a.b` string")
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    assert {(r[0], *r[3:]) for r in map(tuple, got.collect())} <= {(r[0], *r[3:]) for r in rows}
