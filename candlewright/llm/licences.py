@@ -7,6 +7,8 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from candlewright.llm.common import ROW, doc_of_row, row_keys
+
 from candlewright.llm.licence_texts import EQUIVALENT, TEXTS
 
 COPYRIGHT = re.compile(r"^\W*(?:copyright|copyleft|\(c\)|©|all rights reserved)(?!\s+(?:notice|holder|owner|law))", re.I)
@@ -73,6 +75,26 @@ def line_runs(text, lengths):
         begin += len(words)
 
 
+def _runs_known(docs, known):
+    """(columns of ROW, licence, form, start, end, whole)."""
+    lengths = sorted(r[0] for r in known.select("words").distinct().collect())  # of the known texts
+
+    def run(batches):
+        schema = pa.schema([(ROW[0], pa.int64()), (ROW[1], pa.bool_()), (ROW[2], pa.int64()), ("digest", pa.string()),
+                            ("start", pa.int64()), ("end", pa.int64()), ("whole", pa.bool_())])
+        for b in batches:
+            rows = []
+            for doc, no_id, h, text in zip(*(b.column(i) for i in range(4))):
+                text = text.as_py()
+                if text:
+                    rows += [(doc.as_py(), no_id.as_py(), h.as_py(), *r) for r in line_runs(text, lengths)]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
+
+    runs = docs.select(*row_keys(), "text").mapInArrow(
+        run, f"{ROW[0]} long, {ROW[1]} boolean, {ROW[2]} long, digest string, start long, end long, whole boolean")
+    return runs.join(known, "digest").drop("digest", "words")
+
+
 def found_licences(docs, known=None):
     """(doc_id, licence, form, start, end, whole) of the known licence texts in documents.
 
@@ -82,26 +104,19 @@ def found_licences(docs, known=None):
     rows and repeated notices each count, an empty table gives no rows.
     """
     known = known_digests(docs.sparkSession) if known is None else known
-    lengths = sorted(r[0] for r in known.select("words").distinct().collect())  # of the known texts
-
-    def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("start", pa.int64()),
-                            ("end", pa.int64()), ("whole", pa.bool_())])
-        for b in batches:
-            rows = [(doc_id.as_py(), *r) for doc_id, text in zip(b.column(0), b.column(1))
-                    if text.as_py() for r in line_runs(text.as_py(), lengths)]
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
-
-    runs = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, digest string, start long, end long, whole boolean")
-    return runs.join(F.broadcast(known), "digest").select("doc_id", "licence", "form", "start", "end", "whole")
+    return _runs_known(docs, known).select(doc_of_row().alias("doc_id"), "licence", "form", "start", "end", "whole")
 
 
 def licence_report(docs, known=None):
-    """One row per document row: its licences in order of name, notices, and whether one is all of it."""
-    found = found_licences(docs, known).groupBy("doc_id").agg(
+    """One row per document row: its licences in order of name, notices, and whether one is all of it.
+
+    Findings belong to a row's doc_id and text together, so that other rows with that id,
+    or without any, have their own; rows that agree in both have the same report.
+    """
+    known = known_digests(docs.sparkSession) if known is None else known
+    found = _runs_known(docs, known).groupBy(*ROW).agg(
         F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"),
         F.count_distinct("start", "end").alias("notices"), F.max("whole").alias("whole"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found.withColumnRenamed("doc_id", "d"), F.col("doc_id") == F.col("d"), "left").select(
-        "doc_id", F.coalesce("licences", F.lit("")).alias("licences"),
+    return docs.select(*row_keys()).join(found, ROW, "left").select(
+        doc_of_row().alias("doc_id"), F.coalesce("licences", F.lit("")).alias("licences"),
         F.coalesce("notices", F.lit(0)).cast("long").alias("notices"), F.coalesce("whole", F.lit(False)).alias("whole"))
