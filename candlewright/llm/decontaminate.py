@@ -1,6 +1,7 @@
 """Benchmark decontamination by templates: questions are found also with other numbers and names."""
 
 import functools
+import itertools
 import re
 from collections import Counter
 
@@ -9,15 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from candlewright.llm.common import stored
+from candlewright.llm.common import ROW, doc_of_row, let_go, quoted, row_keys, stored
 
 WINDOW = 8  # tokens of a template window
 LITERALS = 4  # words that a window must have besides its slots to meet other values than its own
-SHORTEST = 5  # tokens of an item; shorter ones cannot be told from ordinary text
+SHORTEST = 5  # tokens of an item that is looked for inside texts; a shorter one leaks where it is a whole line or text
 RUN = 13  # tokens in a row that make a leak, or the whole item if it is shorter
 FILTER_BITS = 1 << 22  # bits of the filter that is sent to the executors: half a megabyte
 BLOCK = 1 << 16  # tokens hashed at a time
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 # Words that stand for a unit when a number comes before them.
 UNITS = frozenset("""
@@ -42,6 +43,8 @@ NUMBER, UNIT, NAME, WORD = 1, 2, 3, 4
 PLACE = {k: np.uint64(0x9E3779B97F4A7C15 * (k + 11) & (1 << 64) - 1) for k in (NUMBER, UNIT, NAME)}
 POWER = 0x5851F42D4C957F2D
 EXACT = 0x2545F4914F6CDD1D
+ALONE = 0x369DEA0F31A53F85
+LINE = re.compile("[^\n\r\u2028\u2029]+")
 
 
 def _word_hash(word):
@@ -178,6 +181,24 @@ def template_windows(text, lengths, wanted=None):
                     yield int(keys[i]), start + i, slots, named
 
 
+def _alone(tokens):
+    """Key of a few tokens that are all of a line or text."""
+    words, _ = _KNOWN.read(tokens)
+    return int(_rolled(_sums(words), len(tokens))[0] ^ np.int64(ALONE))
+
+
+def short_lines(text, wanted=None):
+    """(key, place, "", False) of the text, and of each line, that has one to four tokens."""
+    place = 0
+    for part in itertools.chain([text], (m.group() for m in LINE.finditer(text))):
+        tokens = [m.group() for m in itertools.islice(TOKEN.finditer(part), SHORTEST)]
+        if 0 < len(tokens) < SHORTEST:
+            key = _alone(tokens)
+            if wanted is None or wanted[key & (FILTER_BITS - 1)]:
+                yield key, place, "", False
+        place += 1
+
+
 def _items(benchmark):
     """(item_id, key, n, place, slots, tokens) of the items' windows; short items are one window."""
     def run(batches):
@@ -188,6 +209,8 @@ def _items(benchmark):
                 if tokens >= SHORTEST:
                     n = min(tokens, WINDOW)
                     rows += [(item_id, k, n, p, s, tokens) for k, p, s, _ in template_windows(text, [n])]
+                elif tokens:
+                    rows.append((item_id, _alone(TOKEN.findall(text)), tokens, 0, "", tokens))
             names = ["item_id", "key", "n", "place", "item_slots", "tokens"]
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=pa.schema(
                 [(c, pa.string() if c == "item_slots" else pa.int64()) for c in names]))
@@ -208,7 +231,16 @@ def _filter(items):
 
 
 def leaks(docs, benchmark):
-    """(doc_id, item_id, run, item_tokens, exact) of the benchmark items that documents hold.
+    """(doc_id, item_id, run, item_tokens, exact) of the benchmark items that documents hold; see :func:`row_leaks`.
+
+    Rows of one doc_id, repeated or with different texts, give each item once.
+    """
+    return row_leaks(docs, benchmark).groupBy(doc_of_row().alias("doc_id"), "item_id").agg(
+        F.max("run").alias("run"), F.max("item_tokens").alias("item_tokens"), F.max("exact").alias("exact"))
+
+
+def row_leaks(docs, benchmark):
+    """(columns of ROW, item_id, run, item_tokens, exact) of the benchmark items that rows hold.
 
     Template windows of whole texts are joined with those of the items by hash, after a
     bitmap of fixed size has let go most windows of the documents where they are made.
@@ -219,31 +251,37 @@ def leaks(docs, benchmark):
     parameters is found and a chance likeness is not; a run is cut into its longest
     consistent parts. A leak is a consistent part of 13
     tokens, or of the whole item if it is shorter; ``exact`` says that the values are
-    the item's own. Items of fewer than five tokens and null texts have no windows;
-    repeated rows of one doc_id give its leaks once; empty tables give none.
+    the item's own. An item of one to four tokens cannot be told from ordinary text inside
+    a longer one and leaks where it is a whole line or the whole text, word for word. Items
+    without tokens cannot be looked for; null texts hold none; rows that agree in doc_id and text
+    give their leaks once; empty tables give none.
     """
     items = stored(_items(benchmark))
     lengths = sorted(r[0] for r in items.select("n").distinct().collect())  # eight at most
+    short, lengths = any(n < SHORTEST for n in lengths), [n for n in lengths if n >= SHORTEST]
     shared = docs.sparkSession.sparkContext.broadcast(_filter(items))
 
     def run(batches):
-        names = ["doc_id", "row", "key", "at", "slots", "named"]
-        schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("key", pa.int64()), ("at", pa.int64()),
-                            ("slots", pa.string()), ("named", pa.bool_())])
+        names = [*ROW, "key", "at", "slots", "named"]
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
         for b in batches:
             found = []
-            for doc_id, row, text in zip(b.column(0), b.column(1), b.column(2)):
+            for *row, text in zip(*(b.column(i) for i in range(4))):
                 text = text.as_py()
                 if text:
-                    doc_id, row = doc_id.as_py(), row.as_py()
-                    found += [(doc_id, row, *w) for w in template_windows(text, lengths, shared.value)]
+                    row = [v.as_py() for v in row]
+                    found += [(*row, *w) for w in template_windows(text, lengths, shared.value)]
+                    if short:
+                        found += [(*row, *w) for w in short_lines(text, shared.value)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=t) for c, t in zip(zip(*found), schema.types)] if found
-                else [pa.array([], type=t) for t in schema.types], names=names)
-
-    windows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(
-        run, "doc_id long, row long, key long, at long, slots string, named boolean")
-    group = ["doc_id", "row", "item_id", "diagonal", "by_names"]
+                [pa.array(c, type=t) for c, t in zip(zip(*found), types)] if found
+                else [pa.array([], type=t) for t in types], names=names)
+        _KNOWN.clear()
+        let_go()
+
+    row = f"{ROW[0]} long, {ROW[1]} boolean, {ROW[2]} long, "
+    windows = docs.select(*row_keys(), "text").mapInArrow(run, row + "key long, at long, slots string, named boolean")
+    group = [*ROW, "item_id", "diagonal", "by_names"]
     families = F.when(F.col("named"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))
     hits = windows.join(items, "key").withColumn("diagonal", F.col("at") - F.col("place")).withColumn(
         "by_names", F.explode(families)).groupBy(
@@ -253,9 +291,8 @@ def leaks(docs, benchmark):
     long = runs.groupBy(*group, "island").agg(
         F.max("tokens").alias("item_tokens"), F.sort_array(F.collect_list(F.struct("place", "n", "item_slots", "slots"))).alias("w")).where(
         F.element_at("w", -1)["place"] - F.element_at("w", 1)["place"] + F.element_at("w", 1)["n"] >= F.least(F.lit(RUN), "item_tokens"))
-    return long.select("doc_id", "item_id", "item_tokens", "w").mapInArrow(
-        _best_parts, "doc_id long, item_id long, run long, item_tokens long, exact boolean").groupBy("doc_id", "item_id").agg(
-        F.max("run").alias("run"), F.max("item_tokens").alias("item_tokens"), F.max("exact").alias("exact"))
+    return long.select(*ROW, "item_id", "item_tokens", "w").mapInArrow(
+        _best_parts, row + "item_id long, run long, item_tokens long, exact boolean")
 
 
 def consistent_parts(windows):
@@ -290,23 +327,27 @@ def consistent_parts(windows):
 
 
 def _best_parts(batches):
-    names = ["doc_id", "item_id", "run", "item_tokens", "exact"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    names = [*ROW, "item_id", "run", "item_tokens", "exact"]
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
     for b in batches:
         rows = []
-        for doc_id, item_id, tokens, w in zip(*(b.column(i).to_pylist() for i in range(4))):
+        for *row, item_id, tokens, w in zip(*(b.column(i).to_pylist() for i in range(6))):
             pairs = [list(zip(v["item_slots"].split("|"), v["slots"].split("|"))) for v in w]
             for first, last, exact in consistent_parts(pairs):
                 run = w[last]["place"] - w[first]["place"] + w[first]["n"]
                 if run >= min(RUN, tokens):
-                    rows.append((doc_id, item_id, run, tokens, exact))
+                    rows.append((*row, item_id, run, tokens, exact))
         yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)] if rows
                                          else [pa.array([], type=t) for t in types], names=names)
 
 
 def clean_documents(docs, benchmark):
-    """The documents without a leak, columns unchanged; rows without doc_id are looked up by their text."""
-    named = docs.withColumn("row_of_leak", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    keyed = named.drop("doc_id").withColumn("doc_id", F.col("row_of_leak"))
-    found = stored(leaks(keyed, benchmark).select(F.col("doc_id").alias("row_of_leak")).distinct())
-    return named.join(found, "row_of_leak", "left_anti").select(*docs.columns)
+    """The documents without a leak, columns unchanged.
+
+    A row goes for what its own text holds: rows with its doc_id but another text, and rows
+    without doc_id, are judged by theirs.
+    """
+    found = stored(row_leaks(docs, benchmark).select(*ROW).distinct())
+    names = [f"column_{i}_of_row" for i in range(len(docs.columns))]
+    whole = docs.select(*row_keys(), *(c.alias(n) for c, n in zip(quoted(docs.columns), names)))
+    return whole.join(found, ROW, "left_anti").select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))

@@ -185,8 +185,54 @@ def test_licences_in_texts(spark):
     assert licences.licence_report(docs.limit(0)).count() == 0
 
 
+def test_licence_report_is_by_row(spark):
+    mit = TEXTS[0][2]
+    rows = [(None, mit), (1, "plain words"), (1, mit), (1, mit), (None, "plain words"), (2, None), (0, "plain words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, licences.licence_report(docs).collect()), key=repr)
+    assert got == sorted(((i, "MIT", 1, True) if t == mit else (i, "", 0, False) for i, t in rows), key=repr)
+
+
+def plain_licences(text, known):
+    """Every run of whole lines against every known text."""
+    lines = [w for w in map(licences.line_words, text.splitlines()) if w]
+    return {known[tuple(w for ws in lines[a:b] for w in ws)] for a in range(len(lines)) for b in range(a + 1, len(lines) + 1)
+            if tuple(w for ws in lines[a:b] for w in ws) in known}
+
+
+def test_licences_equal_an_enumeration_of_line_runs(spark):
+    known, rng = {tuple(licences.canonical(t)): (name, form) for name, form, t in TEXTS}, random.Random(6)
+    pieces = [t for _, _, t in TEXTS if len(t) < 3000]
+    texts = ["\n".join(rng.choice([rng.choice(pieces), "some other line", "", "// " + rng.choice(pieces).replace("\n", "\n// ")])
+                       for _ in range(rng.randint(1, 4))) for _ in range(40)]
+    got = collections.defaultdict(set)
+    for r in licences.found_licences(frame(spark, texts)).collect():
+        got[r.doc_id].add((r.licence, r.form))
+    assert [got[i] for i in range(len(texts))] == [plain_licences(t, known) for t in texts]
+
+
 # --- decontamination -----------------------------------------------------------------
 
+def test_short_items_leak_as_whole_lines_or_texts(spark):
+    benchmark = spark.createDataFrame([(1, "Name the capital city"), (2, "Why?"), (3, "..."), (4, None), (5, "2 + 2 = ?")], "item_id long, text string")
+    texts = ["name the capital city!", "Please name the capital city now.", "A line\nName the capital city.\nanother", "So: why?", "WHY",
+             "Name\nthe\ncapital\ncity", "2 + 2", "2 + 3", "", None, "the city", "x\r\nwhy\u2028y"]
+    got = {(r.doc_id, r.item_id, r.run, r.exact) for r in decontaminate.leaks(frame(spark, texts), benchmark).collect()}
+    assert got == {(0, 1, 4, True), (2, 1, 4, True), (4, 2, 1, True), (5, 1, 4, True), (6, 5, 2, True), (11, 2, 1, True)}
+    left = {r.doc_id for r in decontaminate.clean_documents(frame(spark, texts), benchmark).collect()}
+    assert left == {1, 3, 7, 8, 9, 10}
+
+
+def test_clean_documents_judges_rows(spark):
+    item = "which of these seven words would you choose to describe the small green river boat in spring"
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, item, "a"), (1, "a clean text of the same id", "b"), (None, item, "c"), (None, "clean and without an id", "d"),
+            (2, "clean", "e"), (2, "clean", "f"), (0, "so " + item, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `hash_of_row` string").repartition(3)
+    got = decontaminate.clean_documents(docs, benchmark)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted((r for r in rows if item not in r[1]), key=repr)
+
 QUESTION = "Alice has 3 apples and buys 5 more apples at the big market today, so Alice is happy."
 
 
