@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from candlewright.llm.common import ROW, doc_of_row, let_go, quoted, row_keys, stored
@@ -20,6 +21,9 @@ SEGMENTS = ((0, 21), (21, 21), (42, 22))
 WORD_SEGMENTS = tuple((half, first, bits) for half in (0, 1) for first, bits in ((0, 21), (21, 21), (42, 22)))
 SHINGLE_DISTANCE = 60
 
+# A label of so many nodes is a large group; its common shingles are taken from so many of its nodes.
+LARGE_GROUP, SAMPLE = 32, 25
+
 
 def _majority(hashes):
     """Bits set in over half of the hashes (rows of ``hashes``, 64 bits a column)."""
@@ -194,8 +198,9 @@ def copy_groups(docs, size=5):
     distance of 256 bits over the shingles drops pairs that are far from similar; the
     others are accepted by the exact Jaccard similarity of their shingle sets. Documents
     with one set meet as one. Each bucket's members first meet two of them, and labels
-    from those links keep the search from listing the inner links of large groups.
-    Documents without words, null texts among them, form one group. The first row of a
+    from those links keep the search from listing the inner links of large groups. Around a
+    large group the remaining pairs must also share what its members have besides the
+    group's common shingles, see :func:`_with_homes`. Documents without words, null texts among them, form one group. The first row of a
     group has the smallest doc_id, rows without one come last, then the smallest hash of the text.
     """
     sig = stored(signatures(docs, size))
@@ -205,7 +210,11 @@ def copy_groups(docs, size=5):
     labelled = alike.withColumn("label", F.col("node"))
     met = stored(_pivot_pairs(labelled))
     labelled = stored(_relabelled(labelled, _similar(met, alike, docs, size)))
-    rest = stored(_pairs_between(labelled).join(met, ["a", "b"], "left_anti"))
+    labelled = _with_homes(labelled, met, alike, docs, size)
+    inner = stored(_central_pairs(labelled))
+    labelled = stored(_relabelled(labelled, _similar(inner, alike, docs, size)))
+    seen = met.select("a", "b").union(inner.select("a", "b"))
+    rest = stored(_pairs_between(labelled).join(seen, ["a", "b"], "left_anti"))
     known = stored(_relabelled(labelled, _similar(rest, alike, docs, size)).select("node", "row", F.col("label").alias("group")))
     lowest = stored(known.groupBy("group").agg(F.min("row").alias("lead")))
     return sig.select(*ROW, "node").join(known.select("node", "group").join(lowest, "group").drop("group"), "node").select(
@@ -218,6 +227,40 @@ def near_copies(docs, size=5):
         ~F.col(f"lead.{ROW[1]}"), F.col(f"lead.{ROW[0]}")).alias("component_id"))
 
 
+def _sets_of(nodes, alike, docs, size):
+    """(node, shingles) of the ``nodes``, from one row of each."""
+    wanted = stored(nodes.join(alike, "node").select("row.*"))
+    return shingle_sets(docs.select("text", *row_keys()).join(wanted, ROW, "left_semi"), size).dropDuplicates(["node"])
+
+
+def _with_homes(labelled, met, alike, docs, size):
+    """``labelled`` and, around large groups, a node's ``home`` and its shingles ``extra`` to that group's common ones.
+
+    Members of a large group have most of its shingles, also where two of them are less
+    than 0.8 similar, so that they meet in every bucket. A node's home is its own label if that is
+    large, or the largest label that a node it met has. The common shingles of a home are those
+    of more than half of 25 members; which ones they are decides only how much is saved:
+    sets a, b with a similarity of 0.8 leave at most (5 n_a - 4 n_b) / 9 of a outside b. If
+    more of a than that is extra, then b has some of it, and it is extra there too.
+    """
+    size_of = stored(labelled.groupBy("label").agg(F.count("*").alias("members")).where(F.col("members") >= LARGE_GROUP))
+    own = labelled.join(size_of, "label").select("node", F.struct("members", "label").alias("h"))
+    known = labelled.select("node", "label")
+    met_by = met.select(F.col("a").alias("node"), F.col("b").alias("other")).union(met.select("b", "a"))
+    through = met_by.join(known.withColumnRenamed("node", "other"), "other").join(size_of, "label").select(
+        "node", F.struct("members", "label").alias("h"))
+    homes = stored(own.union(through).groupBy("node").agg(F.max("h").alias("h")).select(
+        "node", F.col("h.label").alias("home")))
+    sample = stored(labelled.join(size_of.select(F.col("label")), "label", "left_semi").withColumn("place", F.row_number().over(
+        Window.partitionBy("label").orderBy("node"))).where(F.col("place") <= SAMPLE).select("node", "label"))
+    common = stored(_sets_of(sample.select("node"), alike, docs, size).join(sample, "node").select(
+        F.col("label").alias("home"), F.explode("shingles").alias("s")).groupBy("home", "s").agg(F.count("*").alias("n")).where(
+        F.col("n") > SAMPLE // 2).groupBy("home").agg(F.collect_list("s").alias("common")))
+    extra = _sets_of(homes.select("node"), alike, docs, size).join(homes, "node").join(common, "home").select(
+        "node", "home", F.array_except("shingles", "common").alias("extra"))
+    return stored(labelled.join(stored(extra), "node", "left"))
+
+
 def _relabelled(labelled, links):
     """``labelled`` with one label for all nodes whose labels the ``links`` (label_a, label_b) join."""
     joined = stored(components(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))).withColumnsRenamed(
@@ -227,9 +270,8 @@ def _relabelled(labelled, links):
 
 def _similar(pairs, alike, docs, size):
     """The ``pairs`` (a, b, further columns) of nodes whose shingle sets have a Jaccard similarity of 0.8 or more."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(alike, "node").select("row.*"))
-    texts = docs.select("text", *row_keys()).join(wanted, ROW, "left_semi")
-    sets = stored(shingle_sets(texts, size).dropDuplicates(["node"]))
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = stored(_sets_of(nodes, alike, docs, size))
     both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(
         sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
     return both.where("9 * size(array_intersect(x, y)) >= 4 * (size(x) + size(y))").select(*pairs.columns)
@@ -270,20 +312,42 @@ def _pivot_pairs(labelled):
         *_ordered("node", "label", "pivot.node", "pivot.label")).distinct()
 
 
+def _central_pairs(labelled):
+    """(a, b, label_a, label_b) of each node with the node of its home that has the fewest extra shingles."""
+    row = F.struct(F.size("extra").alias("e"), "node", "label", "n", *SHINGLE_BITS)
+    at_home = labelled.where("home IS NOT NULL")
+    centre = at_home.groupBy("home").agg(F.min(row).alias("centre"))
+    return at_home.join(centre, "home").where("label <> centre.label AND " + _near("centre")).selectExpr(
+        *_ordered("node", "label", "centre.node", "centre.label")).distinct()
+
+
 def _ordered(a, label_a, b, label_b):
     return (f"least({a}, {b}) AS a", f"greatest({a}, {b}) AS b", f"IF({a} < {b}, {label_a}, {label_b}) AS label_a",
             f"IF({a} < {b}, {label_b}, {label_a}) AS label_b")
 
 
 def _pairs_between(labelled):
-    """(a, b, label_a, label_b) of nodes with different labels that may be similar."""
+    """(a, b, label_a, label_b) of nodes with different labels that may be similar.
+
+    Pairs of one home of which neither has more extra shingles than similar sets leave
+    out meet in the index like all others; pairs in which one has more meet by what they share of it.
+    """
     keys, balls = _segment_keys()
-    own = f"named_struct('n', n, {', '.join(repr(s) + ', ' + s for s in SHINGLE_BITS)}) AS own"
+    bits = ", ".join(repr(s) + ", " + s for s in SHINGLE_BITS)
+    own = f"named_struct('n', n, 'home', home, 'e', size(extra), {bits}) AS own"
     filed = labelled.selectExpr("node AS b", "label AS label_b", own, f"explode(array({', '.join(keys)})) AS k")
-    asked = labelled.selectExpr("node AS a", "label AS label_a", "n", *SHINGLE_BITS,
+    asked = labelled.selectExpr("node AS a", "label AS label_a", "n", "home", "size(extra) AS e", *SHINGLE_BITS,
                                 f"posexplode(concat(array({', '.join(keys)}), {', '.join(balls)})) AS (place, k)")
-    return asked.join(filed, "k").where(f"label_a <> label_b AND (place >= {len(keys)} OR a < b) AND " + _near("own")).selectExpr(
-        *_ordered("a", "label_a", "b", "label_b")).distinct()
+    at_home = "home IS NOT NULL AND own.home IS NOT NULL AND home = own.home"
+    few = "9 * e <= 5 * n - 4 * own.n AND 9 * own.e <= 5 * own.n - 4 * n"
+    met = asked.join(filed, "k").where(
+        f"label_a <> label_b AND (place >= {len(keys)} OR a < b) AND (NOT ({at_home}) OR {few}) AND " + _near("own"))
+    shared = labelled.where("home IS NOT NULL").selectExpr("node", "label", "n", "home", "size(extra) AS e", *SHINGLE_BITS, "explode(extra) AS s")
+    other = shared.selectExpr("home", "s", "node AS b", "label AS label_b", f"named_struct('n', n, 'e', e, {bits}) AS own")
+    forced = shared.withColumnsRenamed({"node": "a", "label": "label_a"}).join(other, ["home", "s"]).where(
+        f"a < b AND label_a <> label_b AND NOT ({few}) AND " + _near("own"))
+    pair = _ordered("a", "label_a", "b", "label_b")
+    return met.selectExpr(*pair).union(forced.selectExpr(*pair)).distinct()
 
 
 def keep_one(docs):

@@ -180,3 +180,33 @@ def test_keep_one_is_by_row(spark):
     key = lambda r: (r[0] is None, r[0] or 0, np.int64(np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), 42))))
     want = sorted(min(map(key, g[1])) for g in groups)
     assert sorted(key(tuple(r)) for r in got.collect()) == want
+
+
+def test_large_group_is_searched_by_what_its_members_add(spark, monkeypatch):
+    """Around one base: all links of exact similarity are kept, far fewer pairs are compared."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base = [word() for _ in range(150)]
+
+    def edited(words, n):
+        out = list(words)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = word()
+        return out
+
+    texts = [edited(base, rng.choice([0, 1, 2, 3, 4, 6, 8, 10])) for _ in range(220)]
+    texts += [edited(rng.choice(texts), rng.choice([1, 2, 3])) for _ in range(120)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    compared = []
+    similar = simhash._similar
+    monkeypatch.setattr(simhash, "_similar", lambda pairs, *a: (compared.append(pairs.count()), similar(pairs, *a))[1])
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    sets = [shingles(" ".join(t)) for t in texts]
+    label = plain_components(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    lowest = {}
+    for i in range(len(texts)):
+        lowest.setdefault(label[i], i)
+    assert got == {i: lowest[label[i]] for i in range(len(texts))}
+    monkeypatch.setattr(simhash, "_with_homes", lambda labelled, *a: labelled.selectExpr("*", "bigint(null) AS home", "array(0L) AS extra"))
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == got
+    assert sum(compared[1:3]) < sum(compared[4:]), compared  # with homes, without
