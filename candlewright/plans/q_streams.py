@@ -5,6 +5,7 @@ twins stop five minutes before the last row.
 """
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candlewright.plans.catalog import query
 from candlewright.plans.q_candles import KEY, NEWEST
@@ -69,30 +70,47 @@ def stream_validate(fx):
     return _result(fx, streams.validate(table_stream(fx, fx.dirty()))).select(*SLOT, "error_field", "error_message")
 
 
+def _ordered(fx, stream, find, like, keys=tuple(SERIES_KEY)):
+    """Drain ``stream`` into ``find``; ``like`` is the result's schema."""
+    path = sinks.drain(fx.spark, stream, ordered.starting(find, keys))
+    return ordered.result(fx.spark, path, like)
+
+
 @query("stream_spikes", f"""{SCORED_SQL} WHERE "timestamp" <= {_final('c1h', '"timestamp"')}""", ["c1h", "scored"])
 def stream_spikes(fx):
-    return _result(fx, ordered.spikes(table_stream(fx, fx.candles("1h")))).select(*SCORED)
+    stream = ordered.released(table_stream(fx, fx.candles("1h")))
+    return _ordered(fx, stream, ordered.spikes, ordered.spikes(fx.candles("1h")).schema).select(*SCORED)
 
 
 @query("stream_gaps", f"""SELECT pair, "interval", "timestamp" + INTERVAL 5 MINUTE AS start_time, n AS end_time
     FROM (SELECT *, lead("timestamp") OVER (PARTITION BY pair ORDER BY "timestamp") AS n FROM c5m)
     WHERE n > "timestamp" + INTERVAL 5 MINUTE AND n <= {_final('c5m', '"timestamp"')}""", ["c5m"])
 def stream_gaps(fx):
-    return _result(fx, ordered.gaps(table_stream(fx, fx.candles("5m"))))
+    stream = ordered.released(table_stream(fx, fx.candles("5m")))
+    return _ordered(fx, stream, ordered.gaps, ordered.gaps(fx.candles("5m")).schema)
 
 
-@query("stream_outages", f"""SELECT pair, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS rows FROM (
+@query("stream_sessions", f"""SELECT pair, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS rows FROM (
       SELECT pair, ts, sum(CASE WHEN ts < p + INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY pair ORDER BY ts) AS s
       FROM (SELECT event_type AS pair, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS p FROM events))
     GROUP BY pair, s HAVING max(ts) + INTERVAL 30 MINUTE <= {_final('events', 'ts')}""")
-def stream_outages(fx):
+def stream_sessions(fx):
     rows = tick_stream(fx).select("pair", F.col("ts").alias("timestamp"))
-    return _result(fx, streams.outages(rows, "30 minutes"))
+    return _result(fx, streams.sessions(rows, "30 minutes"))
 
 
-@query("stream_late_data", """SELECT event_type AS pair, event_id AS tick_id, ts AS "timestamp",
+@query("stream_outages", f"""SELECT pair, p AS start_time, ts AS end_time, {r6("(epoch_us(ts) - epoch_us(p)) / 1000000")} AS quiet_seconds
+    FROM (SELECT event_type AS pair, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS p FROM events)
+    WHERE ts >= p + INTERVAL 30 MINUTE AND date_trunc('minute', ts) + INTERVAL 1 MINUTE <= {_final('events', 'ts')}""")
+def stream_outages(fx):
+    stream = ordered.activity(tick_stream(fx).select("pair", F.col("ts").alias("timestamp")))
+    found = "pair string, start_time timestamp, end_time timestamp, quiet_seconds double"
+    return _ordered(fx, stream, ordered.outages(1800), T.StructType.fromDDL(found), ("pair",))
+
+
+@query("stream_late_flags", """SELECT event_type AS pair, event_id AS tick_id, ts AS "timestamp",
       date_trunc('second', ts) + to_seconds(event_id % 13 * 40) AS received_at, event_id % 13 * 40 > 300 AS is_late FROM events""")
-def stream_late_data(fx):
+def stream_late_flags(fx):
     delay = F.pmod(F.col("tick_id"), F.lit(13)) * 40
     rows = tick_stream(fx).select(
         "pair", "tick_id", F.col("ts").alias("timestamp"),
@@ -100,6 +118,28 @@ def stream_late_data(fx):
     return _result(fx, streams.on_time(rows))
 
 
+# Every 13th slot arrives with the second load only, and every 13th other slot once more with another close.
+_SLOT = """(epoch_us("timestamp") // 300000000) % 13"""
+
+
+@query("stream_late_data", f"""SELECT pair, '5m' AS "interval", "timestamp", CASE WHEN {_SLOT} = 0 THEN 'new' ELSE 'changed' END AS change,
+      CASE WHEN {_SLOT} = 5 THEN CASE WHEN high < close + 1 THEN 'high,close' ELSE 'close' END END AS changed_fields,
+      {r6(f"CASE WHEN {_SLOT} = 5 THEN close END")} AS old_close, {r6(f"CASE WHEN {_SLOT} = 5 THEN close + 1 ELSE close END")} AS new_close
+    FROM c5m WHERE {_SLOT} IN (0, 5) AND "timestamp" < (SELECT max("timestamp") FROM c5m WHERE {_SLOT} <> 0) - INTERVAL 5 MINUTE""", ["c5m"])
+def stream_late_data(fx):
+    candles, slot = fx.candles("5m"), F.pmod(F.floor(F.unix_seconds("timestamp") / 300), F.lit(13))
+    path = shared_path(fx.spark, "input")
+    candles.where(slot != 0).coalesce(1).write.parquet(path)
+    close = F.when(slot == 5, F.col("close") + 1).otherwise(F.col("close"))
+    candles.where(slot.isin(0, 5)).withColumns({
+        "close": close.cast(candles.schema["close"].dataType),
+        "high": F.greatest("high", close).cast(candles.schema["high"].dataType)}).coalesce(1).write.mode("append").parquet(path)
+    stream = fx.spark.readStream.schema(candles.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    table = sinks.drain(fx.spark, stream, sinks.start_with_corrections())
+    return fx.spark.read.parquet(f"{table}-corrections").select(
+        *SERIES_KEY, "timestamp", "change", "changed_fields", "old_close", "new_close")
+
+
 @query("stream_upsert", NEWEST % "SELECT * FROM load0 UNION ALL SELECT * FROM load2", ["load0", "load2"])
 def stream_upsert(fx):
     loads = table_stream(fx, fx.two_loads())

@@ -67,6 +67,12 @@ def _stored(spark: SparkSession, path: str, like: DataFrame):
     return spark.read.schema(T.StructType(_with_month(like).schema.fields)).parquet(path)
 
 
+def present_candles(spark: SparkSession, path: str, like: DataFrame):
+    """The table at ``path`` with exactly the columns of ``like``, or None when there is none."""
+    table = _stored(spark, path, like)
+    return None if table is None else table.select(*like.columns)
+
+
 def store_batch(spark: SparkSession, path: str, incoming: DataFrame) -> None:
     """Upsert a batch into the table; only the partitions it touches are rewritten.
 

@@ -7,7 +7,7 @@ processors hold one candle per series plus the rows not yet released.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewright.functions.intervals import interval_seconds, seconds_of
+from candlewright.functions.intervals import seconds_of
 from candlewright.operators.resample import fits_into
 from candlewright.operators.validate import validate_candles
 from candlewright.schemas import CANDLE_KEY, DECIMAL
@@ -60,8 +60,8 @@ def validate(raw: DataFrame) -> DataFrame:
     return validate_candles(raw)
 
 
-def outages(rows: DataFrame, quiet: str, lateness: str = LATENESS) -> DataFrame:
-    """Activity sessions per pair; the time between two sessions is an outage."""
+def sessions(rows: DataFrame, quiet: str, lateness: str = LATENESS) -> DataFrame:
+    """Activity sessions per pair; what lies between them is found by ``ordered.outages``."""
     return (
         rows.withWatermark("timestamp", lateness)
         .groupBy("pair", F.session_window("timestamp", quiet).alias("s"))
@@ -75,8 +75,3 @@ def on_time(rows: DataFrame, as_of_column: str = "received_at", seconds: int = 3
     """Flag rows that arrive later than the tolerance; they need the batch path."""
     delay = F.unix_seconds(as_of_column) - F.unix_seconds("timestamp")
     return rows.withColumn("is_late", delay > seconds)
-
-
-def with_step(candles: DataFrame) -> DataFrame:
-    """Candles with the interval length the stateful processors need."""
-    return candles.withColumn("step_seconds", interval_seconds(F.col("interval")))
