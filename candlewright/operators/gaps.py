@@ -281,15 +281,19 @@ def overlap_gaps(gaps: DataFrame, bucket_seconds: int = 30 * DAY) -> DataFrame:
     return reached.where(F.col("start_time") < F.col("reached_end"))
 
 
-def trading_calendar_filter(gaps: DataFrame, closed: DataFrame) -> DataFrame:
-    """Drop gaps that lie wholly inside a closed period (start_time, end_time).
+def trading_calendar_filter(gaps: DataFrame, closed: DataFrame, calendar: str = "exchange") -> DataFrame:
+    """Drop gaps that lie wholly inside a closed period of their own calendar.
 
-    Closed periods are merged, then matched by the day a gap starts on, so the
-    join has an equality key.
+    ``closed``: (exchange, start_time, end_time); ``gaps`` name their exchange in the same
+    column, a gap without one or of an exchange without closed periods stays. If ``closed``
+    has no such column it is one calendar for all gaps. Periods of a calendar are merged, and
+    cut by day; a gap meets those of the day it starts on, so the join keys are the calendar and the day.
     """
-    whole = merge_periods(closed.withColumn("_all", F.lit(1)), ["_all"])
+    one = calendar not in closed.columns
+    named = closed.withColumn(calendar, F.lit("")) if one else closed
+    whole = merge_periods(named, [calendar])
     days = whole.select(
-        F.col("start_time").alias("_closed_from"), F.col("end_time").alias("_closed_to"),
+        F.col(calendar).alias("_calendar"), F.col("start_time").alias("_closed_from"), F.col("end_time").alias("_closed_to"),
         F.explode(F.sequence(
             F.floor(F.unix_seconds("start_time") / DAY).cast("bigint"),
             F.floor((F.unix_seconds("end_time") - 1) / DAY).cast("bigint"))).alias("_day"))
@@ -299,6 +303,8 @@ def trading_calendar_filter(gaps: DataFrame, closed: DataFrame) -> DataFrame:
         & (keyed["start_time"] >= days["_closed_from"])
         & (keyed["end_time"] <= days["_closed_to"])
     )
+    if not one:
+        inside = (keyed[calendar] == days["_calendar"]) & inside
     return keyed.join(days, inside, "left_anti").drop("_day")
 
 

@@ -5,16 +5,20 @@ from pyspark.sql import functions as F
 
 from candlewright.functions.errors import error_category, error_severity, error_type, is_retryable
 from candlewright.functions.intervals import at
-from candlewright.operators.statefold import fold_events
+from candlewright.operators.series import ranked
+from candlewright.operators.statefold import fold_events, rank_levels
 from candlewright.schemas import JOBS
 
 MAX_RETRIES = 5
 BASE_DELAY_SECONDS, MAX_DELAY_SECONDS = 60, 1800
-LOWEST_RETRIES = -100
 
 
 def job_retry_plan(jobs: DataFrame) -> DataFrame:
-    """Failed jobs that may run again, with the delay before they do."""
+    """Failed jobs that may run again, with the delay before they do.
+
+    The delay doubles with every retry. A negative count is below the limit like any other and
+    halves it further, down to whole seconds: from -6 on there is no delay.
+    """
     n = F.col("retry_count")
     delay = F.least(F.lit(BASE_DELAY_SECONDS) * F.pow(F.lit(2.0), n), F.lit(float(MAX_DELAY_SECONDS)))
     return jobs.where((F.col("status") == "failed") & (n < MAX_RETRIES)).withColumn(
@@ -78,37 +82,44 @@ def error_breakdown(jobs: DataFrame) -> DataFrame:
     )
 
 
-def _job_machine(lowest):
-    """States ``status:retries`` and the legal moves between them.
+# Legal moves of a job; a retry is legal below the retry limit only.
+JOB_STATES = ["pending", "running", "completed", "failed"]
+JOB_MOVES = {"start": {"pending": "running"}, "complete": {"running": "completed"}, "fail": {"running": "failed"}}
+RETRY = {"retry": {"failed": "pending"}}
+
+
+def _job_log(jobs: DataFrame, events: DataFrame) -> DataFrame:
+    """Events with the job's status before and after, and whether it was accepted.
 
-    Retries are part of the state because the retry limit decides legality; from the
-    limit on all counts behave alike. Counts begin with the lowest there is.
+    The retry limit is a counter, not a state. Events are folded as if there were no limit; that
+    is right up to the retry that reaches it, which is found by the rank of the accepted
+    retries. What comes later is folded again from there without retries. A job at or
+    above its limit is folded without retries from the start.
     """
-    counts = range(lowest, MAX_RETRIES + 1)
-    states = [f"{s}:{n}" for s in ("pending", "running", "completed", "failed") for n in counts]
-    same = lambda a, b: {f"{a}:{n}": f"{b}:{n}" for n in counts}
-    return states, {
-        "start": same("pending", "running"),
-        "complete": same("running", "completed"),
-        "fail": same("running", "failed"),
-        "retry": {f"failed:{n}": f"pending:{n + 1}" for n in counts[:-1]},
-    }
+    left = (F.lit(MAX_RETRIES).cast("bigint") - F.coalesce("retry_count", F.lit(0))).alias("_left")
+    free = fold_events(events, jobs, "id", "event_seq", JOB_STATES, {**JOB_MOVES, **RETRY}, F.col("status"))
+    retries = ranked(free.where(F.col("accepted") & (F.col("event_type") == "retry")).select("id", "event_seq"), ["id"], ["event_seq"],
+                     rank_levels("event_seq"), "_place")
+    limits = jobs.select("id", "status", left)
+    reached = retries.join(limits, "id").where(F.col("_place") == F.col("_left")).select(
+        "id", F.col("event_seq").alias("_until"), F.lit("pending").alias("status"))
+    never = limits.where("_left <= 0").select("id", F.lit(None).cast("bigint").alias("_until"), "status")
+    ends = reached.unionByName(never)
+    limited = F.col("_limited").isNotNull()
+    marks = ends.select("id", "_until", F.lit(True).alias("_limited"))
+    before = free.join(marks, "id", "left").where(~limited | (F.col("event_seq") <= F.col("_until"))).drop("_until", "_limited")
+    after = events.join(marks, "id").where(F.col("_until").isNull() | (F.col("event_seq") > F.col("_until"))).select(*events.columns)
+    return before.unionByName(fold_events(after, ends, "id", "event_seq", JOB_STATES, JOB_MOVES, F.col("status")))
 
 
 def apply_job_events(jobs: DataFrame, events: DataFrame):
     """(jobs after all events, rejected events).
 
     Events: id, event_seq, event_type (start, complete, fail, retry),
-    event_time, message. A job may retry while its count, also a negative one, is below
-    the limit; a missing count is 0. Counts below -100 are an error: ``validate_jobs``
-    names such jobs.
+    event_time, message. A job may retry while its count, also a negative one of any
+    size, is below the limit; a missing count is 0.
     """
-    lowest = jobs.agg(F.min("retry_count")).first()[0]
-    if lowest is not None and lowest < LOWEST_RETRIES:
-        raise ValueError(f"retry count {lowest} is below {LOWEST_RETRIES}")
-    states, moves = _job_machine(min(lowest or 0, 0))
-    start = F.concat_ws(":", "status", F.least(F.coalesce("retry_count", F.lit(0)), F.lit(MAX_RETRIES)).cast("string"))
-    log = fold_events(events, jobs, "id", "event_seq", states, moves, start)
+    log = _job_log(jobs, events)
     kept = log.where("accepted")
     kind = F.col("event_type")
     latest = kept.groupBy("id").agg(
@@ -121,15 +132,14 @@ def apply_job_events(jobs: DataFrame, events: DataFrame):
                  F.when(kind != "retry", F.col("event_seq"))).alias("_message"),
         F.count_if(kind != "retry").alias("_sets_message"))
     after = jobs.join(latest, "id", "left").withColumns({
-        "status": F.coalesce(F.split_part(F.col("_state"), F.lit(":"), F.lit(1)), "status"),
+        "status": F.coalesce("_state", "status"),
         "retry_count": (F.col("retry_count") + F.coalesce("_retries", F.lit(0))).cast("int"),
         "progress": F.when(F.col("_completed") > 0, 100).otherwise(F.col("progress")),
         "error_message": F.when(F.col("_sets_message") > 0, F.col("_message"))
         .otherwise(F.col("error_message")),
         "updated_at": F.coalesce("_at", "updated_at"),
     }).select(*jobs.columns)
-    rejected = log.where(~F.col("accepted")).select(
-        *events.columns, F.split_part(F.col("state_before"), F.lit(":"), F.lit(1)).alias("state_before"))
+    rejected = log.where(~F.col("accepted")).select(*events.columns, "state_before")
     return after, rejected
 
 

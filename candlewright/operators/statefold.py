@@ -15,6 +15,15 @@ from candlewright.operators.series import ranked
 EVENTS_PER_BLOCK = 256
 BLOCKS_PER_GROUP = 256
 
+# Numbers of one key that span more than so many times their count are numbered again first.
+DENSE = 4
+
+
+def rank_levels(order: str) -> list:
+    """Bucket levels for numbering up to microseconds."""
+    return [[(F.floor(F.col(order) / F.lit(1 << bits)), False)] for bits in (36, 24, 12)]
+
+
 _STARTS = "cast(array() as array<struct<block:bigint,state:int>>)"
 
 
@@ -57,9 +66,15 @@ def _block_starts(effects: DataFrame, first: DataFrame, key: str, levels: int) -
         key, F.col("block").alias("_block"), F.col("state").alias("_start"))
 
 
+def is_sparse(events: DataFrame, key: str, order: str) -> bool:
+    """Whether some key's numbers lie so far apart that blocks by number would hold few events."""
+    spans = events.groupBy(key).agg((F.max(order).cast("double") - F.min(order)).alias("span"), F.count(F.lit(1)).alias("n"))
+    return bool(spans.agg(F.coalesce(F.max(F.col("span") > DENSE * F.col("n") + EVENTS_PER_BLOCK), F.lit(False))).first()[0])
+
+
 def fold_events(events: DataFrame, records: DataFrame, key: str, order: str, states: list,
                 moves: dict, start_state: Column, event_type: str = "event_type",
-                per_block: int = EVENTS_PER_BLOCK, levels: int = 1, sparse: bool = False) -> DataFrame:
+                per_block: int = EVENTS_PER_BLOCK, levels: int = 1, sparse: bool = None) -> DataFrame:
     """Events with the record's state before and after each of them.
 
     ``moves`` maps an event type to ``{state: next state}``; a pair that is not
@@ -68,8 +83,11 @@ def fold_events(events: DataFrame, records: DataFrame, key: str, order: str, sta
     for unknown records are rejected too, with NULL states for the latter.
     Each of ``levels`` multiplies by ``BLOCKS_PER_GROUP`` the events of one key
     that can be chained without a long array. Numbers far apart, such as times in
-    microseconds, are ``sparse``: events are then numbered from 1 first, level by level.
+    microseconds, are ``sparse``: events are then numbered from 1 first, level by level. Without
+    a word on it the span and count of each key decide, one aggregate over the keys.
     """
+    if sparse is None:
+        sparse = is_sparse(events, key, order)
     index = {s: i for i, s in enumerate(states)}
     kinds = list(moves)
     width = len(states)
@@ -85,7 +103,7 @@ def fold_events(events: DataFrame, records: DataFrame, key: str, order: str, sta
     rest = [c for c in events.columns if c not in (key, order)]
     numbered, place = events, F.col(order)
     if sparse:
-        numbered = ranked(events, [key], [order], [[(F.floor(F.col(order) / F.lit(1 << bits)), False)] for bits in (36, 24, 12)], "_place")
+        numbered = ranked(events, [key], [order], rank_levels(order), "_place")
         place = F.col("_place")
     block = F.floor(place / F.lit(per_block)).cast("bigint")
     packed = (

@@ -349,6 +349,28 @@ def validate_results(results: DataFrame) -> DataFrame:
     return results.withColumn("error", F.coalesce(*[F.when(b, m) for b, m in rules]))
 
 
+def validate_query_requests(requests: DataFrame) -> DataFrame:
+    """Requests (pair, interval, start_time, end_time, limit, offset, order) with the first reason to reject each.
+
+    ``error`` is NULL for a request that :func:`validate_query_request` accepts. A missing limit or
+    offset is 0, a missing order ascending, a missing time no range.
+    """
+    rules = [
+        (_is_blank_text("pair"), F.lit("pair cannot be empty")),
+        (_is_blank_text("interval"), F.lit("interval cannot be empty")),
+        (~F.coalesce(F.col("end_time") > F.col("start_time"), F.lit(False)), F.lit("end time must be after start time")),
+        (F.coalesce("offset", F.lit(0)) < 0, F.lit("offset cannot be negative")),
+        (F.coalesce("limit", F.lit(0)) < 0, F.lit("limit cannot be negative")),
+        (~F.coalesce("order", F.lit("asc")).isin("asc", "desc"), F.lit("order must be 'asc' or 'desc'")),
+        (~F.col("interval").isin(list(QUERY_INTERVALS)), F.concat(F.lit("invalid interval: "), F.col("interval"))),
+    ]
+    return requests.withColumn("error", F.coalesce(*[F.when(b, m) for b, m in rules]))
+
+
+def _is_blank_text(name: str):
+    return F.coalesce(F.col(name), F.lit("")) == ""
+
+
 def validate_query_request(pair, interval, start, end, limit=0, offset=0, order="asc"):
     """Argument check of the query API; raises ``ValueError``."""
     if not pair:

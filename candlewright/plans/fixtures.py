@@ -322,3 +322,15 @@ class Fixtures:
         return friday.select(_shift(F.col("d"), 20 * HOUR).alias("start_time"),
                              _shift(F.col("d"), 2 * DAY + 28 * HOUR).alias("end_time"))
 
+    def requests(self) -> DataFrame:
+        """Query requests, one per event, most with something wrong."""
+        k = F.col("event_id")
+        rem = lambda n: F.pmod(k, F.lit(n))
+        pick = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), i.cast("int"))
+        ts = F.col("ts").cast("timestamp")
+        return self.table("events").select(
+            k.alias("id"), F.when(rem(11) != 0, F.col("event_type")).otherwise("").alias("pair"),
+            pick(["1m", "5m", "2h", "1d", "", "1M", "x", "1h"], rem(8)).alias("interval"), ts.alias("start_time"),
+            F.when(rem(17) != 0, _shift(ts, (rem(7) - 1) * HOUR)).alias("end_time"),
+            F.when(rem(5) != 0, rem(13) - 1).alias("limit"), F.when(rem(9) != 0, rem(19) - 1).alias("offset"),
+            pick(["asc", "desc", "up", None], rem(4)).alias("order"))

@@ -137,6 +137,19 @@ def trading_calendar_filter(fx):
     return gaps.trading_calendar_filter(fx.periods("5m"), fx.closed_periods())
 
 
+@query("trading_calendar_by_exchange", f"""SELECT {PERIOD} FROM (SELECT *, CASE WHEN pair < 'p' THEN 'east' WHEN pair < 's' THEN 'west' END AS exchange FROM periods5) g
+    WHERE NOT EXISTS (SELECT 1 FROM (SELECT 'east' AS exchange, * FROM fridays UNION ALL
+        SELECT 'west', start_time - INTERVAL 3 DAY, end_time - INTERVAL 4 DAY FROM fridays) f
+      WHERE f.exchange = g.exchange AND g.start_time >= f.start_time AND g.end_time <= f.end_time)""", ["periods5", "fridays"])
+def trading_calendar_by_exchange(fx):
+    """Two calendars; pairs from 's' on have none."""
+    exchange = F.when(F.col("pair") < "p", "east").when(F.col("pair") < "s", "west")
+    east = fx.closed_periods().select(F.lit("east").alias("exchange"), "start_time", "end_time")
+    west = east.select(F.lit("west").alias("exchange"), (F.col("start_time") - F.expr("INTERVAL 3 DAY")).alias("start_time"),
+                       (F.col("end_time") - F.expr("INTERVAL 4 DAY")).alias("end_time"))
+    return gaps.trading_calendar_filter(fx.periods("5m").withColumn("exchange", exchange), east.unionByName(west)).drop("exchange")
+
+
 @query("query_with_gap_flags", f"""SELECT g.pair, '5m' AS "interval", g.t AS "timestamp", {r6('c.close')} AS close, {r6('c.volume')} AS volume,
       c.pair IS NULL AS is_missing, CASE WHEN c.pair IS NULL THEN p.status END AS gap_status
     FROM grid5 g LEFT JOIN c5m c ON c.pair = g.pair AND c."timestamp" = g.t

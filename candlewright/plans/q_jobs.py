@@ -29,12 +29,13 @@ def validate_jobs(fx):
         "id", F.array_join("errors.field", ",").alias("fields"))
 
 
-@query("job_retry_plan", """SELECT id, retry_count, CAST(least(60 * pow(2.0::DOUBLE, retry_count), 1800) AS BIGINT) AS retry_delay_seconds,
-      updated_at + to_seconds(CAST(least(60 * pow(2.0::DOUBLE, retry_count), 1800) AS BIGINT)) AS retry_at
-    FROM jobs0 WHERE status = 'failed' AND retry_count < 5 AND retry_count >= 0""", ["jobs0"])
+_DELAY = "CAST(trunc(least(60 * pow(2.0::DOUBLE, retry_count), 1800)) AS BIGINT)"
+
+
+@query("job_retry_plan", f"""SELECT id, retry_count, {_DELAY} AS retry_delay_seconds, updated_at + to_seconds({_DELAY}) AS retry_at
+    FROM jobs0 WHERE status = 'failed' AND retry_count < 5""", ["jobs0"])
 def job_retry_plan(fx):
-    return jobs.job_retry_plan(fx.jobs().where(F.col("retry_count") >= 0)).select(
-        "id", "retry_count", "retry_delay_seconds", "retry_at")
+    return jobs.job_retry_plan(fx.jobs()).select("id", "retry_count", "retry_delay_seconds", "retry_at")
 
 
 _E = f"(CAST(epoch_us({NOW}) - epoch_us(created_at) AS DOUBLE) / 1000000)"
@@ -90,7 +91,7 @@ def _next(n):
 
 
 _UNROLLED = f"""e AS (SELECT *, {_KINDS}[(k * 7) % 5 + 1] AS e0, CASE WHEN k % 3 >= 1 THEN {_KINDS}[(k * 7 + 1) % 5 + 1] END AS e1,
-      CASE WHEN k % 3 >= 2 THEN {_KINDS}[(k * 7 + 2) % 5 + 1] END AS e2, status AS s0, greatest(retry_count, 0) AS r0 FROM jobs0),
+      CASE WHEN k % 3 >= 2 THEN {_KINDS}[(k * 7 + 2) % 5 + 1] END AS e2, status AS s0, retry_count AS r0 FROM jobs0),
     f AS (SELECT *, {_next(0)} FROM e), f2 AS (SELECT *, {_next(1)} FROM f), f3 AS (SELECT *, {_next(2)} FROM f2)"""
 _MESSAGE = "CASE " + " ".join(
     f"WHEN s{n} <> s{n + 1} AND e{n} = 'fail' THEN 'note {n}' WHEN s{n} <> s{n + 1} AND e{n} <> 'retry' THEN NULL"

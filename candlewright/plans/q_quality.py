@@ -491,3 +491,20 @@ def storage_stats(fx):
       max("timestamp") AS latest_data FROM (SELECT * FROM c5m UNION ALL SELECT * FROM c1h) GROUP BY ROLLUP (pair, "interval")""", ["c5m", "c1h"])
 def storage_stats_by_series(fx):
     return quality.storage_stats_by_series(fx.candles("5m").unionByName(fx.candles("1h")))
+
+
+_REQUEST = """SELECT event_id AS id, CASE WHEN event_id % 11 <> 0 THEN event_type ELSE '' END AS pair,
+      ['1m', '5m', '2h', '1d', '', '1M', 'x', '1h'][event_id % 8 + 1] AS "interval", ts AS start_time,
+      CASE WHEN event_id % 17 <> 0 THEN ts + to_hours(CAST(event_id % 7 - 1 AS INTEGER)) END AS end_time,
+      CASE WHEN event_id % 5 <> 0 THEN event_id % 13 - 1 END AS "limit", CASE WHEN event_id % 9 <> 0 THEN event_id % 19 - 1 END AS "offset",
+      ['asc', 'desc', 'up', NULL][event_id % 4 + 1] AS "order" FROM events"""
+
+
+@query("validate_query_request", f"""SELECT id, CASE WHEN pair = '' THEN 'pair cannot be empty' WHEN "interval" = '' THEN 'interval cannot be empty'
+      WHEN NOT coalesce(end_time > start_time, false) THEN 'end time must be after start time'
+      WHEN coalesce("offset", 0) < 0 THEN 'offset cannot be negative' WHEN coalesce("limit", 0) < 0 THEN 'limit cannot be negative'
+      WHEN coalesce("order", 'asc') NOT IN ('asc', 'desc') THEN 'order must be ''asc'' or ''desc'''
+      WHEN "interval" NOT IN ({', '.join(repr(i) for i in validate.QUERY_INTERVALS)}) THEN 'invalid interval: ' || "interval" END AS error
+    FROM ({_REQUEST})""")
+def validate_query_request(fx):
+    return validate.validate_query_requests(fx.requests()).select("id", "error")

@@ -205,3 +205,39 @@ def test_lookback_blocks(spark):
         near = [float(j * j) for j in range(max(0, i - 10), i)]
         assert r.context_rows == len(near)
         assert not near or abs(r.mean_close - sum(near) / len(near)) < 1e-9
+
+
+def test_job_events_with_any_negative_count_and_sparse_numbers(spark):
+    """Against a loop: counts far below zero, at and above the limit; microseconds as numbers."""
+    from candlewright.operators import jobs
+
+    rng, records, events, want, refused = random.Random(8), [], [], {}, set()
+    for i in range(60):
+        count = rng.choice([-100000, -7, -1, 0, 3, 4, 5, 9, None])
+        status, n, at = rng.choice(["pending", "running", "completed", "failed"]), count or 0, 1_700_000_000_000_000
+        records.append((f"j{i}", status, count, 10, "old", "2024-01-01 00:00:00"))
+        cycle = rng.random() < 0.5
+        for k in range(rng.choice([0, 3, 60])):
+            at += rng.randrange(1, 10 ** 9)
+            kind = ["start", "fail", "retry"][k % 3] if cycle else rng.choice(["start", "fail", "retry", "complete", "odd"])
+            events.append((f"j{i}", at, kind, "2024-01-02 00:00:00", f"m{k}"))
+            new = {"start": {"pending": "running"}, "complete": {"running": "completed"}, "fail": {"running": "failed"},
+                   "retry": {"failed": "pending"} if n < 5 else {}}.get(kind, {}).get(status)
+            if new is None:
+                refused.add((f"j{i}", at))
+            else:
+                status, n = new, n + (kind == "retry")
+        want[f"j{i}"] = (status, n if count is not None else None)
+    table = spark.createDataFrame(records, "id string, status string, retry_count int, progress int, error_message string, updated_at string")
+    log = spark.createDataFrame(events, "id string, event_seq long, event_type string, event_time string, message string")
+    after, rejected = jobs.apply_job_events(table, log.repartition(4))
+    assert {r.id: (r.status, r.retry_count) for r in after.collect()} == want
+    assert {(r.id, r.event_seq) for r in rejected.collect()} == refused
+
+
+def test_sparse_numbers_are_told_from_dense_ones(spark):
+    from candlewright.operators.statefold import is_sparse
+
+    dense = spark.createDataFrame([("a", i) for i in range(2000)], "id string, event_seq long")
+    assert not is_sparse(dense, "id", "event_seq") and not is_sparse(dense.limit(0), "id", "event_seq")
+    assert is_sparse(dense.selectExpr("id", "event_seq * 1000000 AS event_seq"), "id", "event_seq")
