@@ -289,8 +289,9 @@ def rollup(nodes, places, values, large=LARGE):
     schema = ", ".join(f"{c} long" for c in (*NODE, *values))
     if top is None:
         return spark.createDataFrame([], schema)
-    live = nodes.select(*NODE, "above", "weight", *values, F.lit(top[0]).alias("comp_rep"), F.lit(0).cast("long").alias("comp_depth"))
-    comp, added, steps = ["comp_rep", "comp_depth"], [], []
+    # Stored, so that the planner does not turn joins on the one component into products.
+    live = stored(nodes.select(*NODE, "above", "weight", *values, F.lit(top[0]).alias("comp_rep"), F.lit(0).cast("long").alias("comp_depth")))
+    comp, added, steps = ["comp_rep", "comp_depth"], [], [live]
     while True:
         total = live.where("rep = comp_rep AND depth = comp_depth").select(*comp, F.col("weight").alias("all_of_it"))
         total = stored(total.where(F.col("all_of_it") > large))
