@@ -13,7 +13,7 @@ from candlewright.functions.scoring import (
     surge_confidence,
 )
 from candlewright.operators.series import (
-    BUCKET, SLOTS_PER_BUCKET, number_bucket, ranked, time_bucket, transitions,
+    BUCKET, SLOTS_PER_BUCKET, attach_per_series, number_bucket, ranked, time_bucket, transitions,
 )
 from candlewright.operators.validate import logic_anomalies, parse_decimals
 from candlewright.schemas import SERIES_KEY, THRESHOLD
@@ -30,11 +30,19 @@ def exceeds(current: Column, previous: Column, threshold) -> Column:
         F.when(previous > 0, current > limit).when(previous < 0, current < limit), F.lit(False))
 
 
-def candle_steps(candles: DataFrame, slots_per_bucket: int = SLOTS_PER_BUCKET) -> DataFrame:
-    """Each candle next to its predecessor: times, highs and volumes."""
-    return transitions(
-        candles, SERIES_KEY, "timestamp", ["high", "volume"],
-        time_bucket(F.col("timestamp"), F.col("interval"), slots_per_bucket))
+def candle_steps(candles: DataFrame, slots_per_bucket: int = SLOTS_PER_BUCKET, ties=(),
+                 keep_bucket: bool = False) -> DataFrame:
+    """Each candle next to its predecessor: times, highs and volumes.
+
+    Candles of a series with equal times follow each other by the columns ``ties``, which
+    must tell them apart; without ``ties`` times must be unique.
+    """
+    bucket = time_bucket(F.col("timestamp"), F.col("interval"), slots_per_bucket)
+    if not ties:
+        return transitions(candles, SERIES_KEY, "timestamp", ["high", "volume"], bucket, keep_bucket=keep_bucket)
+    placed = candles.where(F.col("timestamp").isNotNull()).withColumn("_order", F.struct("timestamp", *ties))
+    return transitions(placed, SERIES_KEY, "_order", ["timestamp", "high", "volume"], bucket,
+                       keep_bucket=keep_bucket).drop("_order", "prev__order")
 
 
 def as_of_prev(candles: DataFrame, slots_per_bucket: int = SLOTS_PER_BUCKET) -> DataFrame:
@@ -146,8 +154,11 @@ def estimate_interval(rows: DataFrame, keys=SERIES_KEY, bucket: Column = None) -
     if bucket is None:
         bucket = time_bucket(F.col("timestamp"))
     # The first row of a series has no spacing; it only makes the series appear.
-    steps = transitions(rows.select(*keys, "timestamp"), keys, "timestamp", bucket=bucket,
-                        include_first=True)
+    return _usual_spacing(transitions(
+        rows.select(*keys, "timestamp"), keys, "timestamp", bucket=bucket, include_first=True), keys)
+
+
+def _usual_spacing(steps: DataFrame, keys) -> DataFrame:
     micros = F.unix_micros("timestamp") - F.unix_micros("prev_timestamp")
     rounded = (F.round(micros / (MINUTE * 1_000_000)) * MINUTE).cast("bigint")
     votes = steps.groupBy(*keys, rounded.alias("step")).agg(F.count(F.lit(1)).alias("votes"))
@@ -224,11 +235,13 @@ def lookback_context(candles: DataFrame, rows: int = LOOKBACK_ROWS,
 
 def validate_all(raw: DataFrame, arrival: str = None, logical: bool = True, spikes: bool = True,
                  timestamps: bool = True, spike_threshold=SPIKE_THRESHOLD,
-                 surge_threshold=SURGE_THRESHOLD, drift_seconds: int = DRIFT_SECONDS) -> DataFrame:
+                 surge_threshold=SURGE_THRESHOLD, drift_seconds: int = DRIFT_SECONDS, ties=()) -> DataFrame:
     """Union of all enabled anomaly branches over text candles.
 
     The sequence branch measures spacing against the interval estimated from
-    the data, not the declared one.
+    the data, not the declared one; rows are in time order (equal times by the columns
+    ``ties``), or in that of ``arrival`` if given. A row without pair or interval belongs to
+    the series of all such rows; one without a time takes part in the logical branch only.
     """
     typed = parse_decimals(raw)
     shape = [*SERIES_KEY, "timestamp", "type", "rule", "description", "value", "threshold",
@@ -238,20 +251,22 @@ def validate_all(raw: DataFrame, arrival: str = None, logical: bool = True, spik
         parts.append(logic_anomalies(typed).withColumns({
             "value": F.col("value").cast("double"), "threshold": F.col("threshold").cast("double"),
         }).select(*shape))
-    timed = typed.where(F.col("timestamp").isNotNull())
+    if spikes or timestamps:
+        steps = candle_steps(typed.where(F.col("timestamp").isNotNull()), ties=ties, keep_bucket=True)
     checks = [spike_finding(spike_threshold), surge_finding(surge_threshold)] if spikes else []
-    if timestamps and arrival is None:
-        # In time order all checks share one pass over the steps.
-        steps = candle_steps(timed).join(estimate_interval(raw), SERIES_KEY)
-        checks.append(sequence_finding(F.col("interval_seconds"), drift_seconds))
-    elif timestamps:
-        rows = transitions(raw, SERIES_KEY, arrival, ["timestamp"], number_bucket(F.col(arrival)))
-        parts.append(findings(
-            rows.join(estimate_interval(raw), SERIES_KEY), [*SERIES_KEY, "timestamp"],
-            sequence_finding(F.col("interval_seconds"), drift_seconds)).select(*shape))
+    if timestamps:
+        # The spacing comes from the same exchange as the steps, and in time order all checks share one pass.
+        spacing = _usual_spacing(steps, SERIES_KEY)
+        order = sequence_finding(F.col("interval_seconds"), drift_seconds)
+        if arrival is None:
+            steps = attach_per_series(steps, spacing, SERIES_KEY)
+            checks.append(order)
+        else:
+            came = transitions(raw, SERIES_KEY, arrival, ["timestamp"], number_bucket(F.col(arrival)),
+                               levels=1, keep_bucket=True)
+            known = attach_per_series(came, spacing, SERIES_KEY).fillna(HOUR, ["interval_seconds"])
+            parts.append(findings(known, [*SERIES_KEY, "timestamp"], order).select(*shape))
     if checks:
-        if not (timestamps and arrival is None):
-            steps = candle_steps(timed)
         parts.append(findings(steps, [*SERIES_KEY, "timestamp"], *checks).select(*shape))
     return reduce(DataFrame.unionByName, parts)
 

@@ -7,7 +7,7 @@ from candlewright.functions.intervals import (
     DAY, HOUR, at, ceil_to, floor_to, interval_seconds, seconds_between,
 )
 from candlewright.operators.query import in_months
-from candlewright.operators.series import BUCKET, SLOTS_PER_BUCKET, running, time_bucket, transitions
+from candlewright.operators.series import BUCKET, SLOTS_PER_BUCKET, look_up, running, time_bucket, transitions
 from candlewright.operators.totals import with_empty_row
 from candlewright.schemas import SERIES_KEY
 
@@ -224,25 +224,39 @@ def merge_periods(periods: DataFrame, keys, touching: bool = True,
 
     ``totals`` are further aggregates over the parts, of their columns ``carry``.
 
-    A running maximum of the end time marks where a new island starts; the
-    island's start is then a running maximum of the marked starts.
+    Periods are merged within buckets of their start time first. Only one merged period of a
+    bucket can run on into later ones, so the buckets are chained over one row each, and
+    only those that something runs into are looked up again. Periods without a start are
+    one group per key; an empty key (NULL) is a key.
     """
     keys = list(keys)
+
+    def apart(start, reach):
+        return reach.isNull() | ((start > reach) if touching else (start >= reach))
+
+    place = [*keys, BUCKET]
     bucket = F.floor(F.unix_seconds("start_time") / F.lit(bucket_seconds)).cast("bigint")
-    order = ["start_time", "end_time"]
-    reached = running(periods.select(*keys, *order, *carry), keys, order,
-                      {"_reach": ("max", "end_time")}, bucket)
-    apart = (F.col("start_time") > F.col("_reach")) if touching else (
-        F.col("start_time") >= F.col("_reach"))
-    opened = reached.withColumn(
-        "_open", F.when(F.col("_reach").isNull() | apart, F.col("start_time")))
-    islands = running(opened, keys, order, {"_last_open": ("max", "_open")}, bucket)
-    return (
-        islands.withColumn("_island", F.coalesce("_open", "_last_open"))
-        .groupBy(*keys, "_island")
-        .agg(F.max("end_time").alias("end_time"), F.count(F.lit(1)).alias("merged_count"), *totals)
-        .withColumnRenamed("_island", "start_time")
-    )
+    rows = periods.select(*keys, "start_time", "end_time", *carry, bucket.alias(BUCKET)).repartition(*place)
+    inside = Window.partitionBy(*place).orderBy("start_time", "end_time")
+    reach = F.max("end_time").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    opened = rows.withColumn("_reach", reach).withColumn(
+        "_open", F.when(apart(F.col("start_time"), F.col("_reach")), F.col("start_time")))
+    local = opened.withColumn("_island", F.max("_open").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+
+    earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    chained = (
+        opened.groupBy(*place)
+        .agg(F.min("start_time").alias("_first"), F.max("_open").alias("_last"),
+             F.max(F.when(F.col(BUCKET).isNotNull(), F.col("end_time"))).alias("_end"))
+        .withColumn("_into", F.max("_end").over(earlier))
+        .withColumn("_begun", F.max(F.when(apart(F.col("_last"), F.col("_into")), F.col("_last"))).over(earlier))
+        .where(~apart(F.col("_first"), F.col("_into")))
+        .select(*place, "_into", "_begun"))
+    whole = look_up(local, chained, place).select(
+        *keys, "end_time", *carry,
+        F.when(apart(F.col("_island"), F.col("_into")), F.col("_island")).otherwise(F.col("_begun")).alias("start_time"))
+    return whole.groupBy(*keys, "start_time").agg(
+        F.max("end_time").alias("end_time"), F.count(F.lit(1)).alias("merged_count"), *totals)
 
 
 def gap_id() -> Column:

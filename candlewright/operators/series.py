@@ -7,6 +7,8 @@ with one row per bucket. The summary is smaller than the data by the bucket
 population, so ordering *it* per series is cheap even for a hot series.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,10 +40,10 @@ def _across(ends: DataFrame, keys, carried, levels: int, fan: int) -> DataFrame:
     """
     if not levels:
         across = Window.partitionBy(*keys).orderBy(BUCKET)
-        return ends.select(*keys, *carried, *[F.lag(f"last_{c}").over(across).alias(f"prev_{c}") for c in carried])
+        return ends.select(*keys, BUCKET, *carried, *[F.lag(f"last_{c}").over(across).alias(f"prev_{c}") for c in carried])
     grouped = ends.withColumn("_group", F.floor(F.col(BUCKET) / F.lit(fan)).cast("bigint")).repartition(keys[0], "_group")
     inside = Window.partitionBy(*keys, "_group").orderBy(BUCKET)
-    inner = grouped.select(*keys, *carried, *[F.lag(f"last_{c}").over(inside).alias(f"prev_{c}") for c in carried],
+    inner = grouped.select(*keys, BUCKET, *carried, *[F.lag(f"last_{c}").over(inside).alias(f"prev_{c}") for c in carried],
                            F.row_number().over(inside).alias("_rn")).where("_rn > 1").drop("_rn")
     heads = grouped.groupBy(*keys, "_group").agg(
         *[F.min_by(c, BUCKET).alias(c) for c in carried],
@@ -50,7 +52,8 @@ def _across(ends: DataFrame, keys, carried, levels: int, fan: int) -> DataFrame:
 
 
 def transitions(df: DataFrame, keys, order: str, values=(), bucket: Column = None,
-                include_first: bool = False, levels: int = 0, fan: int = SLOTS_PER_BUCKET) -> DataFrame:
+                include_first: bool = False, levels: int = 0, fan: int = SLOTS_PER_BUCKET,
+                keep_bucket: bool = False) -> DataFrame:
     """One row per pair of consecutive rows in a series.
 
     Output: the keys, ``order`` and ``values`` of the later row, and the same of
@@ -58,7 +61,8 @@ def transitions(df: DataFrame, keys, order: str, values=(), bucket: Column = Non
     rows without an order value are left out. ``include_first`` adds the first
     row of each series with NULL ``prev_*`` columns. ``levels`` is for orders without
     bound, such as arrival numbers: so many levels of ``fan`` buckets are put between
-    the buckets and the series.
+    the buckets and the series. ``keep_bucket`` leaves a bucket number on every row, for
+    :func:`attach_per_series`.
     """
     keys, values = list(keys), list(values)
     if bucket is None:
@@ -75,7 +79,6 @@ def transitions(df: DataFrame, keys, order: str, values=(), bucket: Column = Non
     inner = (
         rows.select("*", *[F.lag(c).over(inside).alias(f"prev_{c}") for c in carried])
         .where(F.col(f"prev_{order}").isNotNull())
-        .drop(BUCKET)
     )
     ends = rows.groupBy(*keys, BUCKET).agg(
         F.min(order).alias(order), F.max(order).alias(f"last_{order}"),
@@ -85,7 +88,27 @@ def transitions(df: DataFrame, keys, order: str, values=(), bucket: Column = Non
     edges = _across(ends, keys, carried, levels, fan)
     if not include_first:
         edges = edges.where(F.col(f"prev_{order}").isNotNull())
-    return inner.unionByName(edges)
+    found = inner.unionByName(edges)
+    return found if keep_bucket else found.drop(BUCKET)
+
+
+def look_up(rows: DataFrame, table: DataFrame, keys) -> DataFrame:
+    """``rows`` with the further columns of ``table``, which is unique in ``keys``; NULL meets NULL."""
+    keys = list(keys)
+    named = table.select(*[F.col(c).alias(f"_k_{c}") for c in keys], *[c for c in table.columns if c not in keys])
+    met = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys])
+    return rows.join(named, met, "left").drop(*[f"_k_{c}" for c in keys])
+
+
+def attach_per_series(rows: DataFrame, per_series: DataFrame, keys) -> DataFrame:
+    """``rows`` with the columns of ``per_series``, which has one row per series.
+
+    The values are first copied to each bucket that occurs; rows are then looked up by
+    series and bucket, so that a hot series is no join key of its own. Every row stays.
+    """
+    keys = list(keys)
+    buckets = look_up(rows.select(*keys, BUCKET).distinct(), per_series, keys)
+    return look_up(rows, buckets, [*keys, BUCKET])
 
 
 def running(df: DataFrame, keys, order: list, measures: dict, bucket: Column) -> DataFrame:

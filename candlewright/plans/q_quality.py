@@ -314,7 +314,7 @@ def sequence_out_of_order(fx):
 def sequence_confidence(fx):
     from candlewright.operators.series import number_bucket, transitions
 
-    steps = transitions(_arrivals(fx), ["pair"], "event_id", ["timestamp"], number_bucket(F.col("event_id")))
+    steps = transitions(_arrivals(fx), ["pair"], "event_id", ["timestamp"], number_bucket(F.col("event_id")), levels=1)
     gap = (F.unix_micros("timestamp") - F.unix_micros("prev_timestamp")) / 1_000_000 - 3600
     return steps.select("pair", "event_id", scoring.sequence_confidence(gap, 120).alias("confidence"))
 
@@ -352,20 +352,27 @@ _PREV = """SELECT *, lag(high) OVER w AS prev_high, lag(volume) OVER w AS prev_v
     FROM typed WHERE "timestamp" IS NOT NULL WINDOW w AS (PARTITION BY pair, "interval" ORDER BY "timestamp", slot_pair)"""
 
 
-@query("validate_all", f"""WITH p AS ({_PREV}) SELECT type, rule, severity, count(*) AS n, {r6('sum(value)')} AS total_value FROM (
-      SELECT 'logic_error' AS type, rule, 'error' AS severity, value FROM logic WHERE pair <> ''
-      UNION ALL SELECT 'price_spike', 'high_ratio', CASE WHEN r >= 25 THEN 'critical' WHEN r >= 15 THEN 'error' ELSE 'warning' END, r
-        FROM (SELECT CAST(high AS DOUBLE) / CAST(prev_high AS DOUBLE) AS r FROM p WHERE pair <> '' AND prev_high > 0 AND high > 5.00 * prev_high)
-      UNION ALL SELECT 'volume_surge', 'volume_ratio', CASE WHEN r > 50 THEN 'critical' WHEN r >= 22.5 THEN 'error' ELSE 'warning' END, r
-        FROM (SELECT CAST(volume AS DOUBLE) / CAST(prev_volume AS DOUBLE) AS r FROM p
-              WHERE pair <> '' AND ((prev_volume > 0 AND volume > 10.00 * prev_volume) OR (prev_volume < 0 AND volume < 10.00 * prev_volume)))
-      UNION ALL SELECT 'sequence_gap', 'interval_gap', CASE WHEN g >= 96 THEN 'error' ELSE 'warning' END, g / 60
-        FROM (SELECT epoch("timestamp") - epoch(prev_time) - 3600 AS g FROM p WHERE pair <> '' AND prev_time IS NOT NULL) WHERE abs(g) > 120
-    ) GROUP BY type, rule, severity""", ["typed", "logic"])
+# Spacing as estimated from the rows themselves, also for the series of rows without a pair.
+_SPACING = """SELECT pair, "interval", CASE WHEN step = 0 THEN 3600 ELSE step END AS secs FROM (
+    SELECT *, row_number() OVER (PARTITION BY pair, "interval" ORDER BY n DESC, step) AS rn FROM (
+      SELECT pair, "interval", CAST(round((epoch_us("timestamp") - epoch_us(prev_time)) / 60000000) * 60 AS BIGINT) AS step, count(*) AS n
+      FROM p WHERE prev_time IS NOT NULL GROUP BY ALL)) WHERE rn = 1"""
+
+
+@query("validate_all", f"""WITH p AS ({_PREV}) SELECT pair, "interval", "timestamp", type, rule, severity, round(value, 6) AS value FROM (
+      SELECT pair, "interval", "timestamp", 'logic_error' AS type, rule, 'error' AS severity, value FROM logic
+      UNION ALL SELECT {KEY}, 'price_spike', 'high_ratio', CASE WHEN r >= 25 THEN 'critical' WHEN r >= 15 THEN 'error' ELSE 'warning' END, r
+        FROM (SELECT {KEY}, CAST(high AS DOUBLE) / CAST(prev_high AS DOUBLE) AS r FROM p WHERE prev_high > 0 AND high > 5.00 * prev_high)
+      UNION ALL SELECT {KEY}, 'volume_surge', 'volume_ratio', CASE WHEN r > 50 THEN 'critical' WHEN r >= 22.5 THEN 'error' ELSE 'warning' END, r
+        FROM (SELECT {KEY}, CAST(volume AS DOUBLE) / CAST(prev_volume AS DOUBLE) AS r FROM p
+              WHERE (prev_volume > 0 AND volume > 10.00 * prev_volume) OR (prev_volume < 0 AND volume < 10.00 * prev_volume))
+      UNION ALL SELECT {KEY}, 'sequence_gap', 'interval_gap', CASE WHEN g >= 96 THEN 'error' ELSE 'warning' END, g / 60
+        FROM (SELECT p.pair, p."interval", p."timestamp", epoch(p."timestamp") - epoch(prev_time) - secs AS g
+              FROM p JOIN ({_SPACING}) s ON s.pair = p.pair AND s."interval" = p."interval" WHERE prev_time IS NOT NULL) WHERE abs(g) > 120)""",
+       ["typed", "logic"])
 def validate_all(fx):
-    rows = fx.dirty().where(F.col("pair") != "").drop(*SLOT)
-    return anomalies.validate_all(rows).groupBy("type", "rule", "severity").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("value").alias("total_value"))
+    return anomalies.validate_all(fx.dirty().drop("slot_time"), ties=["slot_pair"]).select(
+        *SERIES_KEY, "timestamp", "type", "rule", "severity", "value")
 
 
 # --- quality ---------------------------------------------------------------------------

@@ -64,3 +64,17 @@ def test_validate_all_in_arrival_order(spark):
         "timestamp", F.col("t").cast("timestamp")).drop("t")
     rules = sorted(r.rule for r in anomalies.validate_all(df, arrival="seq").collect())
     assert rules == ["interval_gap", "interval_gap", "out_of_order"]
+
+
+def test_periods_are_merged_in_one_pass(fx):
+    plan = plan_of(gaps.merge_periods(fx.wide_gaps(), ["pair", "interval"], bucket_seconds=86400))
+    # The line of the reused exchange names it once more.
+    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") == 1
+    assert plan.count("Exchange hashpartitioning") - 1 <= 3
+    assert "SortMergeJoin" not in plan
+
+
+def test_estimated_spacing_is_looked_up_by_bucket(fx):
+    df = anomalies.validate_all(fx.dirty(), logical=False, ties=["slot_pair"])
+    joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join LeftOuter" in line]
+    assert len(joins) == 2 and sum("_bucket" in line for line in joins) == 1

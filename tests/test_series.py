@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candlewright.operators import anomalies, gaps, lifecycle, statefold
-from candlewright.operators.series import ranked, running, transitions
+from candlewright.operators.series import attach_per_series, ranked, running, transitions
 
 ZERO = dt.datetime(1970, 1, 1)
 
@@ -241,3 +241,59 @@ def test_sparse_numbers_are_told_from_dense_ones(spark):
     dense = spark.createDataFrame([("a", i) for i in range(2000)], "id string, event_seq long")
     assert not is_sparse(dense, "id", "event_seq") and not is_sparse(dense.limit(0), "id", "event_seq")
     assert is_sparse(dense.selectExpr("id", "event_seq * 1000000 AS event_seq"), "id", "event_seq")
+
+
+@pytest.mark.parametrize("touching", [True, False])
+@pytest.mark.parametrize("longest", [5, 60, 2000])
+def test_merge_periods_over_many_buckets_and_without_keys(spark, touching, longest):
+    rng = random.Random(longest)
+    rows = [(k, s, s + rng.randint(0, longest), rng.randint(0, 9))
+            for k in ("a", "", None) for s in (rng.randrange(4000) for _ in range(150))]
+    df = frame(spark, rows, "k string, s long, e long, urgency int").select(
+        "k", at("s").alias("start_time"), at("e").alias("end_time"), "urgency")
+    got = gaps.merge_periods(df, ["k"], touching, 50, ["urgency"], [F.max("urgency").alias("urgency")])
+    want = []
+    for k in ("a", "", None):
+        mine = []
+        for _, s, e, u in sorted((r for r in rows if r[0] == k), key=lambda r: r[1:3]):
+            if mine and (s <= mine[-1][2] if touching else s < mine[-1][2] or s == mine[-1][1]):
+                mine[-1] = (k, mine[-1][1], max(e, mine[-1][2]), mine[-1][3] + 1, max(u, mine[-1][4]))
+            else:
+                mine.append((k, s, e, 1, u))
+        want += mine
+    out = got.select("k", F.unix_seconds("start_time"), F.unix_seconds("end_time"), "merged_count", "urgency")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_merge_periods_of_an_empty_table(spark):
+    df = frame(spark, [], "k string, start_time timestamp, end_time timestamp")
+    assert gaps.merge_periods(df, ["k"]).count() == 0
+
+
+def test_attach_per_series(spark):
+    rows = frame(spark, [(k, n, n // 3) for k in ("a", "", None, "z") for n in range(10)], "k string, n int, _bucket long")
+    table = frame(spark, [("a", 1), ("", 2), (None, 3)], "k string, v int")
+    got = attach_per_series(rows, table, ["k"]).select("k", "n", "v").collect()
+    values = {"a": 1, "": 2, None: 3, "z": None}
+    assert sorted(map(tuple, got), key=str) == sorted(((k, n, values[k]) for k in values for n in range(10)), key=str)
+
+
+def test_validate_all_of_rows_without_pair_and_with_equal_times(spark):
+    rng = random.Random(12)
+    rows = [(pair, "1h", 3600 * rng.randrange(60), tie, f"{rng.choice((5, 40))}")
+            for pair in ("A", "", None) for tie in range(40)]
+    df = frame(spark, rows, "pair string, interval string, t long, tie int, high string").select(
+        "pair", "interval", at("t").alias("timestamp"), "tie", F.lit("5").alias("open"), "high",
+        F.lit("5").alias("low"), F.lit("5").alias("close"), F.lit("1").alias("volume"))
+    got = anomalies.validate_all(df, ties=["tie"]).select("pair", F.unix_seconds("timestamp"), "type", "value")
+    want = []
+    for pair in ("A", "", None):
+        mine = sorted(r[2:] for r in rows if r[0] == pair)
+        steps = [b[0] - a[0] for a, b in zip(mine, mine[1:])]
+        usual = min(set(steps), key=lambda s: (-steps.count(s), s)) or 3600
+        for a, b in zip(mine, mine[1:]):
+            if float(b[2]) > 5 * float(a[2]):
+                want.append((pair, b[0], "price_spike", float(b[2]) / float(a[2])))
+            if abs(b[0] - a[0] - usual) > 120:
+                want.append((pair, b[0], "sequence_gap", (b[0] - a[0] - usual) / 60))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
