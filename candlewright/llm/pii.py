@@ -73,13 +73,16 @@ def base_spans(text):
 
 # --- semi-Markov conditional random field ---------------------------------------------
 
-LONGEST = 24  # tokens of an entity
-TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[ \t]+|.", re.S)
+LONGEST = 40  # tokens of an entity: a card of 19 digits written one by one has 37
+# What separates parts, such as ' [dot] ' or '. ' between digits, is one token, so that entities of many parts fit.
+TOKEN = re.compile(r"(?<=[0-9])[ .\/-]{2,3}(?=[0-9])|[ \t]?[\[({<] ?(?i:dot|at) ?[\])}>][ \t]?|[0-9]+|[^\W\d_]+|[ \t]+|.", re.S)
 # Stretches that may hold an entity: long numbers with separators, and addresses around an at-sign or its word.
 NUMERIC = re.compile(r"[+(\[]*[0-9](?:[0-9 \t().\-/\[\]]*[0-9])?")
 DIGIT = re.compile(r"[0-9]")
 AT = re.compile(r"(?:@|[\[({<] ?at ?[\])}>]| at )", re.I)
-SIDE = 48  # code points on either side of an at-sign that belong to its stretch
+SIDE = 48  # code points on either side of an at-sign that belong to its stretch at least
+# The host behind an at-sign, however long; it belongs to the stretch, too.
+HOST = re.compile(r"\s?[\w-]+(?:\s?(?:\.|[\[({<] ?dot ?[\])}>]| dot )\s?[\w-]+)*", re.I)
 DOT = {"dot", "punkt", "punto", "point"}
 
 
@@ -92,6 +95,17 @@ def _last_word(text, start):
     return words[-1].lower() if words else ""
 
 
+# A separator with another part behind it.
+MORE = re.compile(r"\s?(?:[.\-/]|[\[({<] ?dot ?[\])}>]| dot )\s?[0-9A-Za-z]", re.I)
+
+
+def _more(text, end):
+    """Whether a host goes on: behind a written separator, or a dot without a blank."""
+    m = MORE.match(text, end)
+    sign = m.group()[:-1] if m else ""
+    return "dot" if sign == "." else "written" if "o" in sign.lower() else ""
+
+
 def segment_features(text, start, end, kind):
     """Features of a whole candidate span of a kind; none if it cannot be of that kind."""
     body = text[start:end]
@@ -109,7 +123,7 @@ def segment_features(text, start, end, kind):
         sign = "@" if m[2] == "@" else "(at)" if m[2].strip() != m[2][1:-1].strip() and m[2][0] != " " else "at"
         hidden = bool(re.search(r"[\[({< ]dot[\])}> ]", m[3], re.I))
         whole = len(host) > 1 and all(re.fullmatch(r"[A-Za-z0-9-]+", h) for h in host)
-        return out[:1] + [f"at={sign},{int(hidden)},{int(whole)}", f"top={host[-1].isalpha() and 2 <= len(host[-1]) <= 6}",
+        return out[:1] + [f"at={sign},{int(hidden)},{int(whole)}", f"more={_more(text, end)}", f"joined={before in set('.-_+')}", f"top={host[-1].isalpha() and 2 <= len(host[-1]) <= 6}",
                           f"spaces={' ' in m[3]},{hidden}"]
     if re.search(r"[^\W\d_]", body):
         return None
@@ -195,7 +209,9 @@ def _examples(seed, count):
         user, host, top = word() + rng.choice(("", ".", "_")) + word(), word() + rng.choice(("", "9")), rng.choice(("com", "org", "de", "net", "io"))
         at = rng.choice((" (at) ", "(at)", " [at] ", "[at]", " at ", " @ ", "@"))
         dot = rng.choice((" (dot) ", "[dot]", " dot ")) if at not in (" @ ", "@") or rng.random() < .3 else "."
-        return user.replace("_", ".") + at + host + (" dot " if at == " at " else dot) + top
+        dot = " dot " if at == " at " else dot
+        parts = [word() for _ in range(rng.choice((0, 0, 1, 2)))] + [top]
+        return user.replace("_", ".") + at + dot.join([host, *parts])
 
     def ip():
         return rng.choice(("[.]", "(.)", " . ")).join(str(rng.randint(0, 255)) for _ in range(4))
@@ -274,11 +290,16 @@ def _has_at(text):
     return "@" in low or " dot " in low or any(f"{a}{b}" in low for a in ("at", "at ") for b in "])}>")
 
 
+def _host_end(text, at):
+    m = HOST.match(text, at)
+    return min(len(text), max(at + SIDE, m.end() if m else 0))
+
+
 def stretches(text, base):
     """(start, end) parts of a text that may hold further entities, between the base spans."""
     found = [m.span() for m in NUMERIC.finditer(text) if m.end() - m.start() >= 7
              and sum(map(str.isdigit, m.group())) >= 4] if DIGIT.search(text) else []
-    found += [] if not _has_at(text) else [(max(0, m.start() - SIDE), min(len(text), m.end() + SIDE)) for m in AT.finditer(text)
+    found += [] if not _has_at(text) else [(max(0, m.start() - SIDE), _host_end(text, m.end())) for m in AT.finditer(text)
               if m.group() != " at " or re.search(r"\sdot\s", text[m.end():m.end() + SIDE], re.I)]
     taken = sorted((a, b) for _, a, b in base)
     out = []

@@ -105,6 +105,21 @@ def test_scan_of_awkward_texts(spark):
     assert pii.personal_data(frame(spark, ["a"]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("body, kind", [
+    ("john.smith [at] mail [dot] company [dot] co [dot] uk", "email"),
+    ("anna(at)a(dot)very(dot)long(dot)name(dot)of(dot)a(dot)host(dot)in(dot)some(dot)company(dot)com", "email"),
+    ("4. 5. 3. 9. 1. 4. 8. 8. 0. 3. 4. 3. 6. 4. 6. 7", "card"),
+])
+def test_entities_of_many_tokens_are_whole_candidates(body, kind):
+    text = f"contact {body} today"
+    spans = pii.tokens(text, 0, len(text))
+    whole = {(k, spans[i][0], spans[j - 1][1]) for i, j, k, _ in pii.candidates(text, spans)}
+    assert (kind, 8, 8 + len(body)) in whole
+    _, every = pii.spans_of(text, pii.trained())
+    if kind == "email":
+        assert (kind, 8, 8 + len(body)) in every
+
+
 # --- secrets -------------------------------------------------------------------------
 
 def plain_secrets(t):
