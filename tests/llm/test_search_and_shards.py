@@ -50,6 +50,46 @@ def test_recall_ties_and_scores(spark, vectors):
     assert [i for _, i, _ in sorted(got[150])] == [7, 100, 101, 102, 103]  # equal vectors: the smallest ids
 
 
+def test_leaves_are_split_level_by_level(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 12))
+    v = (centres[rng.integers(0, 40, 4000)] + 0.3 * rng.normal(size=(4000, 12))).astype(np.float32)
+    v[::9] = v[0] * np.arange(1, len(v[::9]) + 1, dtype=np.float32)[:, None]  # one direction, no equal vectors
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame([(i, x, "a", "b") for i, x in rows], VECTORS).repartition(4)
+    base = neighbours.stored(neighbours.usable(df))
+    tree = neighbours.Tree(v[:60].astype(np.float64), leaf=30)
+    index, levels = neighbours.deepened(neighbours._indexed(base, tree), bound=60, size=80, leaf=16)
+    assert len(levels) >= 2
+    filed = collections.defaultdict(list)
+    for r in index.collect():
+        filed[r.leaf].append(r.vec_id)
+    assert sorted(i for ids in filed.values() for i in ids) == list(range(4000))  # every vector once
+    assert all(len(ids) <= 60 or set(ids) & set(range(0, 4000, 9)) for ids in filed.values())
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(df, "vec_id % 50 = 0", bound=60).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    want = plain_neighbours(rows, range(0, 4000, 50))
+    assert sorted(got) == list(range(0, 4000, 50))
+    hits = 0
+    for q, found in got.items():
+        found.sort()
+        assert [r for r, _, _ in found] == [1, 2, 3, 4, 5]
+        fifth = want[q][-1][1]
+        hits += sum(s >= fifth - 1e-9 for _, _, s in found)
+    assert hits / 5 / len(got) >= 0.9
+
+
+def test_traversals_of_several_trees_merge_into_one_queue():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 8))
+    tree, q = neighbours.Tree(x, leaf=20), neighbours.unit(rng.normal(size=(1, 8)))[0]
+    order = list(tree.visits(q))
+    assert sorted(leaf for leaf, _ in order) == list(range(tree.leaves))
+    assert [d for _, d in order] == sorted(d for _, d in order)
+    assert min(d for _, d in tree.visits(q, 0.9)) == 0.9
+
+
 def test_few_or_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0], "", ""), (3, [0.0, 2.0], "", ""), (50, [1.0, 1.0], "", "")], VECTORS)
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in neighbours.nearest(few, "vec_id % 50 = 0").collect())
