@@ -33,8 +33,8 @@ END_ID = 2
 DICTIONARY_BYTES = 32 << 10
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 500, 2048  # what the dictionary is trained on
 SEGMENT_BYTES, SEGMENT_DOCUMENTS = 4 << 20, 4096
-MEMO_BYTES = 48 << 20  # about what an encoder remembers of earlier words
-PART_BYTES = 4 << 20  # of text that is encoded at a time
+MEMO_BYTES = 24 << 20  # about what an encoder remembers of earlier words
+PART_BYTES = 2 << 20  # of text that is encoded at a time
 SEGMENT_COLUMNS = ("part int, seq int, dict_hash string, first_doc long, last_doc long, tokens_before long, "
                    "tokens long, docs array<long>, lengths array<long>, offsets array<long>, payload binary")
 SEGMENT_ARROW = pa.schema([
