@@ -1,6 +1,7 @@
 """Bucketed computations against plain loops, with buckets small enough to carry."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -235,6 +236,17 @@ def test_job_events_with_any_negative_count_and_sparse_numbers(spark):
     assert {(r.id, r.event_seq) for r in rejected.collect()} == refused
 
 
+def test_gap_statistics_without_gaps(spark):
+    """A grid without holes has no success rate: 0 of 0 is NaN, as in the SQL."""
+    from candlewright.plans.fixtures import Fixtures
+
+    table = Fixtures(spark, "/root/testdata/sf0.001").gaps().limit(0)
+    got = {r.metric: r.value for r in lifecycle.gap_statistics(table).collect()}
+    assert math.isnan(got.pop("success_rate"))
+    assert got == {"total": 0, "active": 0, "filled": 0, "permanent": 0,
+                   "oldest_active_unix": None, "average_gap_seconds": None, "average_fill_seconds": None}
+
+
 def test_sparse_numbers_are_told_from_dense_ones(spark):
     from candlewright.operators.statefold import is_sparse
 
