@@ -129,17 +129,24 @@ def volume_surges(candles: DataFrame, threshold=SURGE_THRESHOLD,
 
 def sequence_anomalies(rows: DataFrame, arrival: str, keys=("pair",), step_seconds: Column = None,
                        drift_seconds: int = DRIFT_SECONDS,
-                       rows_per_bucket: int = SLOTS_PER_BUCKET) -> DataFrame:
+                       rows_per_bucket: int = SLOTS_PER_BUCKET, ties=()) -> DataFrame:
     """Order and spacing of timestamps in arrival order.
 
-    ``arrival`` is the sequence number rows came in with. A row earlier than
+    ``arrival`` is the sequence number rows came in with. Rows with equal numbers follow each
+    other by the columns ``ties``, which must tell them apart; without ``ties`` numbers must be
+    unique within ``keys``. A row earlier than
     its predecessor is out of order; otherwise it must be within the drift
     tolerance of the predecessor plus one interval.
     """
     keys = list(keys)
     step = interval_seconds(F.col("interval")) if step_seconds is None else step_seconds
-    steps = transitions(rows.withColumn("_step", step), keys, arrival, ["timestamp", "_step"],
-                        number_bucket(F.col(arrival), rows_per_bucket), levels=1)
+    rows, bucket = rows.withColumn("_step", step), number_bucket(F.col(arrival), rows_per_bucket)
+    if ties:
+        placed = rows.where(F.col(arrival).isNotNull()).withColumn("_order", F.struct(arrival, *ties))
+        steps = transitions(placed, keys, "_order", ["timestamp", "_step"], bucket, levels=1).withColumn(
+            arrival, F.col(f"_order.{arrival}"))
+    else:
+        steps = transitions(rows, keys, arrival, ["timestamp", "_step"], bucket, levels=1)
     return findings(steps, [*keys, arrival, "timestamp", "prev_timestamp"],
                     sequence_finding(F.col("_step"), drift_seconds))
 

@@ -309,3 +309,27 @@ def test_validate_all_of_rows_without_pair_and_with_equal_times(spark):
             if abs(b[0] - a[0] - usual) > 120:
                 want.append((pair, b[0], "sequence_gap", (b[0] - a[0] - usual) / 60))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_sequence_of_equal_arrival_numbers(spark):
+    """Ticks whose scrambled numbers are equal, in any order of the rows, follow each other by their ids."""
+    from candlewright.plans.q_quality import sequence_out_of_order
+
+    class Ticks:
+        def __init__(self, table):
+            self.table = table
+
+        def ticks(self):
+            return self.table
+
+    rng = random.Random(21)
+    rows = [(n + 1000003 * c, p, rng.randrange(10 ** 6)) for c in range(6) for n in range(40) for p in ("a", "b")]
+    want = {}
+    for p in ("a", "b"):
+        mine = [t for _, _, t in sorted((r[0] * 7919 % 1000003, r[0], r[2]) for r in rows if r[1] == p)]
+        steps = list(zip(mine, mine[1:]))
+        want[p] = (sum(b < a or abs(b - a - 3600) > 120 for a, b in steps), sum(b < a for a, b in steps))
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        df = frame(spark, rows, "tick_id long, pair string, t long").select("tick_id", "pair", at("t").alias("ts")).repartition(5)
+        assert {r.pair: (r.n, r.out_of_order) for r in sequence_out_of_order(Ticks(df)).collect()} == want
