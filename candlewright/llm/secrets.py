@@ -95,7 +95,7 @@ def literal_score(value):
 
 
 BLOCK, SHORT = 1 << 16, 1 << 12
-LONGEST = 1 << 14  # characters up to which a chain of constants is put together
+LONGEST = 1 << 14  # characters from which a constant is named in a chain, not copied into it
 REST = 1 << 10  # of a run of characters without blanks, what a sign of assignment but the first takes at most
 
 
@@ -206,68 +206,166 @@ def assignments(text):
     hold lines, as may indented blocks behind ``name: |`` and ``name: >``. Where an entry names
     its key and its value apart (``key="…" value="…"``, ``name: …`` and ``value: …``), the key is the
     name. Other statements end with their line, so a text is lexed in stretches of whole lines,
-    however long. Chains of constants of more than 16,384 characters are not put together: their last
-    statement stands for itself.
+    however long. Constants of chains above 16,384 characters are kept as parts of a chain, which
+    other chains share, so that statements that add to a constant again and again take linear time.
     """
-    for name, pieces in _given(text):
+    for name, parts in _given(text):
+        pieces = list(_written(parts, set()))
         yield name, "".join(text[a:b] for a, b in pieces), pieces
 
 
+class _Chain:
+    """The items of a constant that is too long to be copied into every chain that names it.
+
+    ``ends`` tells, once it is settled, that a name without a value ends it, and what is around it; it is
+    ``"word"`` if all it has is the bare word written there, which counts at the beginning only.
+    """
+
+    def __init__(self, items):
+        self.items, self.ends = items, None
+
+
+FAKE_WORD = re.compile("example|placeholder|changeme|change_me|redacted|dummy|todo", re.I)
+FAKE_FRAMES = (("<", ">"), ("${", "}"), ("{{", "}}"), ("%(", ")s"))
+EDGE = 16  # characters kept of both ends; longer than any fake word
+CLASSES = [re.compile(c) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9\\s]")]
+
+
+class _Long:
+    """The value of a long chain: its parts, and what its score needs to know of it.
+
+    Pieces over lines count without the blanks of their lines, each by itself. ``shares`` are the
+    characters' shares of the whole; parts named twice count twice.
+    """
+
+    def __init__(self, text, parts):
+        self.parts, self.length, self.shares = parts, 0.0, {}
+        self.lines = self.fake = False
+        self.head = self.tail = ""
+        for part in parts:
+            if isinstance(part, _Long):
+                self._add(part.length, part.shares, part.lines, part.fake, part.head, part.tail)
+            else:
+                piece = text[part[0]:part[1]]
+                lines = "\n" in piece
+                if lines:
+                    piece = "\n".join(line.strip() for line in piece.split("\n") if line.strip())
+                if piece:
+                    self._add(float(len(piece)), {c: n / len(piece) for c, n in Counter(piece).items()}, lines,
+                              bool(FAKE_WORD.search(piece)), piece[:EDGE], piece[-EDGE:])
+
+    def _add(self, length, shares, lines, fake, head, tail):
+        if not length:
+            return
+        both = self.length + length
+        for c in self.shares:
+            self.shares[c] *= self.length / both
+        for c, share in shares.items():
+            self.shares[c] = self.shares.get(c, 0.0) + share * (length / both)
+        self.lines |= lines
+        self.fake |= fake or bool(FAKE_WORD.search(self.tail + head))
+        self.head = (self.head + head)[:EDGE]
+        self.tail = (self.tail + tail)[-EDGE:]
+        self.length = min(both, 1e300)
+
+    def score(self):
+        """:func:`literal_score` of the value."""
+        framed = any(self.head.startswith(a) and self.tail.endswith(b) for a, b in FAKE_FRAMES)
+        if len(self.shares) < 4 or not self.lines and (
+                self.fake or framed or re.match("your[_-]", self.head, re.I)):
+            return -10.0
+        bits = -sum(s * math.log2(s) for s in self.shares.values() if s)
+        seen = "".join(self.shares)
+        prose = sum(self.shares.get(c, 0.0) for c in " \t\r\n") * 12
+        return min(2.0, self.length / 12) + min(2.0, bits / 2) + 0.7 * (sum(bool(c.search(seen)) for c in CLASSES) - 1) - prose
+
+
+def _written(parts, met):
+    """(start, end) of all pieces, in order; chains that are in ``met`` are left out, others put there."""
+    todo = list(reversed(parts))
+    while todo:
+        part = todo.pop()
+        if part in met:
+            continue
+        met.add(part)
+        if isinstance(part, _Long):
+            todo += reversed(part.parts)
+        else:
+            yield part
+
+
 def _given(text):
-    """(name, pieces) of :func:`assignments`; those that wait for a later constant come last."""
+    """(name, parts) of :func:`assignments`, pieces or long values; those that need further constants come last."""
     known, waiting = {}, []
     for start, end in _blocks(text):
         if STATEMENT.search(text, start, end):
             for name, items in _assigned(text, _Tokens(text, start, end), known):
-                if any(len(item) == 3 for item in items):
+                if any(isinstance(item, _Chain) or len(item) == 3 for item in items):
                     waiting.append((name, items))
                 else:
                     yield name, items
     settled = {}
     for name, items in waiting:
-        _settle([n for n in _names_in(items) if n in known], known, settled)
-        pieces = _pieces(items, settled)
-        if pieces:
-            yield name, pieces
+        _settle(_needed(items, known), known, settled, text)
+        parts, _ = _parts(items, settled, text)
+        if parts:
+            yield name, parts
+
 
+def _key(item):
+    """What an item's value is settled under: a chain itself, or the name of a constant; None of a literal."""
+    return item if isinstance(item, _Chain) else item[0] if len(item) == 3 else None
 
-def _names_in(items):
-    return [item[0] for item in items if len(item) == 3]
 
+def _needed(items, known):
+    return [k for k in map(_key, items) if isinstance(k, _Chain) or k in known]
 
-def _settle(names, known, settled):
-    """Adds the pieces of constants to ``settled``; a name that leads back to itself has none there."""
-    todo, begun = list(names), set()
+
+def _settle(keys, known, settled, text):
+    """Adds the parts of constants and chains to ``settled``; a name that leads back to itself has none there."""
+    todo, begun = list(keys), set()
     while todo:
-        name = todo[-1]
-        needs = [] if name in settled or name in begun else [
-            n for n in _names_in(known[name]) if n in known and n not in settled and n not in begun]
-        begun.add(name)
+        key = todo[-1]
+        items = () if key in settled else key.items if isinstance(key, _Chain) else known[key]
+        needs = [] if key in begun else [n for n in _needed(items, known) if n not in settled and n not in begun]
+        begun.add(key)
         if needs:
             todo += needs
         else:
-            if name not in settled:
-                settled[name] = _pieces(known[name], settled)
+            if key not in settled:
+                settled[key], ends = _parts(items, settled, text)
+                if isinstance(key, _Chain):
+                    key.ends = ends
             todo.pop()
 
 
-def _pieces(items, settled):
-    """The (start, end) of a chain up to the first name without a value."""
+def _parts(items, settled, text):
+    """The pieces and long values of a chain up to the first name without a value, and what ended it there."""
     out = []
     for item in items:
-        if len(item) == 2:
+        key = _key(item)
+        ends = key.ends if isinstance(key, _Chain) else None
+        if key is None:
             out.append(item)
-        elif settled.get(item[0]):
-            out = _joined(out, settled[item[0]])
+        elif settled.get(key) and not (out and ends == "word"):
+            out = _joined(out, settled, key, lambda parts: _Long(text, parts))
+        elif key is item or out or not item[2]:
+            ends = "name"
         else:
-            return out or ([item[1:]] if item[2] else [])
-    return list(dict.fromkeys(out))
+            return [item[1:]], "word"
+        if ends:
+            return out, ends
+    return list(dict.fromkeys(out)), None
 
 
-def _joined(items, more):
-    """Both without repeats; what was put together before is left out where the chain gets too long."""
-    both = list(dict.fromkeys((*items, *more)))
-    return both if sum(1 if len(i) == 3 else i[1] - i[0] for i in both) <= LONGEST else list(items)
+def _joined(items, values, key, whole):
+    """``items`` and those of ``values[key]`` without repeats; what is too long is made one item there, by ``whole``."""
+    both = list(dict.fromkeys((*items, *values[key])))
+    if sum(LONGEST + 1 if isinstance(i, (_Chain, _Long)) else 1 if len(i) == 3 else i[1] - i[0] for i in both) <= LONGEST:
+        return both
+    if len(values[key]) > 1:
+        values[key] = [whole(values[key])]
+    return list(dict.fromkeys((*items, *values[key])))
 
 
 BEHIND = 8  # tokens looked back at, at most
@@ -317,7 +415,7 @@ def _assigned(text, tokens, known):
     """(name, items) of the statements of a stretch.
 
     An item is (start, end) of a literal, or (name, start, end) of a constant without a value so
-    far, with the bare word that stands there if it gets none, else zeros.
+    far, with the bare word that stands there if it gets none, else zeros, or a :class:`_Chain`.
     """
     i, run, inside = -1, (0, 0), 0
     while tokens.has(i := i + 1):
@@ -360,7 +458,7 @@ def _assigned(text, tokens, known):
             if u["string"] is not None or u["text"] is not None:
                 items.append(_inner(u))
             elif own in known:
-                items = _joined(items, known[own])
+                items = _joined(items, known, own, _Chain)
             elif own and (not bare[1] or bare[1] == u.end()):
                 items.append((own, *bare))
             elif bare[1]:
@@ -390,11 +488,15 @@ def lexed_spans(text):
     """('literal', start, end) of literals whose target names and looks say secret."""
     if not STATEMENT.search(text) or not NAMES.search(text):
         return []
-    found = set()
-    for name, pieces in _given(text):
+    found, met = set(), set()
+    for name, parts in _given(text):
         n = name_score(name)
-        if n >= 2 and n + literal_score("".join(text[a:b] for a, b in pieces)) >= ENOUGH:
-            found.update(("literal", a, b) for a, b in pieces if b - a >= 4)
+        if n < 2:
+            continue
+        long = any(isinstance(part, _Long) for part in parts)
+        score = _Long(text, parts).score() if long else literal_score("".join(text[a:b] for a, b in parts))
+        if n + score >= ENOUGH:
+            found.update(("literal", a, b) for a, b in (_written(parts, met) if long else parts) if b - a >= 4)
     return sorted(found, key=lambda s: s[1])
 
 
