@@ -33,7 +33,7 @@ END_ID = 2
 DICTIONARY_BYTES = 32 << 10
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 500, 2048  # what the dictionary is trained on
 SEGMENT_BYTES, SEGMENT_DOCUMENTS = 4 << 20, 4096
-MEMO_BYTES = 24 << 20  # about what an encoder remembers of earlier words
+MEMO_BYTES = 48 << 20  # about what an encoder remembers of earlier words
 PART_BYTES = 2 << 20  # of text that is encoded at a time
 SEGMENT_COLUMNS = ("part int, seq int, dict_hash string, first_doc long, last_doc long, tokens_before long, "
                    "tokens long, docs array<long>, lengths array<long>, offsets array<long>, payload binary")
@@ -57,8 +57,8 @@ class Encoder:
     The vocabulary drops white space and never joins across it, so a text's ids are those
     of its words. The words of a batch are split and numbered by Arrow, the distinct ones
     are encoded, and the ids are gathered by numpy. Words of Latin letters and the marks
-    behind them are numbered apart. Known pieces are remembered up to ``MEMO_BYTES`` until
-    :meth:`forget`. The vocabulary's own lower-casing makes capitals of ASCII meaningless,
+    behind them are numbered apart. Known pieces are remembered up to about ``MEMO_BYTES``, of which
+    those met most often then stay, until :meth:`forget`. The vocabulary's own lower-casing makes capitals of ASCII meaningless,
     except in the names of its special tokens.
     """
 
@@ -78,7 +78,17 @@ class Encoder:
         """Drop what is remembered of earlier texts."""
         self.places, self.bytes = {}, 0
         self.ids, self.starts, self.lengths = np.zeros(1 << 16, dtype="<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.met, self.used = np.zeros(1 << 14, np.int32), 0
+
+    def _thin(self):
+        """Keep the quarter of the remembered pieces that was met in most parts; how often counts half from now on."""
+        names, n = list(self.places), len(self.places)
+        kept = np.sort(np.argsort(-self.met[:n], kind="stable")[:n // 4])
+        lengths, met = self.lengths[kept], self.met[kept] // 2
+        ids = self.ids[np.repeat(self.starts[kept] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
+        self.forget()
+        self._file([names[k] for k in kept.tolist()], ids, lengths)
+        self.met[:len(kept)] = met
 
     def _file(self, pieces, ids, lengths):
         """Remember the ``ids`` of ``pieces``, which lie one behind the other."""
@@ -86,7 +96,8 @@ class Encoder:
         while len(self.ids) < self.used + len(ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         while len(self.starts) < n + k:
-            self.starts, self.lengths = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lengths))
+            self.starts, self.lengths, self.met = (
+                np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lengths, self.met))
         self.ids[self.used:self.used + len(ids)] = ids
         self.lengths[n:n + k] = lengths
         self.starts[n:n + k] = self.used + np.cumsum(lengths) - lengths
@@ -115,7 +126,9 @@ class Encoder:
         """Place of each of an array of distinct pieces; ``learn`` encodes those not met before."""
         pieces = pieces.view(pa.binary()).to_pylist()
         learn([w for w in pieces if w not in self.places])
-        return np.fromiter(map(self.places.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        found = np.fromiter(map(self.places.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        self.met[found] += 1
+        return found
 
     def _numbered(self, texts):
         """(numbers of the pieces of all words, of which each word has two, first word of each text)."""
@@ -129,7 +142,7 @@ class Encoder:
         cores = pc.if_else(plain, halves.field(0), distinct).dictionary_encode()
         tails = pc.if_else(plain, halves.field(1), "").dictionary_encode()
         if self.bytes > MEMO_BYTES:
-            self.forget()
+            self._thin()
         is_plain = pc.extract_regex(cores.dictionary, HALVES).is_valid().to_numpy(zero_copy_only=False)
         letters = dict(zip(cores.dictionary.view(pa.binary()).to_pylist(), is_plain.tolist()))
 

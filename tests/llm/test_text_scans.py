@@ -487,6 +487,20 @@ def test_token_file_of_no_documents(spark):
     assert tokenfiles.read_token_file(spark, path).count() == 0
 
 
+def test_encoder_keeps_the_words_met_most_often(monkeypatch):
+    monkeypatch.setattr(tokenfiles, "MEMO_BYTES", 30000)
+    monkeypatch.setattr(tokenfiles, "PART_BYTES", 700)
+    import public_tokenizers
+    coder = tokenfiles.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [f"often again {i * 7919:x}q w{i}x{i % 7} rare{i * i}" for i in range(600)]
+    ids, lengths = coder.encode(pa.array(texts))
+    want = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and lengths.tolist() == list(map(len, want))
+    coder.bytes = tokenfiles.MEMO_BYTES + 1
+    coder.encode(pa.array(["new"]))
+    assert {b"often", b"again", b"new"} <= set(coder.places) and len(coder.places) < 300
+
+
 def test_encoder_forgets_and_learns_again(monkeypatch):
     monkeypatch.setattr(tokenfiles, "MEMO_BYTES", 9000)
     monkeypatch.setattr(tokenfiles, "PART_BYTES", 700)
