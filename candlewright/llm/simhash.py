@@ -291,6 +291,13 @@ def _segment_keys():
     return keys, balls
 
 
+def _first_segment(other):
+    """SQL: the first word segment in which both are at most one bit apart."""
+    return "CASE " + " ".join(
+        f"WHEN bit_count(shiftrightunsigned(w{half} ^ {other}.w{half}, {first}) & {(1 << width) - 1}L) <= 1 THEN {t}L"
+        for t, (half, first, width) in enumerate(WORD_SEGMENTS)) + " END"
+
+
 def _near(other):
     """SQL: the sizes allow a similarity of 0.8, and the shingle bits are no farther apart than such sets are."""
     return f"5 * least(n, {other}.n) >= 4 * greatest(n, {other}.n) AND " + " + ".join(
@@ -331,17 +338,19 @@ def _pairs_between(labelled):
 
     Pairs of one home of which neither has more extra shingles than similar sets leave
     out meet in the index like all others; pairs in which one has more meet by what they share of it.
+    A pair comes out of the index once, from the first segment in which it can be found.
     """
     keys, balls = _segment_keys()
     bits = ", ".join(repr(s) + ", " + s for s in SHINGLE_BITS)
-    own = f"named_struct('n', n, 'home', home, 'e', size(extra), {bits}) AS own"
+    own = f"named_struct('n', n, 'w0', w0, 'w1', w1, 'home', home, 'e', size(extra), {bits}) AS own"
     filed = labelled.selectExpr("node AS b", "label AS label_b", own, f"explode(array({', '.join(keys)})) AS k")
-    asked = labelled.selectExpr("node AS a", "label AS label_a", "n", "home", "size(extra) AS e", *SHINGLE_BITS,
+    asked = labelled.selectExpr("node AS a", "label AS label_a", "n", "w0", "w1", "home", "size(extra) AS e", *SHINGLE_BITS,
                                 f"posexplode(concat(array({', '.join(keys)}), {', '.join(balls)})) AS (place, k)")
     at_home = "home IS NOT NULL AND own.home IS NOT NULL AND home = own.home"
     few = "9 * e <= 5 * n - 4 * own.n AND 9 * own.e <= 5 * own.n - 4 * n"
     met = asked.join(filed, "k").where(
-        f"label_a <> label_b AND (place >= {len(keys)} OR a < b) AND (NOT ({at_home}) OR {few}) AND " + _near("own"))
+        f"label_a <> label_b AND (place >= {len(keys)} OR a < b) AND (NOT ({at_home}) OR {few}) AND "
+        + _near("own") + f" AND k % 6 = {_first_segment('own')}")
     shared = labelled.where("home IS NOT NULL").selectExpr("node", "label", "n", "home", "size(extra) AS e", *SHINGLE_BITS, "explode(extra) AS s")
     other = shared.selectExpr("home", "s", "node AS b", "label AS label_b", f"named_struct('n', n, 'e', e, {bits}) AS own")
     forced = shared.withColumnsRenamed({"node": "a", "label": "label_a"}).join(other, ["home", "s"]).where(

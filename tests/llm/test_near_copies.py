@@ -210,3 +210,20 @@ def test_large_group_is_searched_by_what_its_members_add(spark, monkeypatch):
     monkeypatch.setattr(simhash, "_with_homes", lambda labelled, *a: labelled.selectExpr("*", "bigint(null) AS home", "array(0L) AS extra"))
     assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == got
     assert sum(compared[1:3]) < sum(compared[4:]), compared  # with homes, without
+
+
+def test_pairs_leave_the_index_once(spark, monkeypatch):
+    """Every pair with a word segment at most one bit apart, whatever number of segments it meets in."""
+    rng, rows = random.Random(41), []
+    for i in range(60):
+        w = [(0x1234567 << 30) ^ (i % 3), 0x7654321 << 20]
+        for _ in range(rng.choice([0, 1, 2, 9, 14])):
+            w[rng.randrange(2)] ^= 1 << rng.randrange(63)
+        rows.append((i, i, 20, *w, 0, 0, 0, 0, None, None))
+    table = spark.createDataFrame(rows, "node long, label long, n long, w0 long, w1 long, s0 long, s1 long, s2 long, s3 long, home long, extra array<long>")
+    kind = type(table)
+    monkeypatch.setattr(kind, "distinct", lambda df: df)
+    got = sorted((r.a, r.b) for r in simhash._pairs_between(table).collect())
+    want = [(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and any(
+        bin(((x[3 + h] ^ y[3 + h]) >> first) & ((1 << bits) - 1)).count("1") <= 1 for h, first, bits in simhash.WORD_SEGMENTS)]
+    assert got == want
